@@ -96,7 +96,7 @@ METRICS_ITEM = T.StructType(
     ]
 )
 
-# The stored report table, partitioned by language.
+# The stored report table, partitioned by load and language.
 REPORT = T.StructType(
     [
         T.StructField("id", T.StringType()),
@@ -112,6 +112,7 @@ REPORT = T.StructType(
         T.StructField("language", T.StringType()),
     ]
 )
+STORED_REPORT = T.StructType([*REPORT.fields, T.StructField("load_id", T.StringType())])
 
 LABELLED_CODE = T.StructType(
     [
