@@ -205,12 +205,11 @@ def risk_level(score: Column) -> Column:
 
 def add_summary(found: DataFrame) -> DataFrame:
     """Counts by severity, score and level of each file's findings."""
-    counts = {
-        f"{severity.lower()}_severity": N.count_if(
-            F.col("findings"), lambda f, s=severity: f["severity"] == s
-        )
-        for severity in POINTS
-    }
+
+    def of(severity: str) -> Column:
+        return N.count_if(F.col("findings"), lambda f: f["severity"] == severity)
+
+    counts = {f"{severity.lower()}_severity": of(severity) for severity in POINTS}
     return (
         found.withColumns({"total_findings": F.size("findings"), **counts})
         .withColumn("risk_score", risk_score(F.col("findings")))

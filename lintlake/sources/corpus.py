@@ -36,6 +36,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
     Done on the narrow key rows, before text is made of them; larger inputs are left alone.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 

@@ -6,7 +6,7 @@ import json
 from datetime import datetime, timezone
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,19 +41,23 @@ def metrics_json(metrics: DataFrame) -> DataFrame:
     return metrics.select("file_id", F.to_json(F.struct(*METRIC_COLUMNS)).alias("json"))
 
 
+def _entry_rows(name: str) -> Column:
+    return F.transform(
+        F.map_entries(name),
+        lambda e: F.struct(
+            F.concat(F.lit(f"{name}."), e["key"]).alias("metric"),
+            e["value"].cast("string").alias("value"),
+        ),
+    )
+
+
 def metrics_rows(metrics: DataFrame) -> DataFrame:
     """Metrics as (metric, value) rows: maps become ``name.key``, lists are joined by ``; ``."""
     pieces = []
     for name in METRIC_COLUMNS:
         kind = metrics.schema[name].dataType
         if isinstance(kind, T.MapType):
-            entries = F.transform(
-                F.map_entries(name),
-                lambda e, name=name: F.struct(
-                    F.concat(F.lit(f"{name}."), e["key"]).alias("metric"),
-                    e["value"].cast("string").alias("value"),
-                ),
-            )
+            entries = _entry_rows(name)
         else:
             text = (
                 F.array_join(name, "; ")
