@@ -95,8 +95,9 @@ def reduce_dimensions(embeddings: DataFrame, size: int) -> DataFrame:
     shift = model.transform(
         centre.withColumn("_v", array_to_vector("embedding"))
     ).select(vector_to_array("_p").alias("s")).scalar()
-    moved = F.zip_with(vector_to_array("_p"), shift, lambda p, s: p - s)
-    return model.transform(vectors).withColumn("embedding", moved).drop("_v", "_p")
+    projected = model.transform(vectors).withColumn("_shift", shift)
+    moved = F.zip_with(vector_to_array("_p"), "_shift", lambda p, s: p - s)
+    return projected.withColumn("embedding", moved).drop("_v", "_p", "_shift")
 
 
 def fuse_features(

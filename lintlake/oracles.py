@@ -240,7 +240,7 @@ SQL["c3_branches"] = facts(E.ESTIMATES, f"{named('x.name')} AS name, branches")
 for _query, _name, _found in (
     ("c4_binary_search", "binary_search", "6, 14"),
     ("c5_divide_and_conquer", "divide_and_conquer", "8"),
-    ("c6_logarithmic_loop", "logarithmic_loop", "5"),
+    ("c6_logarithmic_loop", "logarithmic_loop", "5, 6"),
     ("c7_sort_call", "sort_call", "8, 10, 19"),
 ):
     SQL[_query] = f"{WITH} SELECT file_id, TRUE AS {_name} FROM files WHERE k IN ({_found})"
@@ -334,8 +334,8 @@ FROM lines WHERE regexp_matches(line, {quoted(re2(r[_at['pattern']]))})"""
 ]
 SQL["v5_line_findings_text"] = f"WITH lines AS ({_lines}) " + " UNION ALL ".join(_scans)
 SQL["v5_custom_rules"] = f"""WITH lines AS ({_lines})
-SELECT 'X-1' AS rule_id, count(*) AS n, CAST(sum(length(regexp_extract(line, '(?s)^(.*?)@[{WORD}]+\\.', 1))) AS BIGINT) AS columns FROM lines WHERE regexp_matches(line, '@[{WORD}]+\\.')
-UNION ALL SELECT 'X-2', count(*), CAST(0 AS BIGINT) FROM lines WHERE regexp_matches(line, '^[{SPACE}]*$')"""
+SELECT 'X-1' AS rule_id, count(*) AS n, CAST(sum(length(regexp_extract(line, '(?s)^(.*?)@[{WORD}]+\\.', 1))) AS BIGINT) AS columns FROM lines WHERE regexp_matches(line, '@[{WORD}]+\\.') HAVING count(*) > 0
+UNION ALL SELECT 'X-2', count(*), CAST(0 AS BIGINT) FROM lines WHERE regexp_matches(line, '^[{WORD}]+[{SPACE}]') HAVING count(*) > 0"""
 SQL["v6_call_findings"] = facts(
     E.FINDINGS,
     f"CAST(row_number() OVER (PARTITION BY c.key ORDER BY i) - 1 AS INTEGER) AS finding_order, rule_id, line AS line_number, {_col}, {_snippet}, c.path AS file_path",

@@ -645,7 +645,7 @@ def v5_line_findings_text(spark, d):
 def v5_custom_rules(spark, d):
     rules = [
         {"rule_id": "X-1", "pattern": r"@\w+\.", "language": "all"},
-        {"rule_id": "X-2", "pattern": r"^\s*$", "language": "python"},
+        {"rule_id": "X-2", "pattern": r"^\w+\s", "language": "python"},
         {"rule_id": "X-3", "pattern": "a", "language": "c"},
     ]
     return security.custom_findings(documents(spark, d), rules).groupBy("rule_id").agg(
