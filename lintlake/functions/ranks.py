@@ -22,15 +22,17 @@ def running_totals(
     descending: bool = False,
     buckets: int = BUCKETS,
 ) -> DataFrame:
-    """Add ``<sum>_before``: the total of the rows ahead in ``order`` with the same keys.
+    """Add ``<sum>_before``, the total of the rows ahead in ``order`` with the same keys, and
+    ``<sum>_total``, the total of all of them.
 
-    ``counted`` has one row per (keys, order). ``keys`` are feature names or class labels, so
-    the broadcast tables hold at most ``buckets`` rows per key.
+    ``counted`` has one row per (keys, order). ``keys`` must be few (feature names, class
+    labels): the broadcast tables hold at most ``buckets`` rows per key.
     """
     steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     group = keys or [F.lit(0).alias("_all")]
     cuts = counted.groupBy(*group).agg(
-        F.array_distinct(F.percentile_approx(order, steps, ACCURACY)).alias("_cuts")
+        F.array_distinct(F.percentile_approx(order, steps, ACCURACY)).alias("_cuts"),
+        *[F.sum(s).alias(f"{s}_total") for s in sums],
     )
     on = keys or ["_all"]
     rows = counted if keys else counted.withColumn("_all", F.lit(0))
@@ -54,25 +56,23 @@ def running_totals(
     return result.drop("_bucket", *[f"_{s}" for s in sums], *([] if keys else ["_all"]))
 
 
-class Quantiles:
-    """Exact linear-interpolated quantiles as a (name, q, value) table."""
+def quantile_map(quantiles: DataFrame) -> Column:
+    """A (name, q, value) table as one map from (name, q) to value: a scalar subquery."""
+    key = F.struct("name", "q")
+    entries = F.collect_list(F.struct(key.alias("k"), F.col("value").alias("v")))
+    return quantiles.agg(F.map_from_entries(entries).alias("m")).scalar()
 
-    def __init__(self, table: DataFrame):
-        self.table = table
 
-    def scalar_map(self):
-        """A function (name, q) -> Column reading one scalar subquery, shared by all uses."""
-        key = F.concat_ws("@", "name", F.col("q").cast("string"))
-        entries = F.collect_list(F.struct(key.alias("k"), F.col("value").alias("v")))
-        one = self.table.agg(F.map_from_entries(entries).alias("m")).scalar()
+def quantile_of(held: Column, name: str, q: float) -> Column:
+    """Look up a value in a column made by ``quantile_map``."""
+    return F.element_at(held, F.struct(F.lit(name).alias("name"), F.lit(q).alias("q")))
 
-        def value(name: str, q: float) -> Column:
-            return F.element_at(one, F.concat_ws("@", F.lit(name), F.lit(q).cast("string")))
 
-        return value
+def exact_quantiles(df: DataFrame, columns: list[str], qs: list[float]) -> DataFrame:
+    """Exact linear-interpolated quantiles of columns as (name, q, value) rows.
 
-
-def exact_quantiles(df: DataFrame, columns: list[str], qs: list[float]) -> Quantiles:
+    The table is read once: only its counts per distinct value go further.
+    """
     long = df.select(
         F.inline(
             F.array(
@@ -85,11 +85,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], qs: list[float]) -> Quant
     ).where("value IS NOT NULL")
     counted = long.groupBy("name", "value").agg(F.count("*").alias("n"))
     ranked = running_totals(counted, ["name"], "value", ["n"])
-    sizes = counted.groupBy("name").agg(F.sum("n").alias("size"))
-    spread = ranked.join(F.broadcast(sizes), "name").select(
-        "name", "value", "n", "n_before", "size", F.explode(F.array(*[F.lit(q) for q in qs])).alias("q")
-    )
-    at = F.col("q") * (F.col("size") - 1)
+    spread = ranked.withColumn("q", F.explode(F.array(*[F.lit(q) for q in qs])))
+    at = F.col("q") * (F.col("n_total") - 1)
 
     def held(rank: Column) -> Column:
         inside = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
@@ -100,11 +97,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], qs: list[float]) -> Quant
         held(F.ceil(at)).alias("high"),
         F.max(at - F.floor(at)).alias("part"),
     )
-    return Quantiles(
-        picked.select(
-            "name", "q", (F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias("value")
-        )
-    )
+    between = F.col("low") + (F.col("high") - F.col("low")) * F.col("part")
+    return picked.select("name", "q", between.alias("value"))
 
 
 def with_scan_index(df: DataFrame, name: str) -> DataFrame:

@@ -10,6 +10,8 @@ from lintlake.functions.ranks import running_totals
 from lintlake.operators.features import numeric_columns
 
 SEED = 42
+# Cut points are broadcast per class, so the number of classes is checked.
+MAX_CLASSES = 1000
 NOT_LISTED = ("id", "target", "func")
 
 
@@ -35,19 +37,20 @@ def create_splits(
     """
     if abs(train + val + test - 1.0) >= 1e-5:
         raise ValueError("Ratios must sum to 1.0")
-    stratum = F.col("target") if "target" in df.columns else F.lit(0)
+    stratum = F.lit(0)
+    if "target" in df.columns:
+        stratum = F.col("target")
+        if df.select("target").distinct().limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
+            raise ValueError(f"More than {MAX_CLASSES} classes in 'target': not a label column.")
     keyed = df.withColumns({"_stratum": stratum, "_key": split_key(F.col(id_column), seed)})
     counted = keyed.groupBy("_stratum", "_key").agg(F.count("*").alias("n"))
     ranked = running_totals(counted, ["_stratum"], "_key", ["n"])
-    sizes = counted.groupBy("_stratum").agg(F.sum("n").alias("size"))
 
     def first_at(share: float) -> Column:
-        return F.min(F.when(F.col("n_before") >= F.floor(F.col("size") * share), F.col("_key")))
+        return F.min(F.when(F.col("n_before") >= F.floor(F.col("n_total") * share), F.col("_key")))
 
-    cuts = (
-        ranked.join(F.broadcast(sizes), "_stratum")
-        .groupBy("_stratum")
-        .agg(first_at(train).alias("_val_from"), first_at(train + val).alias("_test_from"))
+    cuts = ranked.groupBy("_stratum").agg(
+        first_at(train).alias("_val_from"), first_at(train + val).alias("_test_from")
     )
     split = (
         F.when(F.col("_key") >= F.col("_test_from"), "test")
@@ -73,31 +76,22 @@ def _missing(df: DataFrame, name: str) -> Column:
 
 
 def dataset_statistics(df: DataFrame) -> DataFrame:
-    """One row: size, feature names, nulls per column, class counts and buggy share.
+    """One row: size, feature names, nulls per column and buggy share, in one pass.
 
-    One pass; the classes are counted by value before they meet in one row.
+    ``class_distribution`` has the rows per class.
     """
     features = [c for c in df.columns if c not in NOT_LISTED]
-    counts = [F.count("*").alias("total_rows")] + [
-        _missing(df, c).alias(f"missing_{c}") for c in df.columns
-    ]
-    grouped = df.groupBy("target").agg(*counts) if "target" in df.columns else df.agg(*counts)
-    folded = [F.coalesce(F.sum("total_rows"), F.lit(0)).alias("total_rows")] + [
-        F.sum(f"missing_{c}").alias(f"missing_{c}") for c in df.columns
-    ]
+    facts = [F.count("*").alias("total_rows")]
+    facts += [_missing(df, c).alias(f"missing_{c}") for c in df.columns]
     if "target" in df.columns:
-        buggy = F.sum(F.when(F.col("target") == 1, F.col("total_rows")).otherwise(0))
-        folded += [
-            F.map_from_entries(
-                F.filter(
-                    F.collect_list(F.struct("target", "total_rows")), lambda e: e["target"].isNotNull()
-                )
-            ).alias("class_distribution"),
-            (buggy / F.sum("total_rows")).alias("buggy_ratio"),
-        ]
-    return grouped.agg(*folded).withColumn(
-        "features", F.array(*[F.lit(c) for c in features]).cast("array<string>")
-    )
+        facts.append((F.count_if(F.col("target") == 1) / F.count("*")).alias("buggy_ratio"))
+    names = F.array(*[F.lit(c) for c in features]).cast("array<string>")
+    return df.agg(*facts).withColumn("features", names)
+
+
+def class_distribution(df: DataFrame) -> DataFrame:
+    """Rows per class, nulls left out."""
+    return df.where("target IS NOT NULL").groupBy("target").agg(F.count("*").alias("n"))
 
 
 def validate_dataset(df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import PCA, HashingTF
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,12 +90,9 @@ def reduce_dimensions(embeddings: DataFrame, size: int) -> DataFrame:
         "_v", array_to_vector(F.col("embedding").cast("array<double>"))
     )
     model = PCA(k=size, inputCol="_v", outputCol="_p").fit(vectors)
-    mean = embeddings.select(F.posexplode("embedding").alias("d", "v")).groupBy("d").agg(F.avg("v").alias("m"))
     # The components of the mean vector are subtracted afterwards: projection is linear.
-    centre = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda e: e["m"]).alias("embedding"))
-    shift = model.transform(
-        centre.withColumn("_v", array_to_vector("embedding"))
-    ).select(vector_to_array("_p").alias("s")).scalar()
+    centre = vectors.agg(Summarizer.mean(F.col("_v")).alias("_v"))
+    shift = model.transform(centre).select(vector_to_array("_p").alias("s")).scalar()
     projected = model.transform(vectors).withColumn("_shift", shift)
     moved = F.zip_with(vector_to_array("_p"), "_shift", lambda p, s: p - s)
     return projected.withColumn("embedding", moved).drop("_v", "_p", "_shift")

@@ -70,16 +70,15 @@ def confusion_matrix(predictions: DataFrame) -> DataFrame:
 
 def cumulative_counts(predictions: DataFrame) -> DataFrame:
     """Per threshold, from high to low: true and false positives at or above it, and totals."""
-    counts = score_counts(predictions)
-    totals = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    one = totals.select(F.struct("p", "n").alias("t")).scalar()
-    ranked = running_totals(counts, [], "y_proba", ["pos", "neg"], descending=True)
+    ranked = running_totals(
+        score_counts(predictions), [], "y_proba", ["pos", "neg"], descending=True
+    )
     return ranked.select(
         F.col("y_proba").alias("threshold"),
         (F.col("pos_before") + F.col("pos")).alias("tp"),
         (F.col("neg_before") + F.col("neg")).alias("fp"),
-        one["p"].alias("all_pos"),
-        one["n"].alias("all_neg"),
+        F.col("pos_total").alias("all_pos"),
+        F.col("neg_total").alias("all_neg"),
     )
 
 

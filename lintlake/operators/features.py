@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from lintlake.functions import nodes as N
 from lintlake.functions import text as X
-from lintlake.functions.ranks import exact_quantiles, with_scan_index
+from lintlake.functions.ranks import exact_quantiles, quantile_map, quantile_of, with_scan_index
 from lintlake.operators import metrics as M
 from lintlake.operators import structure as S
 from lintlake.operators.parse import with_nodes
@@ -160,18 +160,16 @@ def numeric_columns(df: DataFrame, skip: tuple[str, ...] = NOT_FEATURES) -> list
 def clean_features(features: DataFrame, quantile: float = 0.99) -> DataFrame:
     """Drop failed rows, fill nulls with 0 and clip every feature at its upper quantile.
 
-    The quantiles are exact: counts per distinct value are ranked, never whole columns.
+    The quantiles are exact: counts per distinct value are ranked, never whole columns. The
+    table is read twice, so pass a stored one rather than a fresh extraction.
     """
     kept = features
     if "error" in features.columns:
         kept = features.where("NOT error").drop("error")
     filled = kept.fillna(0)
     names = numeric_columns(filled)
-    limits = exact_quantiles(filled, names, [quantile]).scalar_map()
+    limits = quantile_map(exact_quantiles(filled, names, [quantile]))
     clipped = {
-        n: F.when(F.col(n).cast("double") > limits(n, quantile), limits(n, quantile)).otherwise(
-            F.col(n).cast("double")
-        )
-        for n in names
+        n: F.least(F.col(n).cast("double"), quantile_of(F.col("_limits"), n, quantile)) for n in names
     }
-    return filled.withColumns(clipped)
+    return filled.withColumn("_limits", limits).withColumns(clipped).drop("_limits")

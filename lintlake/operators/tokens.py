@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions import text as X
-from lintlake.functions.ranks import exact_quantiles
+from lintlake.functions.ranks import exact_quantiles, quantile_map, quantile_of
 
 # Length limit, share of head lines and the mark left by truncation.
 MAX_LENGTH = 512
@@ -65,13 +65,8 @@ def token_statistics(codes: DataFrame, tokens: Column | None = None) -> DataFram
     source = default_tokens(F.col("code")) if tokens is None else tokens
     lengths = codes.select(F.size(source).cast("double").alias("n"))
     base = lengths.agg(F.min("n").alias("min"), F.max("n").alias("max"), F.avg("n").alias("mean"))
-    at = exact_quantiles(lengths, ["n"], [0.5, 0.9, 0.95, 0.99]).scalar_map()
-    return base.select(
-        "min",
-        "max",
-        "mean",
-        at("n", 0.5).alias("median"),
-        at("n", 0.9).alias("p90"),
-        at("n", 0.95).alias("p95"),
-        at("n", 0.99).alias("p99"),
+    names = {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    held = quantile_map(exact_quantiles(lengths, ["n"], list(names.values())))
+    return base.withColumn("_at", held).select(
+        "min", "max", "mean", *[quantile_of(F.col("_at"), "n", q).alias(n) for n, q in names.items()]
     )

@@ -434,9 +434,10 @@ SELECT count(*) AS total, count(*) FILTER (quality = 1) AS buggy, count(*) FILTE
 SQL["d1_splits"] = f"SELECT doc_id AS id, quality AS target, split FROM ({splits('doc_id', 'quality', 'labels')})"
 SQL["d2_statistics"] = """
 SELECT count(*) AS total_rows, count(*) FILTER (lang IS NULL) AS missing_lang, count(*) FILTER (toxic IS NULL) AS missing_toxic,
-  count(*) FILTER (quality IS NULL) AS missing_target, count(*) FILTER (quality = 1) AS class_1,
+  count(*) FILTER (quality IS NULL) AS missing_target,
   round(count(*) FILTER (quality = 1) / count(*)::DOUBLE, 9) AS buggy_ratio, 'lang,n_chars,toxic' AS features
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
+SQL["d2_class_distribution"] = "SELECT quality AS target, count(*) AS n FROM labels GROUP BY quality"
 SQL["d3_validate"] = """
 WITH f AS (SELECT count(*) FILTER (toxic IS NULL) + count(*) FILTER (lang IS NULL) AS nulls FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
 SELECT 0 AS position, 'Only one class present in ''target''. ML models need at least two classes.' AS issue

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lintlake.schemas import COMPLEXITY_ITEM, METRICS_ITEM, REPORT, SECURITY_ITEM, STORED_REPORT
+from lintlake.session import shared_dir
 from lintlake.sources.writers import append_reports
 
 # The languages offered, which include one the parser rejects, and the page limits.
 OFFERED_LANGUAGES = ["python", "c", "cpp", "java", "javascript"]
 PAGE_DEFAULT, PAGE_MAX = 20, 100
+# Rows a top-k may keep in memory for one page.
+DEEP_PAGE = 10_000
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
@@ -31,14 +34,41 @@ def list_reports(
 ) -> DataFrame:
     """A page of reports, newest first, with the total number in ``total``.
 
-    Only ids and times are sorted; ties are settled by id so that pages do not overlap.
+    Ties are settled by id, so that pages do not overlap. Early pages are a top-k; a page far
+    down is found from a stored order of the ids, because a top-k keeps all rows before the page.
     """
     if skip < 0 or not 1 <= limit <= PAGE_MAX:
         raise ValueError(f"skip must be >= 0 and limit in 1..{PAGE_MAX}")
     chosen = _of_language(reports, language)
     total = chosen.agg(F.count("*").alias("n")).scalar()
-    return (
-        chosen.orderBy(F.desc("created_at"), "id").offset(skip).limit(limit).withColumn("total", total)
+    newest = [F.desc("created_at"), F.asc("id")]
+    if skip <= DEEP_PAGE:
+        page = chosen.orderBy(*newest).offset(skip).limit(limit)
+    else:
+        ids = _ordered_ids(chosen, newest).where(F.col("place").between(skip, skip + limit - 1))
+        page = chosen.join(F.broadcast(ids.select("id")), "id", "left_semi").orderBy(*newest)
+    return page.withColumn("total", total)
+
+
+def _ordered_ids(reports: DataFrame, order: list) -> DataFrame:
+    """(id, place): the ids sorted over all partitions and written down with their position.
+
+    The place inside a sorted partition is stored with the row, so reading it back again and
+    again, also after a lost executor, gives the same order.
+    """
+    path = shared_dir(reports.sparkSession, "order")
+    sorted_ids = reports.select("id", "created_at").orderBy(*order)
+    sorted_ids.select("id", F.monotonically_increasing_id().alias("n")).write.parquet(path)
+    placed = reports.sparkSession.read.parquet(path).select(
+        "id",
+        F.shiftrightunsigned("n", 33).alias("part"),
+        F.col("n").bitwiseAND(F.lit((1 << 33) - 1)).alias("within"),
+    )
+    sizes = placed.groupBy("part").agg(F.count("*").alias("size"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"))
+    return placed.join(F.broadcast(starts), "part").select(
+        "id", (F.col("start") + F.col("within")).alias("place")
     )
 
 

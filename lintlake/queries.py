@@ -755,7 +755,7 @@ def f7_valid(spark, d):
 @query
 def f8_clean(spark, d):
     made = features.extract_rough_features(documents(spark, d).select("id", "code"))
-    cleaned = features.clean_features(made)
+    cleaned = features.clean_features(_stored(spark, made, "features"))
     return cleaned.select("id", *[F.round(c, 6).alias(c) for c in FEATURES])
 
 
@@ -805,22 +805,29 @@ def d1_splits(spark, d):
     return datasets.create_splits(rows)
 
 
-@query
-def d2_statistics(spark, d):
-    rows = (
+def _labelled_documents(spark, d):
+    return (
         table(spark, d, "documents")
         .join(table(spark, d, "labels"), "doc_id", "left")
-        .select(F.col("doc_id").alias("id"), "lang", "n_chars", F.col("toxic"), F.col("quality").alias("target"))
+        .select(F.col("doc_id").alias("id"), "lang", "n_chars", "toxic", F.col("quality").alias("target"))
     )
-    made = datasets.dataset_statistics(rows)
+
+
+@query
+def d2_statistics(spark, d):
+    made = datasets.dataset_statistics(_labelled_documents(spark, d))
     return made.select(
         "total_rows", "missing_lang", "missing_toxic", "missing_target",
-        F.element_at("class_distribution", F.lit(1).cast("bigint") if dict(rows.dtypes)["target"] == "bigint" else F.lit(1)).alias("class_1"),
         F.round("buggy_ratio", 9).alias("buggy_ratio"),
         F.array_join("features", ",").alias("features"),
     )
 
 
+@query
+def d2_class_distribution(spark, d):
+    return datasets.class_distribution(_labelled_documents(spark, d))
+
+
 @query
 def d3_validate(spark, d):
     rows = (
