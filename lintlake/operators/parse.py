@@ -8,16 +8,21 @@ from __future__ import annotations
 
 import ast
 import re
+import sys
 import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lintlake.schemas import NODE, PARSED
 
+# The helper travels inside the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Languages, and the language of a file extension.
 LANGUAGES = ("python", "c", "java", "javascript")
 EXTENSIONS = {
@@ -97,7 +102,10 @@ NODE_FIELDS = {
 }
 
 FIELDS = NODE.fieldNames()
-SLOT = {name: i for i, name in enumerate(FIELDS)}
+# Positions of the fields in a row.
+PRE, LAST, PARENT, DEPTH, KIND, NAME, ATTR, BASE, OP, NUM, COUNT, NAMES = range(12)
+DIRECT, TEXT, SCOPE, LINE, END_LINE, COL, NEST, LOOP_PATH = range(12, 20)
+BODY_FIRST, BODY_LAST, BODY_LOOPS, N_FNS = range(20, 24)
 BLANK = [None] * len(FIELDS)
 # Text handled before the rows collected so far are packed into Arrow memory.
 CHUNK_CHARS = 1 << 20
@@ -105,10 +113,10 @@ CHUNK_CHARS = 1 << 20
 
 def _new_row(rows: list[list], kind: str, depth: int, parent: int | None) -> list:
     row = BLANK.copy()
-    row[SLOT["pre"]] = row[SLOT["last"]] = len(rows)
-    row[SLOT["kind"]] = kind
-    row[SLOT["depth"]] = depth
-    row[SLOT["parent"]] = parent
+    row[PRE] = row[LAST] = len(rows)
+    row[KIND] = kind
+    row[DEPTH] = depth
+    row[PARENT] = parent
     rows.append(row)
     return row
 
@@ -140,63 +148,95 @@ def _decorator(node: ast.AST) -> str | None:
     return ast.dump(target) if isinstance(node, (ast.Attribute, ast.Call)) else None
 
 
-def _describe(node: ast.AST, row: list, branches: dict[int, int]) -> None:
-    """Fill the attributes of one Python node."""
-    if isinstance(node, FUNCTION_NODES):
-        a = node.args
-        row[SLOT["name"]] = node.name
-        row[SLOT["n"]] = (
-            len(a.posonlyargs) + len(a.args) + len(a.kwonlyargs) + bool(a.vararg) + bool(a.kwarg)
-        )
-        row[SLOT["names"]] = [d for d in map(_decorator, node.decorator_list) if d is not None]
-        first = node.body[0]
-        if isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant):
-            if isinstance(first.value.value, str):
-                row[SLOT["text"]] = first.value.value
-    elif isinstance(node, ast.Call):
-        func = node.func
-        if isinstance(func, ast.Name):
-            row[SLOT["name"]] = func.id
-        elif isinstance(func, ast.Attribute):
-            row[SLOT["attr"]] = func.attr
-            if isinstance(func.value, ast.Name):
-                row[SLOT["base"]] = func.value.id
-    elif isinstance(node, ast.Assign):
-        row[SLOT["names"]] = [n for t in node.targets for n in _bound_names(t)]
-        row[SLOT["direct"]] = [t.id for t in node.targets if isinstance(t, ast.Name)]
-        if isinstance(node.value, ast.BinOp):
-            row[SLOT["op"]] = type(node.value.op).__name__
-            row[SLOT["num"]] = _number(node.value.right)
-    elif isinstance(node, ast.AugAssign):
-        row[SLOT["op"]] = type(node.op).__name__
-        row[SLOT["num"]] = _number(node.value)
-    elif isinstance(node, ast.AnnAssign):
-        if isinstance(node.target, ast.Name):
-            row[SLOT["names"]] = [node.target.id]
-            if isinstance(node.annotation, ast.Name):
-                row[SLOT["text"]] = node.annotation.id
-            elif isinstance(node.annotation, ast.Constant):
-                row[SLOT["text"]] = str(node.annotation.value)
-    elif isinstance(node, ast.If):
-        if id(node) not in branches:
-            # The whole elif chain is numbered from its head, once.
-            chain = [node]
-            while len(chain[-1].orelse) == 1 and isinstance(chain[-1].orelse[0], ast.If):
-                chain.append(chain[-1].orelse[0])
-            tail = 2 if chain[-1].orelse else 1
-            for back, link in enumerate(reversed(chain)):
-                branches[id(link)] = tail + back
-        row[SLOT["n"]] = branches[id(node)]
-        test = node.test
-        row[SLOT["op"]] = type(test.op if isinstance(test, ast.UnaryOp) else test).__name__
-    elif isinstance(node, ast.BoolOp):
-        row[SLOT["n"]] = len(node.values) - 1
-    elif isinstance(node, ast.comprehension):
-        row[SLOT["n"]] = len(node.ifs)
-    elif isinstance(node, ast.ClassDef):
-        row[SLOT["name"]] = node.name
-    elif isinstance(node, ast.For):
-        row[SLOT["name"]] = node.target.id if isinstance(node.target, ast.Name) else ""
+def _function(node, row: list, branches: dict) -> None:
+    a = node.args
+    row[NAME] = node.name
+    row[COUNT] = (
+        len(a.posonlyargs) + len(a.args) + len(a.kwonlyargs) + bool(a.vararg) + bool(a.kwarg)
+    )
+    row[NAMES] = [d for d in map(_decorator, node.decorator_list) if d is not None]
+    first = node.body[0]
+    if isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant):
+        if isinstance(first.value.value, str):
+            row[TEXT] = first.value.value
+
+
+def _call(node, row: list, branches: dict) -> None:
+    func = node.func
+    if isinstance(func, ast.Name):
+        row[NAME] = func.id
+    elif isinstance(func, ast.Attribute):
+        row[ATTR] = func.attr
+        if isinstance(func.value, ast.Name):
+            row[BASE] = func.value.id
+
+
+def _assign(node, row: list, branches: dict) -> None:
+    row[NAMES] = [n for t in node.targets for n in _bound_names(t)]
+    row[DIRECT] = [t.id for t in node.targets if isinstance(t, ast.Name)]
+    if isinstance(node.value, ast.BinOp):
+        row[OP] = type(node.value.op).__name__
+        row[NUM] = _number(node.value.right)
+
+
+def _augmented(node, row: list, branches: dict) -> None:
+    row[OP] = type(node.op).__name__
+    row[NUM] = _number(node.value)
+
+
+def _annotated(node, row: list, branches: dict) -> None:
+    if isinstance(node.target, ast.Name):
+        row[NAMES] = [node.target.id]
+        if isinstance(node.annotation, ast.Name):
+            row[TEXT] = node.annotation.id
+        elif isinstance(node.annotation, ast.Constant):
+            row[TEXT] = str(node.annotation.value)
+
+
+def _condition(node, row: list, branches: dict) -> None:
+    if id(node) not in branches:
+        # The whole elif chain is numbered from its head, once.
+        chain = [node]
+        while len(chain[-1].orelse) == 1 and isinstance(chain[-1].orelse[0], ast.If):
+            chain.append(chain[-1].orelse[0])
+        tail = 2 if chain[-1].orelse else 1
+        for back, link in enumerate(reversed(chain)):
+            branches[id(link)] = tail + back
+    row[COUNT] = branches[id(node)]
+    test = node.test
+    row[OP] = type(test.op if isinstance(test, ast.UnaryOp) else test).__name__
+
+
+def _choice(node, row: list, branches: dict) -> None:
+    row[COUNT] = len(node.values) - 1
+
+
+def _filters(node, row: list, branches: dict) -> None:
+    row[COUNT] = len(node.ifs)
+
+
+def _class(node, row: list, branches: dict) -> None:
+    row[NAME] = node.name
+
+
+def _loop(node, row: list, branches: dict) -> None:
+    row[NAME] = node.target.id if isinstance(node.target, ast.Name) else ""
+
+
+# How the attributes of a Python node are filled in, by its type.
+DESCRIBE = {
+    ast.FunctionDef: _function,
+    ast.AsyncFunctionDef: _function,
+    ast.ClassDef: _class,
+    ast.For: _loop,
+    ast.If: _condition,
+    ast.Call: _call,
+    ast.Assign: _assign,
+    ast.AugAssign: _augmented,
+    ast.AnnAssign: _annotated,
+    ast.BoolOp: _choice,
+    ast.comprehension: _filters,
+}
 
 
 def _children(node: ast.AST, full: bool) -> list[ast.AST]:
@@ -227,41 +267,41 @@ def python_nodes(code: str, full: bool) -> list[list]:
         if kind is list:
             row, point = item
             if point == "body":
-                row[SLOT["body_first"]] = len(rows)
-                row[SLOT["body_loops"]] = -loops_seen
+                row[BODY_FIRST] = len(rows)
+                row[BODY_LOOPS] = -loops_seen
             elif point == "orelse":
-                row[SLOT["body_last"]] = len(rows) - 1
-                row[SLOT["body_loops"]] += loops_seen
+                row[BODY_LAST] = len(rows) - 1
+                row[BODY_LOOPS] += loops_seen
             else:
-                row[SLOT["last"]] = len(rows) - 1
+                row[LAST] = len(rows) - 1
                 around.pop()
-                if row[SLOT["n_fns"]] is not None:
-                    row[SLOT["n_fns"]] += fns_seen
+                if row[N_FNS] is not None:
+                    row[N_FNS] += fns_seen
             continue
         sliced = kind is ast.Subscript and type(item.slice) is ast.Slice
         if full or kind in READ_TYPES or sliced:
             parent, scope, path, nest = around[-1]
             row = _new_row(rows, kind.__name__, depth, parent)
-            row[SLOT["scope"]] = scope
-            row[SLOT["lineno"]] = getattr(item, "lineno", None)
-            row[SLOT["end_lineno"]] = getattr(item, "end_lineno", None)
-            row[SLOT["col"]] = getattr(item, "col_offset", None)
+            row[SCOPE] = scope
+            row[LINE] = getattr(item, "lineno", None)
+            row[END_LINE] = getattr(item, "end_lineno", None)
+            row[COL] = getattr(item, "col_offset", None)
             if sliced:
-                row[SLOT["op"]] = "Slice"
-            else:
-                _describe(item, row, branches)
+                row[OP] = "Slice"
+            elif kind in DESCRIBE:
+                DESCRIBE[kind](item, row, branches)
             if kind in NEST_TYPES:
                 nest += 1
-            row[SLOT["nest"]] = nest
+            row[NEST] = nest
             if kind in FUNCTION_TYPES:
                 scope = item.name
-                row[SLOT["n_fns"]] = -fns_seen
+                row[N_FNS] = -fns_seen
                 fns_seen += 1
             elif kind in LOOP_TYPES:
                 loops_seen += 1
-                path = (*path, row[SLOT["pre"]])
-                row[SLOT["loop_path"]] = list(path)
-            around.append((row[SLOT["pre"]], scope, path, nest))
+                path = (*path, row[PRE])
+                row[LOOP_PATH] = list(path)
+            around.append((row[PRE], scope, path, nest))
             todo.append(([row, "end"], depth))
             if kind in LOOP_TYPES:
                 head = [item.target, item.iter] if kind is ast.For else [item.test]
@@ -320,8 +360,8 @@ def brace_nodes(code: str, language: str, full: bool) -> list[list]:
     owner: dict[tuple, str] = {}
     if full:
         root = _new_row(rows, "module", 0, None)
-        root[SLOT["lineno"]], root[SLOT["end_lineno"]] = 1, code.count("\n") + 1
-        root[SLOT["nest"]] = 0
+        root[LINE], root[END_LINE] = 1, code.count("\n") + 1
+        root[NEST] = 0
     top = 0 if full else None
 
     def contents(text: str, first_line: int, depth: int, parent: int | None, scope: str | None):
@@ -332,12 +372,12 @@ def brace_nodes(code: str, language: str, full: bool) -> list[list]:
                 seen = match.start()
                 row = _new_row(rows, kind, depth, parent)
                 word = match.group(1).strip()
-                row[SLOT["name" if kind == "variable" else "attr"]] = word
-                row[SLOT["lineno"]] = row[SLOT["end_lineno"]] = line
-                row[SLOT["nest"]] = int(kind != "variable")
-                row[SLOT["scope"]] = scope
+                row[NAME if kind == "variable" else ATTR] = word
+                row[LINE] = row[END_LINE] = line
+                row[NEST] = int(kind != "variable")
+                row[SCOPE] = scope
                 if kind == "loop":
-                    row[SLOT["loop_path"]] = [row[SLOT["pre"]]]
+                    row[LOOP_PATH] = [row[PRE]]
                 elif scope is not None:
                     owner.setdefault((kind, word, line), scope)
 
@@ -352,27 +392,27 @@ def brace_nodes(code: str, language: str, full: bool) -> list[list]:
             opening = code.find("{", match.start())
         closing = _closing_brace(code, opening) if opening >= 0 else -1
         row = _new_row(rows, "function_def", 1, top)
-        row[SLOT["name"]] = name
-        row[SLOT["lineno"]] = line
-        row[SLOT["end_lineno"]] = line
-        row[SLOT["text"]] = ""
-        row[SLOT["nest"]] = 0
-        row[SLOT["n"]] = 0
-        row[SLOT["names"]] = []
-        row[SLOT["n_fns"]] = 1
+        row[NAME] = name
+        row[LINE] = line
+        row[END_LINE] = line
+        row[TEXT] = ""
+        row[NEST] = 0
+        row[COUNT] = 0
+        row[NAMES] = []
+        row[N_FNS] = 1
         if closing >= 0:
-            row[SLOT["end_lineno"]] = code.count("\n", 0, closing) + 1
-            row[SLOT["text"]] = code[opening : closing + 1]
-            contents(row[SLOT["text"]], line, 2, row[SLOT["pre"]], name)
-        row[SLOT["last"]] = len(rows) - 1
+            row[END_LINE] = code.count("\n", 0, closing) + 1
+            row[TEXT] = code[opening : closing + 1]
+            contents(row[TEXT], line, 2, row[PRE], name)
+        row[LAST] = len(rows) - 1
     contents(code, 1, 1, top, None)
     for row in rows:
         # Equal conditions and variables belong to the first function that has one.
-        if row[SLOT["kind"]] in ("condition", "variable"):
-            word = row[SLOT["attr"]] or row[SLOT["name"]]
-            row[SLOT["scope"]] = owner.get((row[SLOT["kind"]], word, row[SLOT["lineno"]]))
+        if row[KIND] in ("condition", "variable"):
+            word = row[ATTR] or row[NAME]
+            row[SCOPE] = owner.get((row[KIND], word, row[LINE]))
     if full:
-        rows[0][SLOT["last"]] = len(rows) - 1
+        rows[0][LAST] = len(rows) - 1
     return rows
 
 

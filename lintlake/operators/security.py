@@ -15,14 +15,27 @@ POINTS = {"HIGH": 3.0, "MEDIUM": 1.5, "LOW": 0.5}
 SCORE_CAP = 10.0
 LEVELS = [("CRITICAL", 7.0), ("HIGH", 4.0), ("MEDIUM", 1.5)]
 SNIPPET_CHARS = 100
-# Rules whose pattern can run over many lines when tried on a whole file: the literal that any
-# match contains is tested instead before the lines are looked at.
-LITERAL_GATE = {"SEC-005": "free", "SEC-006": "NULL;"}
-
-EMPTY = (
-    "array<struct<rule_order:int,rule_id:string,rule_name:string,severity:string,cwe_id:string,"
-    "line_number:int,column:int,code_snippet:string,description:string,remediation:string>>"
-)
+# Text that any match of a rule contains, so that most lines and files are passed
+# over by a literal search. Upper and lower case are told apart where the pattern does.
+LITERALS = {
+    "SEC-001": ["+"],
+    "SEC-003": [".."],
+    "SEC-004": ["strcpy"],
+    "SEC-005": ["free"],
+    "SEC-006": ["NULL;"],
+    "SEC-007": ["="],
+    "SEC-008": ["random()", "rand()"],
+    "SEC-009": ["request."],
+    "SEC-010": ["innerHTML"],
+    "SEC-011": ["pickle.loads", "yaml.load"],
+    "SEC-012": ["while"],
+    "SEC-013": ["print", "console.error"],
+    "SEC-014": ["except"],
+    "SEC-015": ["gets", "tempnam", "mktemp"],
+}
+
+RULE_COLUMNS = ["rule_id", "rule_name", "severity", "cwe_id", "description", "remediation"]
+EMPTY = "array<struct<rule_order:int,line_number:int,column:int,code_snippet:string>>"
 
 
 def java_pattern(pattern: str) -> str:
@@ -37,58 +50,82 @@ def _rules(kind: str):
             yield order, rule
 
 
-def _finding(order: int, rule: dict, line: Column, column: Column, text: Column) -> Column:
+def _place(order: int, line: Column, column: Column, text: Column) -> Column:
     return F.struct(
         F.lit(order).alias("rule_order"),
-        F.lit(rule["rule_id"]).alias("rule_id"),
-        F.lit(rule["rule_name"]).alias("rule_name"),
-        F.lit(rule["severity"]).alias("severity"),
-        F.lit(rule["cwe_id"]).alias("cwe_id"),
         line.cast("int").alias("line_number"),
         column.cast("int").alias("column"),
         F.substring(X.strip(text), 1, SNIPPET_CHARS).alias("code_snippet"),
-        F.lit(rule["description"]).alias("description"),
-        F.lit(rule["remediation"]).alias("remediation"),
     )
 
 
-def line_findings(code: Column, language: Column) -> Column:
+def _with_rules(places: Column) -> Column:
+    """Add the columns of its rule to each place."""
+    catalogue = F.array(
+        *[
+            F.struct(*[F.lit(rule[n]).alias(n) for n in RULE_COLUMNS])
+            for rule in (dict(zip(SECURITY_FIELDS, values)) for values in SECURITY_RULES)
+        ]
+    )
+
+    def full(p: Column) -> Column:
+        rule = F.get(catalogue, p["rule_order"])
+        return F.struct(
+            *[rule[n].alias(n) for n in RULE_COLUMNS[:4]],
+            *[p[n].alias(n) for n in ("line_number", "column", "code_snippet")],
+            *[rule[n].alias(n) for n in RULE_COLUMNS[4:]],
+        )
+
+    return F.transform(places, full)
+
+
+def _holds_any(text: Column, literals: list[str]) -> Column:
+    found = text.contains(literals[0])
+    for literal in literals[1:]:
+        found = found | text.contains(literal)
+    return found
+
+
+def _rule_places(code: Column, order: int, rule: dict) -> Column:
+    pattern, literals = java_pattern(rule["pattern"]), LITERALS[rule["rule_id"]]
+    numbered = F.transform(
+        X.lines(code), lambda text, i: F.struct(i.alias("i"), text.alias("text"))
+    )
+    hits = F.filter(
+        numbered, lambda x: _holds_any(x["text"], literals) & x["text"].rlike(pattern)
+    )
+    return F.transform(
+        hits,
+        lambda x: _place(
+            order, x["i"] + 1, F.regexp_instr(x["text"], F.lit(pattern)) - 1, x["text"]
+        ),
+    )
+
+
+def _line_places(code: Column, language: Column) -> Column:
     """First match of each rule on each line, in rule order.
 
     Patterns are literals, so each is compiled once per task. A file is split into lines only
-    for rules that match somewhere in its text, which most files have none of.
+    for rules whose literal text it holds.
     """
     found = []
     for order, rule in _rules("regex"):
-        pattern = java_pattern(rule["pattern"])
-        gate = LITERAL_GATE.get(rule["rule_id"])
-        applies = code.contains(gate) if gate else code.rlike(pattern)
+        applies = _holds_any(code, LITERALS[rule["rule_id"]])
         if rule["language"] != "all":
             applies = (F.lower(language) == rule["language"]) & applies
+        found.append(
+            F.when(applies, _rule_places(code, order, rule)).otherwise(F.array().cast(EMPTY))
+        )
+    return F.flatten(F.array(*found))
 
-        def matches(order=order, rule=rule, pattern=pattern) -> Column:
-            numbered = F.transform(
-                X.lines(code), lambda text, i: F.struct(i.alias("i"), text.alias("text"))
-            )
-            hits = F.filter(numbered, lambda x: x["text"].rlike(pattern))
-            return F.transform(
-                hits,
-                lambda x: _finding(
-                    order,
-                    rule,
-                    x["i"] + 1,
-                    F.regexp_instr(x["text"], F.lit(pattern)) - 1,
-                    x["text"],
-                ),
-            )
 
-        found.append(F.when(applies, matches()).otherwise(F.array().cast(EMPTY)))
-    return F.flatten(F.array(*found))
+def line_findings(code: Column, language: Column) -> Column:
+    return _with_rules(_line_places(code, language))
 
 
-def call_findings(code: Column, language: Column, nodes: Column) -> Column:
+def _call_places(code: Column, language: Column, nodes: Column) -> Column:
     """Calls of ``eval`` and ``os.system`` in walk order; none when the file does not parse."""
-    rules = {rule["pattern"]: (order, rule) for order, rule in _rules("ast")}
+    rules = {rule["pattern"]: order for order, rule in _rules("ast")}
 
     def is_eval(n: Column) -> Column:
         return n["name"] == "eval"
@@ -100,8 +137,8 @@ def call_findings(code: Column, language: Column, nodes: Column) -> Column:
         def describe(n: Column) -> Column:
             text = F.coalesce(F.get(rows, n["lineno"] - 1), F.lit(""))
             place = (n["lineno"], n["col"], text)
-            return F.when(is_eval(n), _finding(*rules["eval_call"], *place)).otherwise(
-                _finding(*rules["os_system_call"], *place)
+            return F.when(is_eval(n), _place(rules["eval_call"], *place)).otherwise(
+                _place(rules["os_system_call"], *place)
             )
 
         return F.transform(
@@ -114,13 +151,15 @@ def call_findings(code: Column, language: Column, nodes: Column) -> Column:
     )
 
 
+def call_findings(code: Column, language: Column, nodes: Column) -> Column:
+    return _with_rules(_call_places(code, language, nodes))
+
+
 def add_findings(parsed: DataFrame) -> DataFrame:
     """Add ``findings``: line findings in rule order, then call findings in walk order."""
     code, language = F.col("code"), F.col("language")
-    return parsed.withColumn(
-        "findings",
-        F.concat(line_findings(code, language), call_findings(code, language, F.col("nodes"))),
-    )
+    places = F.concat(_line_places(code, language), _call_places(code, language, F.col("nodes")))
+    return parsed.withColumn("findings", _with_rules(places))
 
 
 def _rows(found: DataFrame) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 import math
 import random
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -23,6 +25,9 @@ from lintlake.functions.ranks import running_totals
 from lintlake.operators.datasets import split_key
 from lintlake.operators.evaluation import classification_metrics
 
+# The neighbour search travels inside the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 NOT_FEATURES = ("id", "target", "func", "project", "commit_id", "language")
 SEED = 42
 # Deepest tree Spark ML grows; stands for "no limit".

@@ -35,11 +35,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """Use all cores when a small table arrives in fewer partitions than there are cores.
 
     Done on the narrow key rows, before text is made of them; larger inputs are left alone.
+    A stream is always spread, because a micro-batch may hold a single file.
     """
-    if df.isStreaming:
-        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    if df.isStreaming or df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, key)
+    return df
 
 
 def template_code(key: Column) -> tuple[Column, Column]:
