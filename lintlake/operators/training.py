@@ -5,28 +5,20 @@ from __future__ import annotations
 import json
 import math
 import random
-import sys
-from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lintlake.functions.ranks import running_totals
-from lintlake.operators.datasets import split_key
+from lintlake.operators.datasets import MAX_CLASSES, split_key
 from lintlake.operators.evaluation import classification_metrics
-
-# The neighbour search travels inside the job, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from lintlake.operators.neighbours import nearest_neighbours
 
 NOT_FEATURES = ("id", "target", "func", "project", "commit_id", "language")
 SEED = 42
@@ -35,7 +27,7 @@ MAX_DEPTH = 30
 SCORES = ["accuracy", "precision", "recall", "f1", "roc_auc"]
 
 # Default settings of the two models.
-FOREST = {"numTrees": 100, "maxDepth": 15, "minInstancesPerNode": 1, "seed": SEED}
+FOREST = {"numTrees": 100, "maxDepth": 15, "minInstancesPerNode": 2, "seed": SEED}
 BOOSTED = {
     "maxIter": 150,
     "maxDepth": 6,
@@ -48,8 +40,6 @@ BOOSTED = {
 FOREST_GRID = {"numTrees": [50, 100, 200], "maxDepth": [10, 20, MAX_DEPTH], "weightCol": ["balanced", "unit"]}
 BOOSTED_GRID = {"maxIter": [50, 100, 200], "maxDepth": [4, 6, 8], "stepSize": [0.01, 0.1, 0.2]}
 TRIALS, SEARCH_FOLDS, FOLDS, NEIGHBOURS = 20, 3, 5, 5
-# Minority points compared at once: at most this many vectors are sent to every executor.
-BLOCK_POINTS = 100_000
 
 
 def feature_names(df: DataFrame) -> list[str]:
@@ -125,63 +115,14 @@ def predictions(model: PipelineModel, data: DataFrame) -> DataFrame:
     )
 
 
-def _nearest(block: np.ndarray, ids: np.ndarray, k: int) -> Callable:
-    """Per batch of points, the k nearest points of a block other than the point itself."""
-    norms = (block**2).sum(axis=1)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.iloc[start : start + 256]
-                points = np.stack(part["x"].to_numpy())
-                gaps = (points**2).sum(axis=1)[:, None] + norms[None, :] - 2.0 * points @ block.T
-                gaps[part["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
-                near = np.argpartition(gaps, min(k, len(ids)) - 1, axis=1)[:, :k]
-                rows, columns = np.repeat(np.arange(len(part)), near.shape[1]), near.ravel()
-                found = pd.DataFrame(
-                    {
-                        "id": part["id"].to_numpy()[rows],
-                        "gap": gaps[rows, columns],
-                        "y": list(block[columns]),
-                    }
-                )
-                yield found[np.isfinite(found["gap"])]
-
-    return search
-
-
-def nearest_neighbours(points: DataFrame, k: int = NEIGHBOURS, block_points: int = BLOCK_POINTS) -> DataFrame:
-    """(id, neighbours): the exact k nearest other points of each (id, x) point.
-
-    The points are compared block by block. A block is a hash slice of a counted size, small
-    enough to send to every executor, so memory stays bounded whatever the number of points.
-    """
-    spark = points.sparkSession
-    blocks = max(1, math.ceil(points.count() / block_points))
-    sliced = points.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    found = None
-    for number in range(blocks):
-        rows = sliced.where(F.col("block") == number).select("id", "x").toPandas()
-        if rows.empty:
-            continue
-        block, ids = np.stack(rows["x"].to_numpy()), rows["id"].to_numpy()
-        near = points.select("id", "x").mapInPandas(
-            _nearest(block, ids, k), "id string, gap double, y array<double>"
-        )
-        found = near if found is None else found.unionByName(near)
-    if found is None:
-        return spark.createDataFrame([], "id string, neighbours array<array<double>>")
-    best = F.slice(F.array_sort(F.collect_list(F.struct("gap", "y"))), 1, k)
-    return found.groupBy("id").agg(F.transform(best, lambda b: b["y"]).alias("neighbours"))
-
-
 def smote(data: DataFrame, k: int = NEIGHBOURS, seed: int = SEED) -> DataFrame:
     """Add synthetic minority rows until the classes balance.
 
     Each new row lies between a minority row and one of its k nearest minority rows. The new
     rows are dealt evenly over the minority rows by rank.
     """
-    totals = {r["target"]: r["n"] for r in data.groupBy("target").agg(F.count("*").alias("n")).collect()}
+    counts = data.groupBy("target").agg(F.count("*").alias("n")).limit(MAX_CLASSES)
+    totals = {r["target"]: r["n"] for r in counts.collect()}
     if len(totals) < 2:
         return data
     minority = min(totals, key=lambda c: (totals[c], c))
@@ -212,8 +153,6 @@ def smote(data: DataFrame, k: int = NEIGHBOURS, seed: int = SEED) -> DataFrame:
         .withColumn("y", F.element_at("neighbours", (F.floor(F.col("pick") * F.size("neighbours")) + 1).cast("int")))
         .withColumn("z", F.zip_with("x", "y", lambda a, b: a + F.col("gap") * (b - a)))
     )
-    from pyspark.ml.functions import array_to_vector
-
     new = made.select(
         F.concat("id", F.lit("~"), F.col("copy").cast("string")).alias("id"),
         array_to_vector("z").alias("features"),
@@ -356,13 +295,3 @@ def feature_importances(model: PipelineModel, names: list[str], top: int = 15) -
     rows = [(name, float(value)) for name, value in zip(names, values)]
     table = SparkSession.active().createDataFrame(rows, "feature string, importance double")
     return table.orderBy(F.desc("importance"), "feature").limit(top)
-
-
-PREDICTION = T.StructType(
-    [
-        T.StructField("id", T.StringType()),
-        T.StructField("y_true", T.IntegerType()),
-        T.StructField("y_pred", T.IntegerType()),
-        T.StructField("y_proba", T.DoubleType()),
-    ]
-)

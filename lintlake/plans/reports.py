@@ -77,10 +77,16 @@ def count_reports(reports: DataFrame, language: str | None = None) -> DataFrame:
 
 
 def summary_stats(reports: DataFrame) -> DataFrame:
-    """Reports by risk level, and all of them in the row with a null level, in one pass."""
-    return reports.rollup("risk_level").agg(
-        F.count("*").alias("analyses"),
-        F.coalesce(F.avg("bug_probability"), F.lit(0.0)).alias("average_bug_probability"),
+    """Reports by risk level, and all of them in the row with a null level, in one pass.
+
+    Only the sums per level are rolled up.
+    """
+    levels = reports.groupBy("risk_level").agg(
+        F.count("*").alias("n"), F.sum("bug_probability").alias("p")
+    )
+    return levels.rollup("risk_level").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("analyses"),
+        F.coalesce(F.sum("p") / F.sum("n"), F.lit(0.0)).alias("average_bug_probability"),
     )
 
 
