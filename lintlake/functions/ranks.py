@@ -29,31 +29,30 @@ def running_totals(
     labels): the broadcast tables hold at most ``buckets`` rows per key.
     """
     steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    group = keys or [F.lit(0).alias("_all")]
-    cuts = counted.groupBy(*group).agg(
+    facts = [
         F.array_distinct(F.percentile_approx(order, steps, ACCURACY)).alias("_cuts"),
         *[F.sum(s).alias(f"{s}_total") for s in sums],
-    )
-    on = keys or ["_all"]
-    rows = counted if keys else counted.withColumn("_all", F.lit(0))
-    placed = rows.join(F.broadcast(cuts), on).withColumn(
-        "_bucket",
-        F.size(F.filter("_cuts", lambda c: c < F.col(order))) * (-1 if descending else 1),
-    ).drop("_cuts")
-    totals = placed.groupBy(*on, "_bucket").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
-    earlier = Window.partitionBy(*on).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ]
+    if keys:
+        placed = counted.join(F.broadcast(counted.groupBy(*keys).agg(*facts)), keys)
+    else:
+        one = counted.agg(*facts).select(F.struct("*").alias("f")).scalar()
+        placed = counted.withColumn("_f", one).select(*counted.columns, "_f.*")
+    below = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
+    placed = placed.withColumn("_bucket", -below if descending else below).drop("_cuts")
+    totals = placed.groupBy(*keys, "_bucket").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
+    ahead = Window.unboundedPreceding, -1
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(*ahead)
     offsets = totals.select(
-        *on, "_bucket", *[F.coalesce(F.sum(f"_{s}").over(earlier), F.lit(0)).alias(f"_{s}") for s in sums]
+        *keys, "_bucket", *[F.coalesce(F.sum(f"_{s}").over(earlier), F.lit(0)).alias(f"_{s}") for s in sums]
     )
     by = F.desc(order) if descending else F.asc(order)
-    inside = (
-        Window.partitionBy(*on, "_bucket").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(by).rowsBetween(*ahead)
     result = placed.withColumns(
         {f"{s}_before": F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sums}
-    ).join(F.broadcast(offsets), [*on, "_bucket"])
+    ).join(F.broadcast(offsets), [*keys, "_bucket"])
     result = result.withColumns({f"{s}_before": F.col(f"{s}_before") + F.col(f"_{s}") for s in sums})
-    return result.drop("_bucket", *[f"_{s}" for s in sums], *([] if keys else ["_all"]))
+    return result.drop("_bucket", *[f"_{s}" for s in sums])
 
 
 def quantile_map(quantiles: DataFrame) -> Column:
@@ -83,8 +82,14 @@ def exact_quantiles(df: DataFrame, columns: list[str], qs: list[float]) -> DataF
             )
         )
     ).where("value IS NOT NULL")
-    counted = long.groupBy("name", "value").agg(F.count("*").alias("n"))
-    ranked = running_totals(counted, ["name"], "value", ["n"])
+    return quantiles_of_counts(
+        long.groupBy("name", "value").agg(F.count("*").alias("n")), qs, ["name"]
+    )
+
+
+def quantiles_of_counts(counted: DataFrame, qs: list[float], keys: list[str]) -> DataFrame:
+    """The same from the counts ``n`` of each ``value`` per key."""
+    ranked = running_totals(counted, keys, "value", ["n"])
     spread = ranked.withColumn("q", F.explode(F.array(*[F.lit(q) for q in qs])))
     at = F.col("q") * (F.col("n_total") - 1)
 
@@ -92,13 +97,13 @@ def exact_quantiles(df: DataFrame, columns: list[str], qs: list[float]) -> DataF
         inside = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
         return F.max(F.when(inside, F.col("value")))
 
-    picked = spread.groupBy("name", "q").agg(
+    picked = spread.groupBy(*keys, "q").agg(
         held(F.floor(at)).alias("low"),
         held(F.ceil(at)).alias("high"),
         F.max(at - F.floor(at)).alias("part"),
     )
     between = F.col("low") + (F.col("high") - F.col("low")) * F.col("part")
-    return picked.select("name", "q", between.alias("value"))
+    return picked.select(*keys, "q", between.alias("value"))
 
 
 def with_scan_index(df: DataFrame, name: str) -> DataFrame:

@@ -75,13 +75,13 @@ def standardize(features: DataFrame, names: list[str]) -> DataFrame:
     facts = features.agg(
         *[F.avg(n).alias(f"m_{n}") for n in names], *[F.stddev_pop(n).alias(f"s_{n}") for n in names]
     )
-    one = facts.select(F.struct("*").alias("f")).scalar()
+    held = features.withColumn("_f", facts.select(F.struct("*").alias("f")).scalar())
 
     def scaled(n: str) -> Column:
-        spread = F.when(one[f"s_{n}"] == 0, 1.0).otherwise(one[f"s_{n}"])
-        return (F.col(n) - one[f"m_{n}"]) / spread
+        spread = F.when(F.col(f"_f.s_{n}") == 0, 1.0).otherwise(F.col(f"_f.s_{n}"))
+        return (F.col(n) - F.col(f"_f.m_{n}")) / spread
 
-    return features.withColumns({n: scaled(n) for n in names})
+    return held.withColumns({n: scaled(n) for n in names}).drop("_f")
 
 
 def reduce_dimensions(embeddings: DataFrame, size: int) -> DataFrame:

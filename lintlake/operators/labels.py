@@ -25,7 +25,7 @@ def code_labels(lines: DataFrame, order: str = "line") -> DataFrame:
     rows = lines
     if "_corrupt_record" in lines.columns:
         first_bad = lines.where("_corrupt_record IS NOT NULL").agg(F.min(order)).scalar()
-        rows = lines.where(first_bad.isNull() | (F.col(order) < first_bad))
+        rows = lines.where(F.col(order) < F.coalesce(first_bad, F.lit((1 << 63) - 1)))
     key = F.concat_ws(
         "_",
         F.coalesce("project", F.lit("unk")),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions import text as X
-from lintlake.functions.ranks import exact_quantiles, quantile_map, quantile_of
+from lintlake.functions.ranks import quantile_map, quantile_of, quantiles_of_counts
 
 # Length limit, share of head lines and the mark left by truncation.
 MAX_LENGTH = 512
@@ -61,12 +61,21 @@ def truncate_code(code: Column, max_tokens: int = MAX_LENGTH) -> Column:
 
 
 def token_statistics(codes: DataFrame, tokens: Column | None = None) -> DataFrame:
-    """Min, max, mean and exact percentiles of token counts over a table."""
+    """Min, max, mean and exact percentiles of token counts over a table.
+
+    Every figure comes from the table of counts per length.
+    """
     source = default_tokens(F.col("code")) if tokens is None else tokens
-    lengths = codes.select(F.size(source).cast("double").alias("n"))
-    base = lengths.agg(F.min("n").alias("min"), F.max("n").alias("max"), F.avg("n").alias("mean"))
+    lengths = codes.select(F.size(source).cast("double").alias("value"))
+    counted = lengths.groupBy("value").agg(F.count("*").alias("n"))
+    base = counted.agg(
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
+    )
     names = {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-    held = quantile_map(exact_quantiles(lengths, ["n"], list(names.values())))
+    found = quantiles_of_counts(counted, list(names.values()), [])
+    held = quantile_map(found.withColumn("name", F.lit("n")))
     return base.withColumn("_at", held).select(
         "min", "max", "mean", *[quantile_of(F.col("_at"), "n", q).alias(n) for n, q in names.items()]
     )

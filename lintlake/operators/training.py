@@ -62,14 +62,20 @@ def with_weights(data: DataFrame) -> DataFrame:
     counts = data.agg(
         F.count("*").alias("n"), F.count_if(F.col("target") == 1).alias("pos")
     ).select(F.struct("n", "pos").alias("c")).scalar()
-    n, pos = counts["n"], counts["pos"]
+    n, pos = F.col("_c.n"), F.col("_c.pos")
     of_class = F.when(F.col("target") == 1, pos).otherwise(n - pos)
-    return data.withColumns(
-        {
-            "balanced": n / (2.0 * of_class),
-            "boost": F.when(F.col("target") == 1, (n - pos) / F.greatest(pos, F.lit(1))).otherwise(1.0),
-            "unit": F.lit(1.0),
-        }
+    return (
+        data.withColumn("_c", counts)
+        .withColumns(
+            {
+                "balanced": n / (2.0 * of_class),
+                "boost": F.when(
+                    F.col("target") == 1, (n - pos) / F.greatest(pos, F.lit(1))
+                ).otherwise(1.0),
+                "unit": F.lit(1.0),
+            }
+        )
+        .drop("_c")
     )
 
 
