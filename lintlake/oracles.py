@@ -404,6 +404,8 @@ SQL["f4_text"] = f"SELECT doc_id AS id, {ints(_text, _blank)} FROM documents"
 SQL["f5_features"] = f"""{WITH} SELECT file_id AS id, {ints(_structure, _failed)}, CASE WHEN {_failed} THEN 0.0 ELSE {AVG} END AS avg_function_length,
   {ints({'line_count': count('code', chr(10)) + ' + 1'}, 'k = 15')}, CASE WHEN k = 15 THEN 0.0 ELSE {ratio('code')} END AS comment_ratio,
   {ints(text_counts('code', 'n_functions'), _failed)}, {_failed} AS error FROM files"""
+SQL["f6_batch"] = f"""
+SELECT CAST(row_number() OVER (ORDER BY item_id) - 1 AS VARCHAR) AS id, {ints({'line_count': count('text', chr(10)) + ' + 1'}, _blank)}, {_blank} AS error FROM benchmark"""
 SQL["f7_valid"] = f"{WITH} SELECT file_id AS id, {ints({'line_count': count('code', chr(10)) + ' + 1'}, 'FALSE')} FROM files WHERE NOT {_failed}"
 _all = {
     **{n: f"CAST({v} AS DOUBLE)" for n, v in _rough.items()},
@@ -424,7 +426,7 @@ SQL["l2_code_labels"] = """
 SELECT coalesce(CASE WHEN o_orderstatus <> 'P' THEN 'p' || (o_custkey % 50) END, 'unk') || '_' ||
   CASE WHEN o_orderkey % 5 <> 0 THEN 'c' || (o_orderkey % 1000) ELSE CAST(o_orderkey AS VARCHAR) END AS key,
   arg_max(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END, o_orderkey) AS target
-FROM orders WHERE o_orderkey < coalesce((SELECT min(o_orderkey) FROM orders WHERE o_orderkey = 10000), 9223372036854775807) GROUP BY ALL"""
+FROM orders WHERE o_orderkey < (SELECT min(o_orderkey) FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) - 5 FROM orders)) GROUP BY ALL"""
 SQL["l3_verdict_labels"] = """
 SELECT conv_id || '-' || turn AS key, CASE WHEN regexp_matches(lower(text), 'error|fail|bug|vulnerable|reject|wrong') THEN 1 ELSE 0 END AS target FROM conversations"""
 SQL["l4_align"] = "SELECT d.doc_id AS id, lang, coalesce(CAST(quality AS INTEGER), 0) AS target FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
@@ -476,6 +478,8 @@ SELECT label, round(precision, 9) AS precision, round(recall, 9) AS recall, roun
 SQL["e12_compare_models"] = f"""WITH {PRED}, flipped AS (SELECT y_true, 1 - y_pred AS y_pred, 1 - y_proba AS y_proba FROM pred)
 SELECT 'score' AS model, round(f1, 9) AS f1, round(roc_auc, 9) AS roc_auc FROM {scores('pred')}
 UNION ALL SELECT 'flipped', round(f1, 9), round(roc_auc, 9) FROM {scores('flipped')}"""
+SQL["e16_save_and_load"] = "SELECT count(*) AS n, count(*) AS alike FROM labels"
+SQL["e17_latest"] = SQL["e16_save_and_load"]
 SQL["e18_versions"] = """SELECT '2024010' || v || '_000000' AS version, v > 1 AS kept FROM (VALUES (1), (2), (3), (4)) t(v) WHERE (SELECT count(*) FROM labels) > 0"""
 
 # ---- tokens and embeddings ----
@@ -507,6 +511,7 @@ SQL["t8_fuse"] = """
 WITH b AS (SELECT *, CAST(label AS DOUBLE) AS a, CAST(vec_id % 7 AS DOUBLE) AS b FROM embeddings)
 SELECT CAST(vec_id AS VARCHAR) AS id, 66 AS width, round((a - avg(a) OVER ()) / stddev_pop(a) OVER (), 6) AS x0, round((b - avg(b) OVER ()) / stddev_pop(b) OVER (), 6) AS x1,
   round(CAST(embedding[1] AS DOUBLE), 6) AS x2, round(CAST(embedding[2] AS DOUBLE), 6) AS x3 FROM b"""
+SQL["t8_fuse_reduced"] = "SELECT CAST(vec_id AS VARCHAR) AS id, 22 AS width FROM embeddings JOIN labels ON vec_id = doc_id"
 SQL["t11_baseline"] = f"""WITH {PRED}, strict AS (SELECT y_true, CAST(y_proba >= 0.7 AS INTEGER) AS y_pred, y_proba FROM pred),
 o AS (SELECT * FROM {scores('pred')}), s AS (SELECT * FROM {scores('strict')}),
 j AS (SELECT 'accuracy' AS metric, o.accuracy AS base, s.accuracy AS new FROM o, s UNION ALL SELECT 'precision', o.precision, s.precision FROM o, s

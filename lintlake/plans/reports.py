@@ -34,20 +34,22 @@ def list_reports(
 ) -> DataFrame:
     """A page of reports, newest first, with the total number in ``total``.
 
-    Ties are settled by id, so that pages do not overlap. Early pages are a top-k; a page far
-    down is found from a stored order of the ids, because a top-k keeps all rows before the page.
+    Ties are settled by id, so that pages do not overlap. The page is found on (created_at, id)
+    alone and its rows, at most ``PAGE_MAX``, are fetched by id. Early pages are a top-k; a page
+    far down comes from a stored order, because a top-k keeps all rows before the page.
     """
     if skip < 0 or not 1 <= limit <= PAGE_MAX:
         raise ValueError(f"skip must be >= 0 and limit in 1..{PAGE_MAX}")
     chosen = _of_language(reports, language)
     total = chosen.agg(F.count("*").alias("n")).scalar()
     newest = [F.desc("created_at"), F.asc("id")]
+    keys = chosen.select("created_at", "id")
     if skip <= DEEP_PAGE:
-        page = chosen.orderBy(*newest).offset(skip).limit(limit)
+        page = keys.orderBy(*newest).offset(skip).limit(limit)
     else:
-        ids = _ordered_ids(chosen, newest).where(F.col("place").between(skip, skip + limit - 1))
-        page = chosen.join(F.broadcast(ids.select("id")), "id", "left_semi").orderBy(*newest)
-    return page.withColumn("total", total)
+        page = _ordered_ids(keys, newest).where(F.col("place").between(skip, skip + limit - 1))
+    rows = chosen.join(F.broadcast(page.select("id")), "id", "left_semi")
+    return rows.orderBy(*newest).withColumn("total", total)
 
 
 def _ordered_ids(reports: DataFrame, order: list) -> DataFrame:
@@ -57,8 +59,7 @@ def _ordered_ids(reports: DataFrame, order: list) -> DataFrame:
     again, also after a lost executor, gives the same order.
     """
     path = shared_dir(reports.sparkSession, "order")
-    sorted_ids = reports.select("id", "created_at").orderBy(*order)
-    sorted_ids.select("id", F.monotonically_increasing_id().alias("n")).write.parquet(path)
+    reports.orderBy(*order).select("id", F.monotonically_increasing_id().alias("n")).write.parquet(path)
     placed = reports.sparkSession.read.parquet(path).select(
         "id",
         F.shiftrightunsigned("n", 33).alias("part"),

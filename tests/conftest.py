@@ -5,6 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+# The two snippets the answers are known for.
 SAMPLE = '''
 def hello_world():
     print("Hello, world!")
