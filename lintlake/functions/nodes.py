@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FUNCTION_KINDS = ("FunctionDef", "AsyncFunctionDef", "function_def")
@@ -50,3 +50,14 @@ def functions(nodes: Column) -> Column:
 def breadth_first(items: Column) -> Column:
     """Items that start with (depth, pre) in breadth-first order."""
     return F.array_sort(items)
+
+
+def unnest(df: DataFrame, keep: list[str], items: str, position: str) -> DataFrame:
+    """One row per element of an array-of-structs column, with its position.
+
+    The outer form is used and empty rows are dropped afterwards: from the inner form the
+    optimizer infers a test of the array's size and pushes it below the projection that
+    computes the array, which would then be computed again, within its own lambdas too.
+    """
+    rows = df.select(*keep, F.posexplode_outer(items).alias(position, "_item"))
+    return rows.where(F.col(position).isNotNull()).select(*keep, position, "_item.*")

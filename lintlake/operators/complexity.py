@@ -212,28 +212,28 @@ def estimate_structs(facts: Column) -> Column:
 def add_estimates(parsed: DataFrame) -> DataFrame:
     """Add ``estimates``; empty for brace languages and files that do not parse."""
     nodes = F.col("nodes")
-    return parsed.withColumn(
-        "function_facts", F.coalesce(function_facts(nodes), F.lit(None))
-    ).withColumn("estimates", estimate_structs(F.col("function_facts"))).drop("function_facts")
+    facts = parsed.withColumn("function_facts", function_facts(nodes))
+    return facts.withColumn("estimates", estimate_structs(F.col("function_facts"))).drop(
+        "function_facts"
+    )
 
 
 def estimates_table(files: DataFrame) -> DataFrame:
     """One row per Python function; ``walk_order`` numbers the functions of a file."""
-    return (
-        add_estimates(with_nodes(files))
-        .select("file_id", F.posexplode("estimates").alias("walk_order", "e"))
-        .select("file_id", "walk_order", "e.*")
-        .drop("depth", "pre")
-    )
+    made = add_estimates(with_nodes(files))
+    return N.unnest(made, ["file_id"], "estimates", "walk_order").drop("depth", "pre")
 
 
 def facts_table(files: DataFrame) -> DataFrame:
     """The rule inputs of every Python function."""
-    return (
-        with_nodes(files)
-        .select("file_id", function_facts(F.col("nodes")).alias("facts"))
-        .select("file_id", F.inline("facts"))
-    )
+    made = with_nodes(files).select("file_id", function_facts(F.col("nodes")).alias("facts"))
+    return N.unnest(made, ["file_id"], "facts", "position")
+
+
+def loop_nests_table(files: DataFrame) -> DataFrame:
+    """The loop chains of every Python function."""
+    facts = facts_table(files).withColumnRenamed("name", "function_name")
+    return N.unnest(facts.select("file_id", "function_name", "loop_nests"), ["file_id", "function_name"], "loop_nests", "chain")
 
 
 def module_searches(files: DataFrame) -> DataFrame:

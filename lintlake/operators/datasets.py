@@ -39,7 +39,8 @@ def create_splits(
         raise ValueError("Ratios must sum to 1.0")
     stratum = F.lit(0)
     if "target" in df.columns:
-        stratum = F.col("target")
+        # Rows without a class are a class of their own.
+        stratum = F.coalesce(F.col("target").cast("string"), F.lit("none"))
         if df.select("target").distinct().limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
             raise ValueError(f"More than {MAX_CLASSES} classes in 'target': not a label column.")
     keyed = df.withColumns({"_stratum": stratum, "_key": split_key(F.col(id_column), seed)})
@@ -58,7 +59,7 @@ def create_splits(
         .otherwise("train")
     )
     return (
-        keyed.join(F.broadcast(cuts), keyed["_stratum"].eqNullSafe(cuts["_stratum"]))
+        keyed.join(F.broadcast(cuts), "_stratum")
         .withColumn("split", split)
         .drop("_stratum", "_key", "_val_from", "_test_from")
     )

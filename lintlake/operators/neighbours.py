@@ -109,7 +109,8 @@ def _visit(k: int):
 
 
 def nearest_neighbours(points: DataFrame, k: int, cell_points: int = CELL_POINTS) -> DataFrame:
-    """(id, neighbours): the k nearest other points of each (id, x) point, nearest first."""
+    """(x, neighbours): for each distinct x of ``points`` its k nearest other points, nearest
+    first; further copies of x come before all others."""
     spark = points.sparkSession
     folder = shared_dir(spark, "neighbours")
     distinct = points.groupBy("x").agg(F.count("*").alias("n"))
@@ -119,7 +120,7 @@ def nearest_neighbours(points: DataFrame, k: int, cell_points: int = CELL_POINTS
     # A fixed number of pivots, drawn by hash.
     drawn = distinct.orderBy(F.xxhash64("x")).limit(wanted).select("x").toPandas()
     if drawn.empty:
-        return spark.createDataFrame([], "id string, neighbours array<array<double>>")
+        return spark.createDataFrame([], "x array<double>, neighbours array<array<double>>")
     pivots = _stack(drawn["x"])
     shape = "x array<double>, n bigint, cell int"
     distinct.mapInPandas(_assign(pivots), f"{shape}, away double").write.parquet(f"{folder}/cells")
@@ -159,7 +160,6 @@ def nearest_neighbours(points: DataFrame, k: int, cell_points: int = CELL_POINTS
     )
     merged = found.groupBy("x").agg(others.alias("others"))
     copies = F.array_repeat("x", F.least(F.col("n") - 1, F.lit(k)).cast("int"))
-    listed = merged.join(distinct, "x").select(
+    return merged.join(distinct, "x").select(
         "x", F.slice(F.concat(copies, "others"), 1, k).alias("neighbours")
     )
-    return points.join(listed, "x").select("id", "neighbours")

@@ -163,22 +163,8 @@ def add_findings(parsed: DataFrame) -> DataFrame:
 
 
 def _rows(found: DataFrame) -> DataFrame:
-    return found.select(
-        "file_id", "path", F.posexplode("findings").alias("finding_order", "f")
-    ).select(
-        "file_id",
-        "finding_order",
-        "f.rule_id",
-        "f.rule_name",
-        "f.severity",
-        "f.cwe_id",
-        F.coalesce("path", F.lit("unknown")).alias("file_path"),
-        "f.line_number",
-        "f.column",
-        "f.code_snippet",
-        "f.description",
-        "f.remediation",
-    )
+    rows = N.unnest(found, ["file_id", "path"], "findings", "finding_order")
+    return rows.withColumn("file_path", F.coalesce("path", F.lit("unknown"))).drop("path")
 
 
 def findings_table(files: DataFrame) -> DataFrame:

@@ -143,8 +143,13 @@ def smote(data: DataFrame, k: int = NEIGHBOURS, seed: int = SEED) -> DataFrame:
         "h",
         ["n"],
     )
-    share = F.expr(f"div((n_before + n) * {wanted}, {have}) - div(n_before * {wanted}, {have})")
-    copies = ranked.select("h", share.cast("int").alias("copies")).where("copies > 0")
+    # Decimals, because the products of two row counts can pass the range of a bigint.
+    before = "CAST(n_before AS DECIMAL(19, 0))"
+    share = F.expr(f"div(({before} + n) * {wanted}, {have}) - div({before} * {wanted}, {have})")
+    groups = ranked.select("h", "n", share.alias("share")).where("share > 0")
+    # Rows that share an id share its new rows; for a unique id nothing is left to chance.
+    extra = (F.rand(seed) * F.col("n") < F.col("share") % F.col("n")).cast("bigint")
+    copies = (F.expr("div(share, n)") + extra).cast("int")
 
     def draw(salt: str):
         key = F.concat_ws("|", "id", F.col("copy").cast("string"), F.lit(f"{salt}{seed}"))
@@ -152,8 +157,10 @@ def smote(data: DataFrame, k: int = NEIGHBOURS, seed: int = SEED) -> DataFrame:
 
     made = (
         rows.withColumn("h", split_key(F.col("id"), seed))
-        .join(copies, "h")
-        .join(near, "id")
+        .join(groups, "h")
+        .withColumn("copies", copies)
+        .where("copies > 0")
+        .join(near, "x")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
         .withColumns({"pick": draw("n"), "gap": draw("g")})
         .withColumn("y", F.element_at("neighbours", (F.floor(F.col("pick") * F.size("neighbours")) + 1).cast("int")))

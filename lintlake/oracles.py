@@ -243,7 +243,7 @@ for _query, _name, _found in (
     ("c6_logarithmic_loop", "logarithmic_loop", "5, 6"),
     ("c7_sort_call", "sort_call", "8, 10, 19"),
 ):
-    SQL[_query] = f"{WITH} SELECT file_id, TRUE AS {_name} FROM files WHERE k IN ({_found})"
+    SQL[_query] = f"{WITH} SELECT file_id, k IN ({_found}) AS {_name} FROM files WHERE ok"
 _estimate = f"""{named('x.name')} AS function_name, cls AS complexity_class, sure::DOUBLE AS confidence, pattern AS matched_pattern,
   recursive AS is_recursive, start_line, end_line"""
 SQL["c8_estimates"] = facts(E.ESTIMATES, _estimate)

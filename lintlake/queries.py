@@ -424,9 +424,8 @@ def m7_cyclomatic_brace(spark, d):
 @query
 def m8_cyclomatic_by_function(spark, d):
     made = metrics.file_metrics(code(spark, d))
-    return made.select(
-        "file_id", F.explode("per_function_complexity").alias("name", "cyclomatic_complexity")
-    )
+    named = F.explode_outer("per_function_complexity").alias("name", "cyclomatic_complexity")
+    return made.select("file_id", named).where("name IS NOT NULL")
 
 
 @query
@@ -475,10 +474,8 @@ def m14_breakdown(spark, d):
 
 @query
 def c1_loop_nests(spark, d):
-    facts = complexity.facts_table(code(spark, d))
-    return facts.select("file_id", F.col("name").alias("function_name"), F.inline("loop_nests")).withColumn(
-        "loop_types", F.array_join("loop_types", ",")
-    )
+    made = complexity.loop_nests_table(code(spark, d)).drop("chain")
+    return made.withColumn("loop_types", F.array_join("loop_types", ","))
 
 
 @query
@@ -497,22 +494,22 @@ def _detector(spark, d, name):
 
 @query
 def c4_binary_search(spark, d):
-    return _detector(spark, d, "binary_search").where("binary_search")
+    return _detector(spark, d, "binary_search")
 
 
 @query
 def c5_divide_and_conquer(spark, d):
-    return _detector(spark, d, "divide_and_conquer").where("divide_and_conquer")
+    return _detector(spark, d, "divide_and_conquer")
 
 
 @query
 def c6_logarithmic_loop(spark, d):
-    return _detector(spark, d, "logarithmic_loop").where("logarithmic_loop")
+    return _detector(spark, d, "logarithmic_loop")
 
 
 @query
 def c7_sort_call(spark, d):
-    return _detector(spark, d, "sort_call").where("sort_call")
+    return _detector(spark, d, "sort_call")
 
 
 @query

@@ -21,7 +21,8 @@ def test_neighbours_are_exact(spark, monkeypatch, cell_points):
     monkeypatch.setattr(neighbours, "SLICE_VISITORS", 40)
     points = cloud()
     df = spark.createDataFrame([(str(i), [float(v) for v in p]) for i, p in enumerate(points)], "id string, x array<double>")
-    got = {int(r.id): np.array(r.neighbours) for r in neighbours.nearest_neighbours(df, 5, cell_points).collect()}
+    near = df.join(neighbours.nearest_neighbours(df, 5, cell_points), "x").collect()
+    got = {int(r.id): np.array(r.neighbours) for r in near}
     assert len(got) == len(points)
     for i, p in enumerate(points):
         gaps = np.sqrt(((points - p) ** 2).sum(1))
@@ -46,3 +47,11 @@ def test_smote_balances(spark):
     low, high = points[:60].min(0), points[:60].max(0)
     assert len(new) == 240 and all((np.array(r.x) >= low - 1e-9).all() and (np.array(r.x) <= high + 1e-9).all() for r in new)
     assert made.select("id").distinct().count() == 600
+
+
+def test_smote_with_a_hot_id(spark):
+    rows = [("same", [float(i % 5), 1.0], 1.0) for i in range(40)] + [(f"n{i}", [float(i), 0.0], 0.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "id string, x array<double>, target double")
+    made = training.smote(df.select("id", array_to_vector("x").alias("features"), "target"))
+    counts = {r.target: r["count"] for r in made.groupBy("target").count().collect()}
+    assert counts == {0.0: 200, 1.0: 200}

@@ -103,6 +103,11 @@ def test_splits_without_target_and_hot_id(spark):
     assert split.groupBy("id").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
 
 
+def test_splits_keep_rows_without_a_class(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else i % 2) for i in range(400)], "id int, target int")
+    assert datasets.create_splits(df).count() == 400
+
+
 def test_validation(spark):
     empty = spark.createDataFrame([], "id int, a double, target int")
     assert [r.issue for r in datasets.validate_dataset(empty).collect()] == ["Dataset is empty."]
