@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lintlake.session import stored
+
 BUCKETS = 64
 ACCURACY = 10_000
 
@@ -25,9 +27,11 @@ def running_totals(
     """Add ``<sum>_before``, the total of the rows ahead in ``order`` with the same keys, and
     ``<sum>_total``, the total of all of them.
 
-    ``counted`` has one row per (keys, order). ``keys`` must be few (feature names, class
+    ``counted`` has one row per (keys, order) and is written down first, because it is read for
+    the bucket bounds, the bucket totals and the ranking. ``keys`` must be few (feature names, class
     labels): the broadcast tables hold at most ``buckets`` rows per key.
     """
+    counted = stored(counted, "counts")
     steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     facts = [
         F.array_distinct(F.percentile_approx(order, steps, ACCURACY)).alias("_cuts"),

@@ -98,7 +98,10 @@ NODE_FIELDS = {
     if kind in LEAF_TYPES or kind is ast.MatchSingleton
     else tuple(f for f in kind._fields if f not in PLAIN_FIELDS)
     for kind in vars(ast).values()
-    if isinstance(kind, type) and issubclass(kind, ast.AST)
+    if isinstance(kind, type)
+    and issubclass(kind, ast.AST)
+    # Old names of Constant are left out.
+    and (kind is ast.Constant or not issubclass(kind, ast.Constant))
 }
 
 FIELDS = NODE.fieldNames()

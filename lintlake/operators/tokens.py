@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lintlake.functions import text as X
 from lintlake.functions.ranks import quantile_map, quantile_of, quantiles_of_counts
+from lintlake.session import stored
 
 # Length limit, share of head lines and the mark left by truncation.
 MAX_LENGTH = 512
@@ -67,7 +68,7 @@ def token_statistics(codes: DataFrame, tokens: Column | None = None) -> DataFram
     """
     source = default_tokens(F.col("code")) if tokens is None else tokens
     lengths = codes.select(F.size(source).cast("double").alias("value"))
-    counted = lengths.groupBy("value").agg(F.count("*").alias("n"))
+    counted = stored(lengths.groupBy("value").agg(F.count("*").alias("n")), "lengths")
     base = counted.agg(
         F.min("value").alias("min"),
         F.max("value").alias("max"),

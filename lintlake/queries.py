@@ -25,7 +25,7 @@ from lintlake.operators import (
 from lintlake.operators.parse import EXTENSIONS, language_of_path, parse_errors, with_nodes
 from lintlake.plans import analysis, reports
 from lintlake.schemas import FEATURES
-from lintlake.session import shared_dir
+from lintlake.session import shared_dir, stored
 from lintlake.sources import corpus, readers, writers
 from lintlake.streaming import submissions
 
@@ -79,9 +79,7 @@ def doc_features(spark: SparkSession, d: str) -> DataFrame:
 
 def training_data(spark: SparkSession, d: str) -> DataFrame:
     """Feature vectors of the labelled documents, written once so that no fit extracts them again."""
-    path = shared_dir(spark, "features")
-    doc_features(spark, d).drop("error").write.parquet(path)
-    return training.preprocess_features(spark.read.parquet(path))
+    return training.preprocess_features(stored(doc_features(spark, d).drop("error"), "features"))
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
@@ -757,7 +755,7 @@ def f7_valid(spark, d):
 @query
 def f8_clean(spark, d):
     made = features.extract_rough_features(documents(spark, d).select("id", "code"))
-    cleaned = features.clean_features(_stored(spark, made, "features"))
+    cleaned = features.clean_features(stored(made, "features"))
     return cleaned.select("id", *[F.round(c, 6).alias(c) for c in FEATURES])
 
 
@@ -1083,21 +1081,15 @@ def t8_fuse_reduced(spark, d):
     return _fused(spark, d, 8).select("id", F.size(vector_to_array("features")).alias("width"))
 
 
-def _stored(spark, df, label):
-    path = shared_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 @query
 def t9_mlp(spark, d):
-    data = _stored(spark, _fused(spark, d), "fused")
+    data = stored(_fused(spark, d), "fused")
     return embeddings.score(embeddings.train_mlp(data, 10), data)
 
 
 @query
 def t10_fused_boosted(spark, d):
-    data = _stored(spark, _fused(spark, d), "fused")
+    data = stored(_fused(spark, d), "fused")
     return embeddings.score(embeddings.train_fused_boosted(data, {"maxIter": 5}), data)
 
 
