@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from lintlake.queries import Q
@@ -45,7 +46,7 @@ def run(df) -> None:
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench")
+    spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench", tempfile.mkdtemp(prefix="run-"))
     spark.sparkContext.setLogLevel("ERROR")
     run(Q["r1_analyze"](spark, os.path.join(os.path.dirname(folder.rstrip("/")), "sf0.001")))
     times = {}

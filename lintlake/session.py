@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "8", app: str = "lintlake") -> SparkSession:
-    """A session for tests and the benchmark; a cluster brings its own."""
+def local_session(cores: str = "8", app: str = "lintlake", scratch: str | None = None) -> SparkSession:
+    """A session for tests and the benchmark; a cluster brings its own. ``scratch``: where stored
+    tables go."""
+    builder = SparkSession.builder
+    if scratch:
+        builder = builder.config("spark.checkpoint.dir", scratch).config("spark.sql.warehouse.dir", f"{scratch}/warehouse")
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.adaptive.enabled", "true")
@@ -27,14 +30,9 @@ def local_session(cores: str = "8", app: str = "lintlake") -> SparkSession:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder: on a cluster a machine-local
-    path would not be seen by the other executors.
+    Where that is unset the folder lies in the warehouse, which every executor can reach as well.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="run-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return os.path.join(root.rstrip("/"), f"lintlake-{label}-{uuid.uuid4().hex}")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import math
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -70,7 +71,7 @@ def main() -> int:
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
-    spark = local_session()
+    spark = local_session(scratch=tempfile.mkdtemp(prefix="run-"))
     spark.sparkContext.setLogLevel("ERROR")
     con, sql, bad = connect(folder), oracle_sql(), 0
     for name, fn in queries().items():

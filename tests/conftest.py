@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -35,7 +36,7 @@ def run_command(user_input):
 def spark():
     from lintlake.session import local_session
 
-    session = local_session("8", "tests")
+    session = local_session("8", "tests", tempfile.mkdtemp(prefix="run-"))
     session.sparkContext.setLogLevel("ERROR")
     return session
 
