@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.llm.common import scalar_row
-from lintlake.session import shared_dir
+from lintlake.session import shared_dir, stored
 
 #: A group is looked up by broadcast if it holds more than 1/HOT_SHARE of the batch.
 HOT_SHARE = 1_000
@@ -66,10 +66,13 @@ def add_batch(docs: DataFrame, index: DigestIndex, batch: str, id_col="doc_id",
     so a job that broke off after this step may be run again."""
     if index.rows().where(F.col("batch") == batch).limit(1).count():
         return
-    counted = (
+    # Written down, because the optimizer would move the anti-join below the aggregate, and all copies
+    # would be shuffled instead of one row for each text and task.
+    counted = stored(
         docs.select(docs[id_col].alias("id"), digest(docs[text_col]).alias("digest"))
         .groupBy("digest")
-        .agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+        .agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")),
+        "counted-digests",
     )
     fresh = counted.join(index.rows().select("digest").hint("merge"), "digest", "left_anti")
     index.append(fresh.select("digest", "keep_id", "group_size", F.lit(batch).alias("batch")))
