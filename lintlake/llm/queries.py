@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import sys
+from lintlake.llm import (
+    op1_warc, op2_toxicity, op3_packing, op5_divergence, op6_simhash, op7_exact_dedup, op8_mixing, op9_quadratic, op10_sharding,
+)
+from lintlake.llm.common import documents, labels
 
-from pyspark.sql import functions as F
-
-from lintlake.llm import op6_simhash, op7_exact_dedup, op8_mixing, op10_sharding
-from lintlake.llm.common import documents
+TOKENIZER = "byte_bpe_50k.json"
 
 Q, SQL = {}, {}
 
@@ -23,6 +22,28 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_warc_dictionary(spark, folder):
+    return op1_warc.archived(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
+@query()
+def op2_toxicity_grammar(spark, folder):
+    return op2_toxicity.score(documents(spark, folder), labels(spark, folder))
+
+
+@query()
+def op3_bin_slack_packing(spark, folder):
+    import public_tokenizers
+
+    return op3_packing.pack(documents(spark, folder), public_tokenizers.path(TOKENIZER))
+
+
+@query()
+def op5_divergence_rules(spark, folder):
+    return op5_divergence.judge(documents(spark, folder))
+
+
 @query()
 def op6_simhash_near_dedup(spark, folder):
     return op6_simhash.components(documents(spark, folder))
@@ -39,6 +60,11 @@ def op8_mixing_sources(spark, folder):
     return op8_mixing.mix(documents(spark, folder), carry=False)
 
 
+@query()
+def op9_quadratic_quality(spark, folder):
+    return op9_quadratic.score(documents(spark, folder), labels(spark, folder))
+
+
 @query()
 def op10_sampled_splitters(spark, folder):
     return op10_sharding.shard(documents(spark, folder))
