@@ -32,8 +32,11 @@ from lintlake.llm.common import narrow, remainder, stored
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: Labelled documents of each label to learn from; lengths of stems; share and number of the toxic
-#: documents that a term must occur in; least log-odds; most terms.
-FIT_ROWS, STEMS, LEAST_SHARE, LEAST_DOCS, LEAST_ODDS, MOST_TERMS = 10_000, (4, 5, 6), 0.01, 3, 3.0, 400
+#: documents that a term must occur in; least log-odds, after ERRORS standard errors are taken off; the
+#: weight up to which a toxic document is covered by more terms; most terms.
+FIT_ROWS, STEMS, LEAST_SHARE, LEAST_DOCS, LEAST_ODDS, ERRORS, COVER, MOST_TERMS = 10_000, (4, 5, 6, 7, 8), 0.01, 3, 1.2, 1.3, 8.0, 400
+
+FEATURES = ("heaviest", "weight", "density")
 
 # Seed words of the grammar.
 INSULTS = (
@@ -200,10 +203,13 @@ class Scorer:
                 out.append(max(found))
         return out
 
-    def features(self, text: str) -> tuple[float, float]:
-        """The heaviest clause, and the clauses' sum, damped."""
+    def features(self, text: str) -> tuple[float, float, float]:
+        """The heaviest clause, the clauses' sum, and the sum per hundred words, the last two damped."""
         found = self.clauses(text)
-        return (max(found), float(np.log1p(sum(found)))) if found else (0.0, 0.0)
+        if not found:
+            return 0.0, 0.0, 0.0
+        total = sum(found)
+        return max(found), float(np.log1p(total)), float(np.log1p(100 * total / max(len(text.split()), 20)))
 
 
 def terms_of(text: str) -> set[tuple[str, bool]]:
@@ -252,10 +258,12 @@ def lexicon(rows: DataFrame) -> list[tuple[str, bool, float]]:
     in_toxic = count_terms(toxic, None) if n1 and n0 else {}
     if in_toxic:
         in_clean = count_terms(clean, set(in_toxic))
-        odds = {
-            t: float(np.log((n + 0.5) / (n1 + 1)) - np.log((in_clean.get(t, 0) + 0.5) / (n0 + 1))) for t, n in in_toxic.items()
-        }
-        good = {t: w for t, w in odds.items() if w >= LEAST_ODDS}
+        odds, good = {}, {}
+        for t, n in in_toxic.items():
+            m = in_clean.get(t, 0)
+            odds[t] = float(np.log((n + 0.5) / (n1 + 1)) - np.log((m + 0.5) / (n0 + 1)))
+            if odds[t] - ERRORS * (1 / (n + 0.5) + 1 / (m + 0.5)) ** 0.5 >= LEAST_ODDS:
+                good[t] = odds[t]
 
         def run(batches):
             for b in batches:
@@ -263,23 +271,32 @@ def lexicon(rows: DataFrame) -> list[tuple[str, bool, float]]:
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["terms"])
 
         held = [{(x[1:], x[0] == "1") for x in r.terms} for r in toxic.select("text").mapInArrow(run, "terms array<string>").collect()]
-        while held and len(terms) < MOST_TERMS:
-            gain: Counter = Counter()
-            for own in held:
-                gain.update(own)
-            if not gain:
-                break
-            best = max(gain, key=lambda t: (gain[t] * good[t], t))
-            if gain[best] < max(LEAST_DOCS, LEAST_SHARE * n1):
-                break
-            terms[best] = good[best]
-            held = [own for own in held if best not in own]
+        for t, w in choose(held, good, n1).items():
+            terms[t] = w
         for t in list(terms):  # seeds that the labels speak for or against
             if t in odds:
                 terms[t] = max(odds[t], 0.1)
     return [(t, stem, w) for (t, stem), w in sorted(terms.items())]
 
 
+def choose(held: list[set], good: dict, toxic: int) -> dict:
+    """Terms, greedily by what they add to documents whose weight is still below ``COVER``."""
+    where: dict[tuple[str, bool], list[int]] = {}
+    for i, own in enumerate(held):
+        for t in own:
+            where.setdefault(t, []).append(i)
+    weight, taken = np.zeros(len(held)), {}
+    while where and len(taken) < MOST_TERMS:
+        open_ = weight < COVER
+        gains = {t: int(open_[docs].sum()) for t, docs in where.items()}
+        best = max(gains, key=lambda t: (gains[t] * good[t], t))
+        if gains[best] < max(LEAST_DOCS, LEAST_SHARE * toxic):
+            break
+        taken[best] = good[best]
+        weight[where.pop(best)] += good[best]
+    return taken
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
     """Newton's method for a ridge logistic regression with a constant."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -293,25 +310,25 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
 
 
 def matched(rows: DataFrame, terms: list[tuple[str, bool, float]], keep: str, kind: str) -> DataFrame:
-    """``keep`` and the two features of every text."""
+    """``keep`` and the three features of every text."""
 
     def run(batches):
         scorer = Scorer(terms)
         for b in batches:
-            x = np.array([scorer.features(t.as_py()) for t in b.column(1)], float).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], [keep, "heaviest", "weight"])
+            x = np.array([scorer.features(t.as_py()) for t in b.column(1)], float).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x[:, k]) for k in range(3)]], [keep, *FEATURES])
 
-    return rows.select(keep, "text").mapInArrow(run, f"{keep} {kind}, heaviest double, weight double")
+    return rows.select(keep, "text").mapInArrow(run, f"{keep} {kind}, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
 def fit(docs: DataFrame, marks: DataFrame, label_col="toxic"):
     """(terms, coefficients) from narrowed documents and labels."""
     rows = training_rows(docs, marks, label_col)
     terms = lexicon(rows)
-    made = np.array([(r.label, r.heaviest, r.weight) for r in matched(rows, terms, "label", "int").collect()], float).reshape(-1, 3)
+    made = np.array([(r.label, *[r[f] for f in FEATURES]) for r in matched(rows, terms, "label", "int").collect()], float).reshape(-1, 4)
     y = made[:, 0]
     if not (0 < y.sum() < len(y)):
-        return terms, np.array([-4.0, 1.0, 1.0])
+        return terms, np.array([-4.0, 0.5, 0.5, 1.0])
     return terms, logistic(made[:, 1:], y)
 
 
@@ -320,7 +337,9 @@ def score(docs: DataFrame, marks: DataFrame, id_col="doc_id", text_col="text", l
     rows = narrow(docs, id_col, text_col)
     terms, beta = fit(rows, marks, label_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    logit = F.lit(float(beta[0])) + F.col("heaviest") * float(beta[1]) + F.col("weight") * float(beta[2])
+    logit = F.lit(float(beta[0]))
+    for f, b in zip(FEATURES, beta[1:]):
+        logit = logit + F.col(f) * float(b)
     value = 1 / (1 + F.exp(-logit))
     return matched(rows, terms, "doc_id", kind).select(
         "doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), value.alias("score"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lintlake.llm import (
-    op1_warc, op2_toxicity, op3_packing, op5_divergence, op6_simhash, op7_exact_dedup, op8_mixing, op9_quadratic, op10_sharding,
+    op1_warc, op2_toxicity, op3_packing, op4_maxent, op5_divergence, op6_simhash, op7_exact_dedup, op8_mixing, op9_quadratic, op10_sharding,
 )
 from lintlake.llm.common import documents, labels
 
@@ -39,6 +39,11 @@ def op3_bin_slack_packing(spark, folder):
     return op3_packing.pack(documents(spark, folder), public_tokenizers.path(TOKENIZER))
 
 
+@query()
+def op4_hashed_maxent(spark, folder):
+    return op4_maxent.score(documents(spark, folder))
+
+
 @query()
 def op5_divergence_rules(spark, folder):
     return op5_divergence.judge(documents(spark, folder))
