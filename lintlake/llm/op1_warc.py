@@ -113,7 +113,7 @@ class Archive:
             except zstandard.ZstdError:  # too little or too uniform to train on: frames without one
                 taken = None
         self.name = f"{uuid.uuid4().hex}.warc.zst"
-        self.out = self.store.open_output_stream(f"{self.path}/{self.name}")
+        self.out = self.store.open_output_stream(f"{self.path}/{self.name}", compression=None)
         if taken:
             raw = taken.as_bytes()
             self._put(struct.pack("<II", SKIPPABLE, len(raw)) + raw)
@@ -150,23 +150,24 @@ class Archive:
 
 def frames(store, path: str, chunk: int = 1 << 20):
     """The records of an archive, one at a time."""
-    with store.open_input_stream(path) as f:
+    with store.open_input_stream(path, compression=None) as f:
         head = f.read(8)
         taken = None
         if len(head) == 8 and struct.unpack("<I", head[:4])[0] == SKIPPABLE:
             taken = zstandard.ZstdCompressionDict(f.read(struct.unpack("<I", head[4:])[0]))
             head = b""
         press = zstandard.ZstdDecompressor(dict_data=taken)
-        one, parts, data = press.decompressobj(), [], head or f.read(chunk)
+        one, parts, data = None, [], head or f.read(chunk)
         while data:
+            one = one or press.decompressobj()
             parts.append(one.decompress(data))
             if one.eof:
                 yield b"".join(parts)
                 data = one.unused_data or f.read(chunk)
-                one, parts = press.decompressobj(), []
+                one, parts = None, []
             else:
                 data = f.read(chunk)
-        if any(parts):
+        if one:
             raise ValueError("an archive ends inside a record")
 
 
