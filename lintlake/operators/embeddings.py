@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lintlake.functions import text as X
-from lintlake.operators.tokens import MAX_LENGTH, default_tokens
+from lintlake.operators.tokens import default_tokens
 from lintlake.operators.training import boosted, split_key, with_weights
 
 # Batch size of the encoder, sizes of the hidden layers, training rounds.
@@ -24,12 +24,12 @@ DEFAULT_DIM = 64
 
 
 def cls_embedding(vectors: Column) -> Column:
-    """The vector of the first token."""
-    return F.element_at(vectors, 1)
+    """The vector of the first token; null without tokens."""
+    return F.get(vectors, F.lit(0))
 
 
 def mean_pooled_embedding(vectors: Column, mask: Column) -> Column:
-    """Mean of the token vectors where the mask is 1."""
+    """Mean of the token vectors where the mask is 1; null without tokens."""
     kept = F.aggregate(mask, F.lit(0.0), lambda total, m: total + m)
 
     def component(d: Column) -> Column:
@@ -38,7 +38,7 @@ def mean_pooled_embedding(vectors: Column, mask: Column) -> Column:
             kept, F.lit(MASK_FLOOR)
         )
 
-    return F.transform(F.sequence(F.lit(0), F.size(F.element_at(vectors, 1)) - 1), component)
+    return F.transform(F.sequence(F.lit(0), F.size(F.get(vectors, F.lit(0))) - 1), component)
 
 
 def extract_embeddings(
@@ -52,7 +52,7 @@ def extract_embeddings(
 
     ``encoder`` is a loader: called once per Python worker, it returns a function from a batch
     of texts to a batch of vectors, run in Arrow batches of ``batch_size``. Without one, tokens
-    are hashed into ``dim`` buckets in the JVM.
+    are hashed into ``dim`` buckets in the JVM: all of them for ``mean``, the first for ``cls``.
     """
     if pooling not in ("cls", "mean"):
         raise ValueError(f"Unknown pooling method: {pooling}")
@@ -62,8 +62,8 @@ def extract_embeddings(
             encoder, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size
         )
         return codes.withColumn("embedding", predict(text))
-    limit = MAX_LENGTH if pooling == "mean" else 1
-    tokens = codes.withColumn("_tokens", F.slice(default_tokens(text), 1, limit))
+    found = default_tokens(text)
+    tokens = codes.withColumn("_tokens", found if pooling == "mean" else F.slice(found, 1, 1))
     hashed = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dim).transform(tokens)
     size = F.greatest(F.size("_tokens"), F.lit(1))
     mean = X.let(size, lambda n: F.transform(vector_to_array("_tf"), lambda v: (v / n).cast("float")))

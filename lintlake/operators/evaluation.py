@@ -85,11 +85,11 @@ def cumulative_counts(predictions: DataFrame) -> DataFrame:
 def roc_points(predictions: DataFrame) -> DataFrame:
     """(fpr, tpr, threshold) for every distinct score, and the origin at infinity.
 
-    Points on a straight line between neighbours are kept.
+    Points on a straight line between neighbours are kept. A rate of a class without rows is null.
     """
     points = cumulative_counts(predictions).select(
-        (F.col("fp") / F.col("all_neg")).alias("fpr"),
-        (F.col("tp") / F.col("all_pos")).alias("tpr"),
+        F.try_divide("fp", "all_neg").alias("fpr"),
+        F.try_divide("tp", "all_pos").alias("tpr"),
         "threshold",
     )
     origin = predictions.sparkSession.createDataFrame(
@@ -99,10 +99,11 @@ def roc_points(predictions: DataFrame) -> DataFrame:
 
 
 def precision_recall_points(predictions: DataFrame) -> DataFrame:
-    """(precision, recall, threshold), and the end point precision 1, recall 0."""
+    """(precision, recall, threshold), and the end point precision 1, recall 0; without positives
+    recall is null."""
     points = cumulative_counts(predictions).select(
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-        (F.col("tp") / F.col("all_pos")).alias("recall"),
+        F.try_divide("tp", "all_pos").alias("recall"),
         "threshold",
     )
     end = predictions.sparkSession.createDataFrame(

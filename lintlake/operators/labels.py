@@ -20,12 +20,9 @@ def submission_labels(submissions: DataFrame, order: str) -> DataFrame:
 def code_labels(lines: DataFrame, order: str = "line") -> DataFrame:
     """Labels keyed ``project_commit``; defaults are ``unk`` and the line number; last wins.
 
-    Rows from the first bad line on (``_corrupt_record`` set) are left out.
+    Bad lines (``_corrupt_record`` set) are left out, all good ones count; ``bad_lines`` has the others.
     """
-    rows = lines
-    if "_corrupt_record" in lines.columns:
-        first_bad = lines.where("_corrupt_record IS NOT NULL").agg(F.min(order)).scalar()
-        rows = lines.where(F.col(order) < F.coalesce(first_bad, F.lit((1 << 63) - 1)))
+    rows = lines.where("_corrupt_record IS NULL") if "_corrupt_record" in lines.columns else lines
     key = F.concat_ws(
         "_",
         F.coalesce("project", F.lit("unk")),
@@ -36,6 +33,11 @@ def code_labels(lines: DataFrame, order: str = "line") -> DataFrame:
     )
 
 
+def bad_lines(lines: DataFrame, order: str = "line") -> DataFrame:
+    """The lines that could not be read, with their position."""
+    return lines.where("_corrupt_record IS NOT NULL").select(order, "_corrupt_record")
+
+
 def verdict_labels(verdicts: DataFrame) -> DataFrame:
     """Integers are kept, text is 1 when it holds a bug word, anything else is 0."""
     if dict(verdicts.dtypes)["verdict"] in ("int", "bigint", "smallint", "tinyint"):

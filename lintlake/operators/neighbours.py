@@ -1,165 +1,98 @@
-"""Exact nearest neighbours of points, by cells around pivots.
-
-Follows the published pivot-based kNN join: points are grouped around pivots drawn from them, each
-point first searches its own cell, and the distance of its k-th neighbour there tells which
-other cells can still hold a closer one. Copies of a point are counted once, busy cells are
-searched in several slices, and only the best k of a search leave a task.
+"""Approximate nearest neighbours in groups of bounded size.
+
+Every row is placed by the signs of a few random projections around their medians, in several
+independent tables, so that near rows mostly share a cell in one of them. A cell above the group
+size is dealt to salted groups; a group is searched by direct differences, so coordinates far from
+the origin lose no digits. The work is tables x rows x group size, whatever the number of dimensions
+and of copies: copies of a row are rows of their own, and a cell of copies is salted like any other.
+Neighbours are approximate: one that shares no group with a row is not found.
 """
 
 from __future__ import annotations
 
 import math
-import sys
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.session import shared_dir
-
-# The searches travel inside the jobs, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-CELL_POINTS, MAX_PIVOTS, SLICE_VISITORS, BLOCK = 20_000, 16_384, 50_000, 256
-BEST = "array<struct<gap:double,y:array<double>,n:bigint>>"
-
-
-def _stack(values: pd.Series) -> np.ndarray:
-    return np.stack(values.to_numpy()).astype(float)
-
-
-def _gaps(points: np.ndarray, others: np.ndarray) -> np.ndarray:
-    squares = (points**2).sum(1)[:, None] + (others**2).sum(1)[None, :] - 2.0 * points @ others.T
-    return np.sqrt(np.maximum(squares, 0.0))
-
-
-def _closest(points, residents, counts, k, same: bool):
-    """Per point the k closest residents as dicts; with ``same`` a point is not its own neighbour."""
-    for start in range(0, len(points), BLOCK):
-        part = points[start : start + BLOCK]
-        gaps = _gaps(part, residents)
-        if same:
-            rows = np.arange(len(part))
-            gaps[rows, start + rows] = np.inf
-        # A few more than k are kept before the exact distance decides.
-        keep = min(k + 8, gaps.shape[1])
-        near = np.argpartition(gaps, keep - 1, axis=1)[:, :keep]
-        for row, columns in enumerate(near):
-            columns = columns[np.isfinite(gaps[row, columns])]
-            exact = np.sqrt(((residents[columns] - part[row]) ** 2).sum(1))
-            order = np.argsort(exact, kind="stable")[:k]
-            yield [
-                {"gap": float(exact[i]), "y": residents[columns[i]].tolist(), "n": int(counts[columns[i]])}
-                for i in order
-            ]
-
-
-def _assign(pivots: np.ndarray):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            gaps = _gaps(_stack(batch["x"]), pivots)
-            cell = gaps.argmin(1)
-            yield batch.assign(cell=cell.astype("int32"), away=gaps[np.arange(len(batch)), cell])
-
-    return run
-
-
-def _own_cell(k: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        points = _stack(group["x"])
-        best = list(_closest(points, points, group["n"].to_numpy(), k, True))
-        reach = [b[-1]["gap"] if len(b) == k else float("inf") for b in best]
-        return group[["x", "n", "cell"]].assign(best=best, reach=reach)
-
-    return run
-
-
-def _visits(pivots: np.ndarray, radius: np.ndarray, k: int):
-    """Cells that may hold a point closer than the k-th neighbour found at home."""
-    between = _gaps(pivots, pivots)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            gaps, home = _gaps(_stack(batch["x"]), pivots), batch["cell"].to_numpy()
-            own = gaps[np.arange(len(batch)), home][:, None]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = (gaps**2 - own**2) / (2.0 * between[home])
-            bound = np.maximum(gaps - radius[None, :], np.nan_to_num(plane, nan=0.0))
-            reach = np.where(batch["n"].to_numpy() > k, -1.0, batch["reach"].to_numpy())[:, None]
-            # The margin keeps cells that rounding might hide.
-            go = (bound <= reach * (1 + 1e-9) + 1e-9) & (reach >= 0)
-            go[np.arange(len(batch)), home] = False
-            rows, cells = np.nonzero(go)
-            yield pd.DataFrame({"x": batch["x"].to_numpy()[rows], "cell": cells.astype("int32")})
-
-    return run
-
-
-def _visit(k: int):
-    def run(visitors: pd.DataFrame, residents: pd.DataFrame) -> pd.DataFrame:
-        if visitors.empty or residents.empty:
-            return pd.DataFrame({"x": [], "best": []})
-        found = _closest(_stack(visitors["x"]), _stack(residents["x"]), residents["n"].to_numpy(), k, False)
-        return pd.DataFrame({"x": visitors["x"].to_numpy(), "best": list(found)})
-
-    return run
+from lintlake.session import stored
+
+#: Rows of a group on average, and tables of projections.
+GROUP, TABLES = 512, 3
+SEED = 42
+
+
+def _projection(x: Column, weights: np.ndarray) -> Column:
+    products = F.zip_with(x, F.array(*[F.lit(float(w)) for w in weights]), lambda a, b: a * b)
+    return F.aggregate(products, F.lit(0.0), lambda total, v: total + v)
+
+
+def _search(group: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest other rows of each row of a group, with their squared distances."""
+    x = np.stack(group["x"].to_numpy())
+    k = min(k, len(x) - 1)
+    if k < 1:
+        kinds = {"row": "int64", "distance": "float64", "other": "int64", "y": "object"}
+        return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in kinds.items()})
+    near, far = [], []
+    step = max(1, (4 << 20) // (len(x) * x.shape[1]))  # about 32 MB of differences at a time
+    for at in range(0, len(x), step):
+        d = ((x[at : at + step, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+        d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
+        best = np.argpartition(d, k - 1, axis=1)[:, :k]
+        near.append(best)
+        far.append(np.take_along_axis(d, best, axis=1))
+    near, far = np.concatenate(near), np.concatenate(far)
+    return pd.DataFrame(
+        {
+            "row": np.repeat(group["row"].to_numpy(), k),
+            "distance": far.ravel(),
+            "other": group["row"].to_numpy()[near.ravel()],
+            "y": list(x[near.ravel()]),
+        }
+    )
 
 
-def nearest_neighbours(points: DataFrame, k: int, cell_points: int = CELL_POINTS) -> DataFrame:
-    """(x, neighbours): for each distinct x of ``points`` its k nearest other points, nearest
-    first; further copies of x come before all others."""
-    spark = points.sparkSession
-    folder = shared_dir(spark, "neighbours")
-    distinct = points.groupBy("x").agg(F.count("*").alias("n"))
-    distinct.write.parquet(f"{folder}/distinct")
-    distinct = spark.read.parquet(f"{folder}/distinct")
-    wanted = min(MAX_PIVOTS, max(1, math.ceil(distinct.count() / cell_points)))
-    # A fixed number of pivots, drawn by hash.
-    drawn = distinct.orderBy(F.xxhash64("x")).limit(wanted).select("x").toPandas()
-    if drawn.empty:
-        return spark.createDataFrame([], "x array<double>, neighbours array<array<double>>")
-    pivots = _stack(drawn["x"])
-    shape = "x array<double>, n bigint, cell int"
-    distinct.mapInPandas(_assign(pivots), f"{shape}, away double").write.parquet(f"{folder}/cells")
-    cells = spark.read.parquet(f"{folder}/cells")
-    home = cells.groupBy("cell").applyInPandas(_own_cell(k), f"{shape}, best {BEST}, reach double")
-    home.write.parquet(f"{folder}/home")
-    home = spark.read.parquet(f"{folder}/home")
-    found = home.select("x", "best")
-    if wanted > 1:
-        radius = np.zeros(wanted)
-        for row in cells.groupBy("cell").agg(F.max("away").alias("r")).collect():
-            radius[row["cell"]] = row["r"]
-        visits = home.select("x", "n", "cell", "reach").mapInPandas(
-            _visits(pivots, radius, k), "x array<double>, cell int"
-        )
-        slices = visits.groupBy("cell").agg(
-            F.ceil(F.count("*") / SLICE_VISITORS).cast("int").alias("slices")
-        )
-        slices.write.parquet(f"{folder}/slices")
-        # One row per pivot at most.
-        slices = F.broadcast(spark.read.parquet(f"{folder}/slices"))
-        visitors = visits.join(slices, "cell").select(
-            "x", "cell", F.pmod(F.xxhash64("x"), F.col("slices")).cast("int").alias("part")
-        )
-        residents = cells.join(slices, "cell").select(
-            "x", "n", "cell", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("part")
-        )
-        met = (
-            visitors.groupBy("cell", "part")
-            .cogroup(residents.groupBy("cell", "part"))
-            .applyInPandas(_visit(k), f"x array<double>, best {BEST}")
-        )
-        found = found.unionByName(met)
-    nearest = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k)
-    others = F.flatten(
-        F.transform(nearest, lambda b: F.array_repeat(b["y"], F.least(b["n"], F.lit(k)).cast("int")))
+def grouped(rows: DataFrame, group: int = GROUP, tables: int = TABLES) -> DataFrame:
+    """(table, cell, salt, row, x): each row once per table, in a group of about ``group`` rows at most."""
+    facts = rows.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("width")).first()
+    bits = max(0, math.ceil(math.log2(max(facts.n, 1) / group)))
+    dice = np.random.default_rng(SEED)
+    lines = dice.normal(size=(tables, bits, facts.width or 0))
+    values = [[_projection(F.col("x"), w) for w in table] for table in lines]
+    flat = [v for table in values for v in table]
+    if flat:
+        medians = rows.agg(*[F.percentile_approx(v, F.lit(0.5), F.lit(1000)).alias(f"m{i}") for i, v in enumerate(flat)]).first()
+    cells = []
+    for t in range(tables):
+        code = F.lit(0).cast("long")
+        for b in range(bits):
+            code = code * 2 + (values[t][b] > F.lit(medians[t * bits + b])).cast("long")
+        cells.append(F.struct(F.lit(t).alias("table"), code.alias("cell")))
+    placed = rows.select("row", "x", F.explode(F.array(*cells)).alias("c")).select("c.table", "c.cell", "row", "x")
+    sizes = placed.groupBy("table", "cell").agg(F.count("*").alias("n"))
+    parts = sizes.select("table", "cell", F.ceil(F.col("n") / (2 * group)).cast("long").alias("parts"))
+    salted = placed.join(parts, ["table", "cell"])
+    salt = F.pmod(F.xxhash64(F.lit(SEED), "table", "row"), "parts")
+    return salted.select("table", "cell", salt.alias("salt"), "row", "x")
+
+
+def nearest_neighbours(points: DataFrame, k: int, group: int = GROUP, tables: int = TABLES) -> DataFrame:
+    """The columns of ``points`` (with ``x``, an array of doubles) and ``neighbours``: up to k arrays,
+    nearest first, of other rows; empty for a row that is alone."""
+    rows = stored(points.withColumn("row", F.monotonically_increasing_id()), "points")
+    found = (
+        grouped(rows.select("row", "x"), group, tables)
+        .groupBy("table", "cell", "salt")
+        .applyInPandas(lambda g: _search(g, k), "row bigint, distance double, other bigint, y array<double>")
     )
-    merged = found.groupBy("x").agg(others.alias("others"))
-    copies = F.array_repeat("x", F.least(F.col("n") - 1, F.lit(k)).cast("int"))
-    return merged.join(distinct, "x").select(
-        "x", F.slice(F.concat(copies, "others"), 1, k).alias("neighbours")
+    # A pair met in several tables counts once.
+    best = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("distance", "other", "y"))).alias("found"))
+    distinct = F.slice(F.array_distinct("found"), 1, k)
+    return (
+        rows.join(best, "row", "left")
+        .withColumn("neighbours", F.coalesce(F.transform(distinct, lambda s: s["y"]), F.array().cast("array<array<double>>")))
+        .drop("row", "found")
     )

@@ -14,7 +14,6 @@ from lintlake.operators.parse import with_nodes
 POINTS = {"HIGH": 3.0, "MEDIUM": 1.5, "LOW": 0.5}
 SCORE_CAP = 10.0
 LEVELS = [("CRITICAL", 7.0), ("HIGH", 4.0), ("MEDIUM", 1.5)]
-SNIPPET_CHARS = 100
 # Text that any match of a rule contains, so that most lines and files are passed
 # over by a literal search. Upper and lower case are told apart where the pattern does.
 LITERALS = {
@@ -55,7 +54,7 @@ def _place(order: int, line: Column, column: Column, text: Column) -> Column:
         F.lit(order).alias("rule_order"),
         line.cast("int").alias("line_number"),
         column.cast("int").alias("column"),
-        F.substring(X.strip(text), 1, SNIPPET_CHARS).alias("code_snippet"),
+        X.strip(text).alias("code_snippet"),
     )
 
 
@@ -86,11 +85,8 @@ def _holds_any(text: Column, literals: list[str]) -> Column:
     return found
 
 
-def _rule_places(code: Column, order: int, rule: dict) -> Column:
+def _rule_places(numbered: Column, order: int, rule: dict) -> Column:
     pattern, literals = java_pattern(rule["pattern"]), LITERALS[rule["rule_id"]]
-    numbered = F.transform(
-        X.lines(code), lambda text, i: F.struct(i.alias("i"), text.alias("text"))
-    )
     hits = F.filter(
         numbered, lambda x: _holds_any(x["text"], literals) & x["text"].rlike(pattern)
     )
@@ -105,18 +101,26 @@ def _rule_places(code: Column, order: int, rule: dict) -> Column:
 def _line_places(code: Column, language: Column) -> Column:
     """First match of each rule on each line, in rule order.
 
-    Patterns are literals, so each is compiled once per task. A file is split into lines only
-    for rules whose literal text it holds.
+    Patterns are literals, so each is compiled once per task. A file is split into lines once, and
+    only when it holds the literal text of some rule.
     """
-    found = []
+    none = F.array().cast(EMPTY)
+    applying = []
     for order, rule in _rules("regex"):
         applies = _holds_any(code, LITERALS[rule["rule_id"]])
         if rule["language"] != "all":
             applies = (F.lower(language) == rule["language"]) & applies
-        found.append(
-            F.when(applies, _rule_places(code, order, rule)).otherwise(F.array().cast(EMPTY))
-        )
-    return F.flatten(F.array(*found))
+        applying.append((order, rule, applies))
+
+    def over(numbered: Column) -> Column:
+        found = [F.when(a, _rule_places(numbered, o, r)).otherwise(none) for o, r, a in applying]
+        return F.flatten(F.array(*found))
+
+    some = applying[0][2]
+    for _, _, a in applying[1:]:
+        some = some | a
+    numbered = F.transform(X.lines(code), lambda text, i: F.struct(i.alias("i"), text.alias("text")))
+    return F.when(some, X.let(numbered, over)).otherwise(none)
 
 
 def line_findings(code: Column, language: Column) -> Column:
@@ -178,6 +182,8 @@ def line_findings_table(files: DataFrame) -> DataFrame:
 
 
 def call_findings_table(files: DataFrame) -> DataFrame:
+    """Call findings; other languages have none and are not parsed."""
+    files = files.where("lower(language) = 'python'")
     found = call_findings(F.col("code"), F.col("language"), F.col("nodes"))
     return _rows(with_nodes(files).withColumn("findings", found))
 
@@ -204,7 +210,7 @@ def custom_findings(files: DataFrame, rules: list[dict]) -> DataFrame:
     return numbered.select(
         "file_id",
         (F.col("i") + 1).alias("line_number"),
-        F.substring(X.strip(F.col("text")), 1, SNIPPET_CHARS).alias("code_snippet"),
+        X.strip(F.col("text")).alias("code_snippet"),
         F.inline(matched),
     )
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions.ranks import running_totals
-from lintlake.operators.datasets import MAX_CLASSES, split_key
+from lintlake.operators.datasets import split_key
 from lintlake.operators.evaluation import classification_metrics
 from lintlake.operators.neighbours import nearest_neighbours
 
@@ -124,19 +124,19 @@ def predictions(model: PipelineModel, data: DataFrame) -> DataFrame:
 def smote(data: DataFrame, k: int = NEIGHBOURS, seed: int = SEED) -> DataFrame:
     """Add synthetic minority rows until the classes balance.
 
-    Each new row lies between a minority row and one of its k nearest minority rows. The new
-    rows are dealt evenly over the minority rows by rank.
+    Each new row lies between a minority row and one of its k nearest minority rows (found
+    approximately, see ``neighbours``). The new rows are dealt evenly over the minority rows by rank.
     """
-    counts = data.groupBy("target").agg(F.count("*").alias("n")).limit(MAX_CLASSES)
-    totals = {r["target"]: r["n"] for r in counts.collect()}
-    if len(totals) < 2:
+    counts = data.groupBy("target").agg(F.count("*").alias("n"))
+    ends = counts.agg(
+        F.count("*").alias("classes"), F.min(F.struct("n", "target")).alias("least"), F.max("n").alias("most")
+    ).first()
+    if ends.classes < 2:
         return data
-    minority = min(totals, key=lambda c: (totals[c], c))
-    have, wanted = totals[minority], max(totals.values()) - totals[minority]
+    minority, have, wanted = ends.least.target, ends.least.n, ends.most - ends.least.n
     rows = data.where(F.col("target") == minority).select(
         F.col("id").cast("string").alias("id"), vector_to_array("features").alias("x")
     )
-    near = nearest_neighbours(rows, k)
     ranked = running_totals(
         rows.select("id", split_key(F.col("id"), seed).alias("h")).groupBy("h").agg(F.count("*").alias("n")),
         [],
@@ -156,11 +156,13 @@ def smote(data: DataFrame, k: int = NEIGHBOURS, seed: int = SEED) -> DataFrame:
         return (F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)).cast("double")
 
     made = (
-        rows.withColumn("h", split_key(F.col("id"), seed))
+        nearest_neighbours(rows, k)
+        .withColumn("h", split_key(F.col("id"), seed))
         .join(groups, "h")
         .withColumn("copies", copies)
         .where("copies > 0")
-        .join(near, "x")
+        # A row without neighbours is repeated as it is.
+        .withColumn("neighbours", F.when(F.size("neighbours") > 0, F.col("neighbours")).otherwise(F.array("x")))
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
         .withColumns({"pick": draw("n"), "gap": draw("g")})
         .withColumn("y", F.element_at("neighbours", (F.floor(F.col("pick") * F.size("neighbours")) + 1).cast("int")))

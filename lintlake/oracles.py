@@ -327,7 +327,7 @@ _lines = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_s
 _strip = f"regexp_replace(line, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')"
 _scans = [
     f"""SELECT CAST(doc_id AS VARCHAR) AS file_id, '{r[0]}' AS rule_id, CAST(n AS INTEGER) AS line_number,
-  CAST(length(regexp_extract(line, {quoted('(?s)^(.*?)(?:' + re2(r[_at['pattern']]) + ')')}, 1)) AS INTEGER) AS "column", substr({_strip}, 1, 100) AS code_snippet
+  CAST(length(regexp_extract(line, {quoted('(?s)^(.*?)(?:' + re2(r[_at['pattern']]) + ')')}, 1)) AS INTEGER) AS "column", {_strip} AS code_snippet
 FROM lines WHERE regexp_matches(line, {quoted(re2(r[_at['pattern']]))})"""
     for r in SECURITY_RULES
     if r[_at["pattern_type"]] == "regex" and r[_at["language"]] in ("all", "python")
@@ -426,7 +426,7 @@ SQL["l2_code_labels"] = """
 SELECT coalesce(CASE WHEN o_orderstatus <> 'P' THEN 'p' || (o_custkey % 50) END, 'unk') || '_' ||
   CASE WHEN o_orderkey % 5 <> 0 THEN 'c' || (o_orderkey % 1000) ELSE CAST(o_orderkey AS VARCHAR) END AS key,
   arg_max(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END, o_orderkey) AS target
-FROM orders WHERE o_orderkey < (SELECT min(o_orderkey) FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) - 5 FROM orders)) GROUP BY ALL"""
+FROM orders WHERE o_orderkey % 97 <> 5 GROUP BY ALL"""
 SQL["l3_verdict_labels"] = """
 SELECT conv_id || '-' || turn AS key, CASE WHEN regexp_matches(lower(text), 'error|fail|bug|vulnerable|reject|wrong') THEN 1 ELSE 0 END AS target FROM conversations"""
 SQL["l4_align"] = "SELECT d.doc_id AS id, lang, coalesce(CAST(quality AS INTEGER), 0) AS target FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
@@ -462,7 +462,7 @@ SELECT t AS y_true, p AS y_pred, count(y_true) AS count FROM (VALUES (0, 0), (0,
 LEFT JOIN pred ON y_true = t AND y_pred = p GROUP BY ALL"""
 _curve = f"""WITH {PRED}, s AS (SELECT y_proba AS threshold, sum(y_true) AS pos, sum(1 - y_true) AS neg FROM pred GROUP BY y_proba),
 cum AS (SELECT threshold, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM s WINDOW w AS (ORDER BY threshold DESC))"""
-SQL["e8_roc_points"] = f"{_curve} SELECT round(fp / n::DOUBLE, 9) AS fpr, round(tp / p::DOUBLE, 9) AS tpr, round(threshold, 9) AS threshold FROM cum"
+SQL["e8_roc_points"] = f"{_curve} SELECT round(fp / n::DOUBLE, 9) AS fpr, round(tp / p::DOUBLE, 9) AS tpr, round(threshold, 9) AS threshold FROM cum UNION ALL SELECT 0.0, 0.0, 'Infinity'::DOUBLE"
 SQL["e9_precision_recall"] = f"""{_curve} SELECT round(tp / (tp + fp)::DOUBLE, 9) AS precision, round(tp / p::DOUBLE, 9) AS recall, round(threshold, 9) AS threshold FROM cum
 UNION ALL SELECT 1.0, 0.0, NULL"""
 SQL["e11_report"] = f"""WITH {PRED}, c AS (SELECT v AS c, CASE v WHEN 0 THEN 'Clean (0)' ELSE 'Buggy (1)' END AS label,
@@ -490,7 +490,8 @@ def token_count(text: str) -> str:
 
 
 SQL["t1_tokenize"] = f"SELECT CAST(doc_id AS VARCHAR) AS file_id, 512 AS length, CAST(least({token_count('text')}, 512) AS INTEGER) AS tokens FROM documents"
-SQL["t2_attention_mask"] = f"""SELECT conv_id, turn, repeat('1', CAST(least({token_count('text')}, 32) AS INTEGER)) || repeat('0', CAST(32 - least({token_count('text')}, 32) AS INTEGER)) AS mask FROM conversations"""
+SQL["t2_attention_mask"] = f"""WITH n AS (SELECT conv_id, turn, {token_count('text')} AS n FROM conversations), w AS (SELECT max(n) AS w FROM n)
+SELECT conv_id, turn, repeat('1', CAST(n AS INTEGER)) || repeat('0', CAST(w - n AS INTEGER)) AS mask FROM n, w"""
 SQL["t3_truncate"] = f"""
 WITH p AS (SELECT page_id, replace(html, '<p>', chr(10) || '<p>') AS t FROM pages),
 q AS (SELECT page_id, t, string_split(t, chr(10)) AS rows, len(regexp_extract_all(t, '[^{SPACE}]+')) AS words FROM p),
@@ -506,7 +507,7 @@ SQL["t6_mean_pooled"] = """
 SELECT vec_id, CAST(d AS INTEGER) AS d, round(sum(CASE WHEN (vec_id + p) % 3 <> 0 THEN CAST(embedding[p * 16 + d + 1] AS DOUBLE) ELSE 0 END)
   / greatest(count(*) FILTER ((vec_id + p) % 3 <> 0), 1e-9), 6) AS v
 FROM embeddings, range(0, 16) t(d), range(0, 4) u(p) GROUP BY vec_id, d"""
-SQL["t7_extract_embeddings"] = f"""SELECT CAST(doc_id AS VARCHAR) AS file_id, 64 AS dims, CASE WHEN {token_count('text')} > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS total FROM documents"""
+SQL["t7_extract_embeddings"] = f"SELECT CAST(doc_id AS VARCHAR) AS file_id, 64 AS dims, {token_count('text')} AS tokens FROM documents"
 SQL["t8_fuse"] = """
 WITH b AS (SELECT *, CAST(label AS DOUBLE) AS a, CAST(vec_id % 7 AS DOUBLE) AS b FROM embeddings)
 SELECT CAST(vec_id AS VARCHAR) AS id, 66 AS width, round((a - avg(a) OVER ()) / stddev_pop(a) OVER (), 6) AS x0, round((b - avg(b) OVER ()) / stddev_pop(b) OVER (), 6) AS x1,

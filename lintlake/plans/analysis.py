@@ -11,7 +11,7 @@ from lintlake.operators import complexity, metrics, security, structure
 from lintlake.operators.parse import with_nodes
 from lintlake.schemas import COMPLEXITY_ITEM, METRICS_ITEM, REPORT, SECURITY_ITEM
 
-# The size limit and the steps of the bug probability, added in this order.
+# The size limit of the web form and the steps of the bug probability, added in this order.
 MAX_CHARS = 100_000
 BASE_PROBABILITY, PROBABILITY_CAP = 0.1, 0.99
 COMPLEXITY_STEP, NESTING_STEP, FINDING_STEP = 0.2, 0.15, 0.3
@@ -22,7 +22,8 @@ def code_hash(code: Column) -> Column:
 
 
 def split_by_size(snippets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): code above the size limit is not analysed."""
+    """(accepted, rejected) by the size limit of the web form. A caller who wants that limit splits
+    first; ``analyze`` has none."""
     too_large = F.length(F.coalesce("code", F.lit(""))) > MAX_CHARS
     rejected = snippets.where(too_large).select(
         "file_id", F.lit("Code too large. Maximum 100,000 characters.").alias("reason")
@@ -62,16 +63,15 @@ def _metrics_item(nodes: Column, code: Column) -> Column:
 
 
 def analyze(snippets: DataFrame, at: Column | None = None) -> DataFrame:
-    """One report per accepted snippet (``file_id``, ``code``, ``language``).
+    """One report per snippet (``file_id``, ``code``, ``language``), of any length.
 
     The whole analysis of a snippet happens in its row after one parse: the plan is a scan, the
     parse and projections, without any shuffle. ``at`` is the time stamped on the reports.
     """
-    accepted, _ = split_by_size(snippets)
     stamped = F.current_timestamp() if at is None else at
     code = F.coalesce("code", F.lit(""))
     # Taken along through the parse, so that it is not evaluated again after it.
-    parsed = with_nodes(accepted.withColumn("code", code))
+    parsed = with_nodes(snippets.withColumn("code", code))
     found = complexity.add_estimates(security.add_findings(parsed)).withColumn(
         "metrics", _metrics_item(F.col("nodes"), F.col("code"))
     )

@@ -12,8 +12,6 @@ from lintlake.sources.writers import append_reports
 # The languages offered, which include one the parser rejects, and the page limits.
 OFFERED_LANGUAGES = ["python", "c", "cpp", "java", "javascript"]
 PAGE_DEFAULT, PAGE_MAX = 20, 100
-# Rows a top-k may keep in memory for one page.
-DEEP_PAGE = 10_000
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
@@ -35,8 +33,8 @@ def list_reports(
     """A page of reports, newest first, with the total number in ``total``.
 
     Ties are settled by id, so that pages do not overlap. The page is found on (created_at, id)
-    alone and its rows, at most ``PAGE_MAX``, are fetched by id. Early pages are a top-k; a page
-    far down comes from a stored order, because a top-k keeps all rows before the page.
+    alone, in a stored order that does not keep the rows before the page in memory, and its rows,
+    at most ``PAGE_MAX``, are fetched by id.
     """
     if skip < 0 or not 1 <= limit <= PAGE_MAX:
         raise ValueError(f"skip must be >= 0 and limit in 1..{PAGE_MAX}")
@@ -44,10 +42,7 @@ def list_reports(
     total = chosen.agg(F.count("*").alias("n")).scalar()
     newest = [F.desc("created_at"), F.asc("id")]
     keys = chosen.select("created_at", "id")
-    if skip <= DEEP_PAGE:
-        page = keys.orderBy(*newest).offset(skip).limit(limit)
-    else:
-        page = _ordered_ids(keys, newest).where(F.col("place").between(skip, skip + limit - 1))
+    page = _ordered_ids(keys, newest).where(F.col("place").between(skip, skip + limit - 1))
     rows = chosen.join(F.broadcast(page.select("id")), "id", "left_semi")
     return rows.orderBy(*newest).withColumn("total", total)
 

@@ -50,7 +50,7 @@ def parsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    docs = corpus.spread(table(spark, d, "documents"), "doc_id")
+    docs = table(spark, d, "documents")
     return docs.select(
         F.col("doc_id").alias("id"),
         F.col("doc_id").cast("string").alias("file_id"),
@@ -379,7 +379,7 @@ def m1_line_counts_text(spark, d):
 
 @query
 def m2_total_lines(spark, d):
-    pages = corpus.spread(table(spark, d, "pages"), "page_id")
+    pages = table(spark, d, "pages")
     return pages.select("page_id", metrics.total_lines(F.col("html")).alias("total_lines"))
 
 
@@ -767,12 +767,11 @@ def l1_submission_labels(spark, d):
 @query
 def l2_code_labels(spark, d):
     orders = table(spark, d, "orders")
-    last = orders.agg(F.max("o_orderkey")).scalar()
     lines = orders.select(
         F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("p"), (F.col("o_custkey") % 50).cast("string"))).alias("project"),
         F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit("c"), (F.col("o_orderkey") % 1000).cast("string"))).alias("commit_id"),
         (F.col("o_orderstatus") == "F").cast("int").alias("target"),
-        F.when(F.col("o_orderkey") == last - 5, "{bad").alias("_corrupt_record"),
+        F.when(F.col("o_orderkey") % 97 == 5, "{bad").alias("_corrupt_record"),
         F.col("o_orderkey").alias("line"),
     )
     return labels.code_labels(lines)
@@ -900,7 +899,7 @@ def e7_confusion_matrix(spark, d):
 @query
 def e8_roc_points(spark, d):
     made = evaluation.roc_points(predictions(spark, d))
-    return made.where("threshold < 2").select(*[F.round(c, 9).alias(c) for c in made.columns])
+    return made.select(*[F.round(c, 9).alias(c) for c in made.columns])
 
 
 @query
@@ -1004,13 +1003,14 @@ def t1_tokenize(spark, d):
 @query
 def t2_attention_mask(spark, d):
     talk = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("code"))
-    made = tokens.tokenize(talk, 32)
+    widest = talk.agg(F.max(F.size(tokens.default_tokens(F.col("code"))))).first()[0] or 0
+    made = tokens.tokenize(talk, widest)
     return made.select("conv_id", "turn", F.array_join("attention_mask", "").alias("mask"))
 
 
 @query
 def t3_truncate(spark, d):
-    pages = corpus.spread(table(spark, d, "pages"), "page_id")
+    pages = table(spark, d, "pages")
     cut = tokens.truncate_code(F.replace(F.col("html"), F.lit("<p>"), F.lit("\n<p>")), 150)
     return pages.select("page_id", F.length(cut).alias("chars"), F.md5(cut).alias("digest"))
 
@@ -1048,8 +1048,11 @@ def t6_mean_pooled(spark, d):
 @query
 def t7_extract_embeddings(spark, d):
     made = embeddings.extract_embeddings(documents(spark, d), "mean")
-    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
-    return made.select("file_id", F.size("embedding").alias("dims"), F.round(total, 4).alias("total"))
+    # Shares of the buckets times the number of tokens: whole counts, whose sum is that of all tokens.
+    size = F.size(tokens.default_tokens(F.col("code")))
+    counts = X.let(size, lambda n: F.transform("embedding", lambda x: F.round(x * n).cast("long")))
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+    return made.select("file_id", F.size("embedding").alias("dims"), total.alias("tokens"))
 
 
 def _fused(spark, d, reduce_dim=None):

@@ -315,7 +315,7 @@ def findings(code, language):
             for i, row in enumerate(rows):
                 hit = re.search(rule["pattern"], row)
                 if hit:
-                    found.append((rule["rule_id"], rule["severity"], i + 1, hit.start(), row.strip()[:100]))
+                    found.append((rule["rule_id"], rule["severity"], i + 1, hit.start(), row.strip()))
     if language.lower() == "python":
         try:
             tree = ast.parse(code)
@@ -326,7 +326,7 @@ def findings(code, language):
             n = todo.pop()
             todo += list(ast.iter_child_nodes(n))[::-1]
             if isinstance(n, ast.Call):
-                text = rows[n.lineno - 1].strip()[:100] if n.lineno <= len(rows) else ""
+                text = rows[n.lineno - 1].strip() if n.lineno <= len(rows) else ""
                 if isinstance(n.func, ast.Name) and n.func.id == "eval":
                     found.append(("SEC-016", "HIGH", n.lineno, n.col_offset, text))
                 elif isinstance(n.func, ast.Attribute) and ast.unparse(n.func) == "os.system":

@@ -72,4 +72,14 @@ def test_size_limit(make_code):
     accepted, rejected = analysis.split_by_size(code)
     assert [r.file_id for r in accepted.collect()] == ["0"]
     assert [r.file_id for r in rejected.collect()] == ["1"]
-    assert analysis.analyze(code).count() == 1
+    assert analysis.analyze(code).count() == 2
+
+
+def test_long_files_and_lines_are_kept_whole(make_code):
+    long = "x = 1\n" * 30_000 + "password = " + "'" + "p" * 300 + "'\n"
+    row = analysis.analyze(make_code(("python", long))).first()
+    assert row.metrics.total_lines == 30_001 and len(row.security_issues) == 1
+    from lintlake.operators import security
+
+    found = security.line_findings_table(make_code(("python", long))).first()
+    assert len(found.code_snippet) == 313

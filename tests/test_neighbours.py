@@ -16,12 +16,14 @@ def cloud(n=600):
     return np.vstack([dense, wide, copies])
 
 
-@pytest.mark.parametrize("cell_points", [10_000, 25])
-def test_neighbours_are_exact(spark, monkeypatch, cell_points):
-    monkeypatch.setattr(neighbours, "SLICE_VISITORS", 40)
-    points = cloud()
-    df = spark.createDataFrame([(str(i), [float(v) for v in p]) for i, p in enumerate(points)], "id string, x array<double>")
-    near = df.join(neighbours.nearest_neighbours(df, 5, cell_points), "x").collect()
+def as_rows(spark, points):
+    return spark.createDataFrame([(str(i), [float(v) for v in p]) for i, p in enumerate(points)], "id string, x array<double>")
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e8])
+def test_one_group_is_exact(spark, shift):
+    points = cloud() + shift
+    near = neighbours.nearest_neighbours(as_rows(spark, points), 5, group=1000).collect()
     got = {int(r.id): np.array(r.neighbours) for r in near}
     assert len(got) == len(points)
     for i, p in enumerate(points):
@@ -30,9 +32,37 @@ def test_neighbours_are_exact(spark, monkeypatch, cell_points):
         assert np.allclose(np.sqrt(((got[i] - p) ** 2).sum(1)), np.sort(gaps)[:5])
 
 
+def test_small_groups_find_most_neighbours(spark):
+    points = np.random.default_rng(1).normal(size=(4000, 3))
+    near = neighbours.nearest_neighbours(as_rows(spark, points), 5, group=250).collect()
+    found = 0
+    for r in near[:400]:
+        gaps = np.sqrt(((points - np.array(r.x)) ** 2).sum(1))
+        limit = np.sort(gaps)[5] + 1e-12
+        found += sum(np.linalg.norm(np.array(y) - np.array(r.x)) <= limit for y in r.neighbours)
+    assert found / 2000 > 0.8
+
+
+def test_groups_stay_small_in_many_dimensions(spark):
+    for n in (5000, 20_000):
+        points = np.random.default_rng(2).normal(size=(n, 14))
+        rows = as_rows(spark, points).select(F.col("id").cast("bigint").alias("row"), "x")
+        sizes = [r["count"] for r in neighbours.grouped(rows).groupBy("table", "cell", "salt").count().collect()]
+        # pairs compared per row: bounded by the group size, whatever the number of rows
+        assert sum(s * s for s in sizes) / n < 3 * 1.5 * neighbours.GROUP and max(sizes) < 3 * neighbours.GROUP
+
+
+def test_one_vector_many_times(spark):
+    rows = spark.range(100_000).select(F.col("id").alias("row"), F.array(*[F.lit(0.0)] * 14).alias("x"))
+    sizes = [r["count"] for r in neighbours.grouped(rows).groupBy("table", "cell", "salt").count().collect()]
+    assert max(sizes) < 3 * neighbours.GROUP and sum(sizes) == 300_000
+
+
 def test_no_points(spark):
     empty = spark.createDataFrame([], "id string, x array<double>")
     assert neighbours.nearest_neighbours(empty, 5).count() == 0
+    one = spark.createDataFrame([("a", [1.0])], "id string, x array<double>")
+    assert neighbours.nearest_neighbours(one, 5).first().neighbours == []
 
 
 def test_smote_balances(spark):

@@ -92,8 +92,6 @@ def test_splits(spark):
     assert split.select("id").distinct().count() == 2000 == split.count()
     with pytest.raises(ValueError):
         datasets.create_splits(df, 0.5, 0.1, 0.1)
-    with pytest.raises(ValueError):
-        datasets.create_splits(df.withColumn("target", F.col("id")))
 
 
 def test_splits_without_target_and_hot_id(spark):
@@ -108,6 +106,30 @@ def test_splits_keep_rows_without_a_class(spark):
     assert datasets.create_splits(df).count() == 400
 
 
+def test_many_classes_and_no_rows(spark):
+    rows = spark.range(6000).select(F.col("id"), (F.col("id") % 2000).alias("target"))
+    made = datasets.create_splits(rows)
+    assert made.count() == 6000 and made.groupBy("target").count().where("count <> 3").count() == 0
+    none = datasets.dataset_statistics(rows.where("false")).first()
+    assert (none.total_rows, none.buggy_ratio) == (0, None)
+
+
+def test_curves_of_one_class(spark):
+    from lintlake.operators import evaluation
+
+    rows = spark.createDataFrame([(0, 0, 0.2), (0, 0, 0.4)], "y_true int, y_pred int, y_proba double")
+    assert {(r.fpr, r.tpr) for r in evaluation.roc_points(rows).collect()} == {(0.5, None), (1.0, None), (0.0, 0.0)}
+    assert {(r.precision, r.recall) for r in evaluation.precision_recall_points(rows).collect()} == {(0.0, None), (1.0, 0.0)}
+
+
+def test_pooling_without_tokens(spark):
+    from lintlake.operators import embeddings
+
+    rows = spark.createDataFrame([(1, [], []), (2, [[1.0, 3.0], [3.0, 5.0]], [1, 1])], "id int, v array<array<double>>, m array<int>")
+    made = rows.select("id", embeddings.cls_embedding(F.col("v")).alias("c"), embeddings.mean_pooled_embedding(F.col("v"), F.col("m")).alias("p"))
+    assert {r.id: (r.c, r.p) for r in made.collect()} == {1: (None, None), 2: ([1.0, 3.0], [2.0, 4.0])}
+
+
 def test_validation(spark):
     empty = spark.createDataFrame([], "id int, a double, target int")
     assert [r.issue for r in datasets.validate_dataset(empty).collect()] == ["Dataset is empty."]
@@ -137,13 +159,14 @@ def test_labels(spark):
     assert tuple(none) == (0, 0, 0, 0.0)
 
 
-def test_labelled_lines_stop_at_a_bad_line(spark, tmp_path):
+def test_good_rows_behind_a_bad_line_count(spark, tmp_path):
     from lintlake.sources import readers
 
     path = tmp_path / "l.jsonl"
     path.write_text('{"project":"p","commit_id":"c","target":1,"func":"x"}\n{"target":1}\n{"project":"p","commit_id":"c","target":0}\n{bad\n{"project":"q","commit_id":"d","target":1}\n')
-    found = labels.code_labels(readers.labelled_code(spark, str(path)))
-    assert dict(found.collect()) == {"p_c": 0, "unk_1": 1}
+    lines = readers.labelled_code(spark, str(path))
+    assert dict(labels.code_labels(lines).collect()) == {"p_c": 0, "unk_1": 1, "q_d": 1}
+    assert [tuple(r) for r in labels.bad_lines(lines).collect()] == [(3, "{bad")]
 
 
 def truncate(code, limit):
