@@ -19,6 +19,7 @@ from lintlake.functions.ranks import running_totals
 from lintlake.operators.datasets import split_key
 from lintlake.operators.evaluation import classification_metrics
 from lintlake.operators.neighbours import nearest_neighbours
+from lintlake.session import stored
 
 NOT_FEATURES = ("id", "target", "func", "project", "commit_id", "language")
 SEED = 42
@@ -191,19 +192,26 @@ def train_with_smote(
 
 
 def with_folds(data: DataFrame, folds: int, seed: int = SEED) -> DataFrame:
-    """Fold of each row by a hash of its id, uniform within each class."""
-    return data.withColumn("fold", F.pmod(split_key(F.col("id"), seed), F.lit(folds)).cast("int"))
+    """Fold of each row: its rank by a hash of the id inside its class, modulo the number of folds, so
+    every fold has the classes in their shares. Copies of an id fall into the same fold."""
+    keyed = data.withColumn("_h", split_key(F.col("id"), seed))
+    counted = keyed.groupBy("target", "_h").agg(F.count("*").alias("n"))
+    ranked = running_totals(counted, ["target"], "_h", ["n"])
+    known = ranked.select("target", "_h", (F.col("n_before") % folds).cast("int").alias("fold"))
+    return keyed.join(known, ["target", "_h"]).select(*data.columns, "fold")
 
 
 def fold_scores(data: DataFrame, estimator, folds: int = FOLDS) -> DataFrame:
-    """The five scores of each held-out fold."""
-    rows = with_folds(with_weights(data), folds).drop("balanced", "boost", "unit")
+    """Rows, positives and the five scores of each held-out fold."""
+    rows = stored(with_folds(data, folds), "folds")
     scores = None
     for fold in range(folds):
         train = with_weights(rows.where(F.col("fold") != fold))
         model = Pipeline(stages=[_scaler(), estimator]).fit(train)
-        held = predictions(model, rows.where(F.col("fold") == fold))
-        one = classification_metrics(held).withColumn("fold", F.lit(fold))
+        held = stored(predictions(model, rows.where(F.col("fold") == fold)), "held-out")
+        counts = held.agg(F.count("*").alias("n"), F.sum("y_true").alias("positives")).select(F.struct("n", "positives")).scalar()
+        one = classification_metrics(held).withColumns({"fold": F.lit(fold), "_c": counts})
+        one = one.select("fold", "_c.n", "_c.positives", *SCORES)
         scores = one if scores is None else scores.unionByName(one)
     return scores
 

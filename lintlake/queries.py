@@ -227,14 +227,18 @@ def s11_save_embeddings(spark, d):
 def s12_load_embeddings(spark, d):
     path = shared_dir(spark, "embeddings")
     writers.save_embeddings(_embeddings(spark, d), path)
-    first = F.round(F.element_at("embedding", 1).cast("double"), 5)
-    return readers.embeddings(spark, path).select("id", first.alias("first"))
+    every = F.posexplode("embedding").alias("d", "v")
+    return readers.embeddings(spark, path).select("id", every).withColumn("v", F.round(F.col("v").cast("double"), 5))
 
 
 @query
 def s13_metrics_json(spark, d):
     made = writers.metrics_json(metrics.file_metrics(code(spark, d)))
-    names = ["total_lines", "function_count", "cyclomatic_complexity", "language", "risk_level"]
+    names = [
+        "total_lines", "code_lines", "blank_lines", "comment_lines", "function_count", "class_count", "loop_count",
+        "condition_count", "variable_count", "max_nesting_depth", "cyclomatic_complexity", "max_function_length",
+        "language", "risk_level",
+    ]
     return made.select("file_id", *[F.get_json_object("json", f"$.{n}").alias(n) for n in names])
 
 
@@ -689,11 +693,12 @@ def v10_risk_level(spark, d):
 @query
 def v11_json_reports(spark, d):
     made = security.json_reports(code(spark, d))
+    shape = "summary struct<risk_level:string,total_findings:int>, findings array<struct<rule_id:string,line_number:int,severity:string>>"
+    report = F.from_json("report", shape)
+    listed = F.transform(report["findings"], lambda f: F.concat_ws(":", f["rule_id"], f["line_number"].cast("string"), f["severity"]))
     return made.select(
-        "file_id",
-        F.get_json_object("report", "$.summary.risk_level").alias("risk_level"),
-        F.get_json_object("report", "$.findings[0].rule_id").alias("first_rule"),
-        F.get_json_object("report", "$.findings[0].line_number").alias("first_line"),
+        "file_id", report["summary"]["risk_level"].alias("risk_level"), report["summary"]["total_findings"].alias("total"),
+        F.array_join(F.array_sort(listed), ",").alias("findings"),
     )
 
 
@@ -856,33 +861,69 @@ def e1_preprocess(spark, d):
     )
 
 
+def _facts(made: DataFrame) -> DataFrame:
+    """What SQL can state about predictions (id, y_true, y_pred, y_proba): every labelled row is scored
+    once, by a probability, with the class the probability says; and the model ranks its rows well."""
+    made = stored(made, "predictions")
+    ranks = evaluation.classification_metrics(made).select(F.col("roc_auc") > LEARNED).scalar()
+    by_rule = ((F.col("y_pred") == 1) == (F.col("y_proba") > 0.5)) | (F.col("y_proba") == 0.5)
+    return made.select(
+        "id", "y_true", F.col("y_proba").between(0.0, 1.0).alias("in_range"), by_rule.alias("by_rule"), ranks.alias("learned")
+    )
+
+
+#: Area under the curve on its own rows that a fitted model must pass.
+LEARNED = 0.8
+
+
 @query
 def e2_random_forest(spark, d):
     data = training_data(spark, d)
-    return training.predictions(training.train_random_forest(data), data)
+    return _facts(training.predictions(training.train_random_forest(data), data))
 
 
 @query
 def e3_boosted_trees(spark, d):
     data = training_data(spark, d)
-    return training.predictions(training.train_boosted_trees(data, {"maxIter": 15}), data)
+    return _facts(training.predictions(training.train_boosted_trees(data), data))
 
 
 @query
 def e4_smote(spark, d):
+    """Rows per class, and new rows outside the box of the rows they are made of."""
+    from pyspark.ml.functions import vector_to_array
+
     data = training_data(spark, d)
-    return training.smote(data).groupBy("target").agg(F.count("*").alias("n"))
+    made = stored(training.smote(data).withColumn("x", vector_to_array("features")), "balanced")
+    width = len(FEATURES)
+    new = F.col("id").contains("~")
+    sides = made.where(~new).groupBy("target").agg(
+        F.array(*[F.min(F.col("x")[i]) for i in range(width)]).alias("low"),
+        F.array(*[F.max(F.col("x")[i]) for i in range(width)]).alias("high"),
+    )
+    inside = F.forall(
+        F.arrays_zip("x", "low", "high"), lambda z: (z["x"] >= z["low"] - 1e-9) & (z["x"] <= z["high"] + 1e-9)
+    )
+    return made.join(F.broadcast(sides), "target").groupBy("target").agg(
+        F.count("*").alias("n"), F.count_if(new).alias("new"), F.count_if(~inside).alias("outside"),
+        F.count_distinct("id").alias("ids"),
+    )
 
 
 @query
 def e4_train_with_smote(spark, d):
     data = training_data(spark, d)
-    return training.predictions(training.train_with_smote(data, "rf", {"numTrees": 20}), data)
+    return _facts(training.predictions(training.train_with_smote(data), data))
 
 
 @query
 def e5_cross_validate(spark, d):
-    return training.cross_validate(training_data(spark, d), training.forest({"numTrees": 20}), 5)
+    """Rows and positives of each held-out fold, and whether its five scores are scores."""
+    made = training.fold_scores(training_data(spark, d), training.forest(), training.FOLDS)
+    fine = F.lit(True)
+    for c in training.SCORES:
+        fine = fine & F.col(c).between(0.0, 1.0)
+    return made.select("fold", "n", "positives", fine.alias("in_range"), (F.col("accuracy") >= 0.5).alias("learned"))
 
 
 @query
@@ -910,8 +951,11 @@ def e9_precision_recall(spark, d):
 
 @query
 def e10_importances(spark, d):
-    model = training.train_random_forest(training_data(spark, d), {"numTrees": 20})
-    return training.feature_importances(model, FEATURES)
+    """All features with a share, and what the shares add up to."""
+    model = training.train_random_forest(training_data(spark, d))
+    made = training.feature_importances(model, FEATURES, len(FEATURES))
+    total = made.agg(F.round(F.sum("importance"), 6)).scalar()
+    return made.select("feature", F.col("importance").between(0.0, 1.0).alias("in_range"), total.alias("total"))
 
 
 @query
@@ -932,29 +976,42 @@ def e12_compare_models(spark, d):
     return made.select("model", F.round("f1", 9).alias("f1"), F.round("roc_auc", 9).alias("roc_auc"))
 
 
+def _search_facts(trials: DataFrame) -> DataFrame:
+    """Trials, different settings among them, and values that are scores."""
+    return trials.agg(
+        F.count("*").alias("trials"), F.count_distinct("params").alias("settings"),
+        F.count_if(F.col("value").between(0.0, 1.0)).alias("in_range"), (F.max("value") > 0.5).alias("learned"),
+    )
+
+
 @query
 def e13_grid_search_forest(spark, d):
-    grid = {"numTrees": [10, 20], "maxDepth": [5, 10], "weightCol": ["balanced", "unit"]}
-    return training.grid_search(training_data(spark, d), "rf", grid)[1]
+    return _search_facts(training.grid_search(training_data(spark, d), "rf", parallelism=8)[1])
 
 
 @query
 def e14_grid_search_boosted(spark, d):
     grid = {"maxIter": [3, 5], "maxDepth": [2, 4], "stepSize": [0.1, 0.2]}
-    return training.grid_search(training_data(spark, d), "xgb", grid)[1]
+    return _search_facts(training.grid_search(training_data(spark, d), "xgb", grid)[1])
 
 
 @query
 def e15_trial_search(spark, d):
-    return training.trial_search(training_data(spark, d), "rf", 4, overrides={"numTrees": 10})[1]
+    return _search_facts(training.trial_search(training_data(spark, d), "rf", parallelism=8)[1])
+
+
+@query
+def e15_trial_search_boosted(spark, d):
+    found = training.trial_search(training_data(spark, d), "xgb", 4, overrides={"maxIter": 5, "maxDepth": 4})
+    return _search_facts(found[1])
 
 
 def _versions(spark, d, label):
     base = shared_dir(spark, label)
     data = training_data(spark, d)
-    model = training.train_random_forest(data, {"numTrees": 5})
-    for version in ("20240101_000000", "20240102_000000", "20240103_000000", "20240104_000000"):
-        registry.version_model(model, base, "forest", {"trees": 5}, version)
+    for day in range(1, 5):
+        model = training.train_random_forest(data, {"numTrees": 25 * day, "seed": day})
+        registry.version_model(model, base, "forest", {"trees": 25 * day}, f"2024010{day}_000000")
     return base, data
 
 
@@ -970,8 +1027,8 @@ def _agreement(fitted, loaded):
 def e16_save_and_load(spark, d):
     base = shared_dir(spark, "model")
     data = training_data(spark, d)
-    model = training.train_random_forest(data, {"numTrees": 5})
-    registry.save_model(model, base, {"trees": 5})
+    model = training.train_random_forest(data)
+    registry.save_model(model, base, {"trees": 100})
     loaded, _ = registry.load_model(spark, base)
     return _agreement(training.predictions(model, data), training.predictions(loaded, data))
 
@@ -979,9 +1036,11 @@ def e16_save_and_load(spark, d):
 @query
 def e17_latest(spark, d):
     base, data = _versions(spark, d, "latest")
+    latest = training.predictions(registry.load_latest(spark, base, "forest"), data)
     newest, _ = registry.load_model(spark, f"{base}/forest/20240104_000000/model")
-    latest = registry.load_latest(spark, base, "forest")
-    return _agreement(training.predictions(newest, data), training.predictions(latest, data))
+    oldest, _ = registry.load_model(spark, f"{base}/forest/20240101_000000/model")
+    other = _agreement(latest, training.predictions(oldest, data)).select((F.col("alike") < F.col("n")).alias("older_differs"))
+    return _agreement(latest, training.predictions(newest, data)).withColumn("older_differs", other.scalar())
 
 
 @query
@@ -1084,16 +1143,23 @@ def t8_fuse_reduced(spark, d):
     return _fused(spark, d, 8).select("id", F.size(vector_to_array("features")).alias("width"))
 
 
+def _head_facts(scored: DataFrame, data: DataFrame) -> DataFrame:
+    known = data.select("id", F.col("target").cast("int").alias("y_true"))
+    return _facts(
+        scored.join(known, "id").select("id", "y_true", F.col("predicted").alias("y_pred"), F.col("probability").alias("y_proba"))
+    )
+
+
 @query
 def t9_mlp(spark, d):
     data = stored(_fused(spark, d), "fused")
-    return embeddings.score(embeddings.train_mlp(data, 10), data)
+    return _head_facts(embeddings.score(embeddings.train_mlp(data), data), data)
 
 
 @query
 def t10_fused_boosted(spark, d):
     data = stored(_fused(spark, d), "fused")
-    return embeddings.score(embeddings.train_fused_boosted(data, {"maxIter": 5}), data)
+    return _head_facts(embeddings.score(embeddings.train_fused_boosted(data), data), data)
 
 
 @query
@@ -1110,8 +1176,7 @@ def t11_baseline(spark, d):
 @query
 def t12_score(spark, d):
     data = training_data(spark, d)
-    model = training.train_random_forest(data, {"numTrees": 10})
-    return embeddings.score(model, data)
+    return _head_facts(embeddings.score(training.train_random_forest(data), data), data)
 
 
 # ---- reports and streams -------------------------------------------------------------------

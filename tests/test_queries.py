@@ -8,7 +8,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 from tests.check import compare, connect
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SLOW = ("e3_", "e5_", "e13_", "e14_", "e15_", "e17_", "e18_")
+SLOW = ("e13_", "e14_", "e15_")
 
 
 @pytest.fixture(scope="module")
