@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lintlake.schemas import COMPLEXITY_ITEM, METRICS_ITEM, REPORT, SECURITY_ITEM, STORED_REPORT
-from lintlake.session import shared_dir
-from lintlake.sources.writers import append_reports
+from lintlake.session import shared_dir, stored
 
 # The languages offered, which include one the parser rejects, and the page limits.
 OFFERED_LANGUAGES = ["python", "c", "cpp", "java", "javascript"]
@@ -68,10 +67,6 @@ def _ordered_ids(reports: DataFrame, order: list) -> DataFrame:
     )
 
 
-def count_reports(reports: DataFrame, language: str | None = None) -> DataFrame:
-    return _of_language(reports, language).agg(F.count("*").alias("total"))
-
-
 def summary_stats(reports: DataFrame) -> DataFrame:
     """Reports by risk level, and all of them in the row with a null level, in one pass.
 
@@ -91,23 +86,25 @@ def without_report(reports: DataFrame, ids: DataFrame) -> DataFrame:
     return reports.join(ids.select("id"), "id", "left_anti")
 
 
-def delete_report(spark: SparkSession, path: str, report_id: str) -> bool:
-    """Delete one report; false when it does not exist.
+def delete_reports(spark: SparkSession, path: str, ids: DataFrame) -> int:
+    """Delete the reports with the ids of a table from every load that holds them; how many there were.
 
-    Only the partition that holds it is rewritten. The rows to keep are staged first, so they
-    exist on disk at every moment.
+    Only the partitions that hold one are rewritten. The rows to keep are staged in the shared
+    folder first, so they exist on disk at every moment.
     """
-    found = report_by_id(read_reports(spark, path), report_id).select("load_id", "language").take(1)
-    if not found:
-        return False
-    root = path.rstrip("/")
-    partition = f"load_id={found[0]['load_id']}/language={found[0]['language']}"
+    held = read_reports(spark, path).join(ids.select("id").distinct(), "id", "left_semi")
+    touched = held.groupBy("load_id", "language").agg(F.count("*").alias("n")).collect()
     columns = [f for f in REPORT.fieldNames() if f != "language"]
-    stored = spark.read.parquet(f"{root}/{partition}").select(*columns)
-    staged = f"{root}.rewrite/{partition}"
-    stored.where(F.col("id") != report_id).write.mode("overwrite").parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").parquet(f"{root}/{partition}")
-    return True
+    for t in touched:
+        partition = f"{path.rstrip('/')}/load_id={t['load_id']}/language={t['language']}"
+        kept = spark.read.parquet(partition).select(*columns).join(ids.select("id"), "id", "left_anti")
+        stored(kept, "kept-reports").select(*columns).write.mode("overwrite").parquet(partition)
+    return sum(t["n"] for t in touched)
+
+
+def delete_report(spark: SparkSession, path: str, report_id: str) -> bool:
+    """Delete one report from every load; false when it does not exist."""
+    return delete_reports(spark, path, spark.createDataFrame([(report_id,)], "id string")) > 0
 
 
 def to_response(stored: DataFrame) -> DataFrame:
@@ -145,9 +142,8 @@ def supported_languages(spark: SparkSession) -> DataFrame:
 
 
 __all__ = [
-    "append_reports",
-    "count_reports",
     "delete_report",
+    "delete_reports",
     "list_reports",
     "read_reports",
     "report_by_id",

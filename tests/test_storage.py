@@ -2,6 +2,8 @@
 
 import json
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +112,11 @@ def test_delete(spark, stored):
     assert reports.delete_report(spark, stored, "1")
     assert not reports.delete_report(spark, stored, "1")
     assert sorted(r.id for r in reports.read_reports(spark, stored).collect()) == ["0", "2"]
+    again = reports.read_reports(spark, stored).drop("load_id").collect()
+    writers.append_reports(spark.createDataFrame(again, analysis.REPORT), stored, "two")
+    assert reports.delete_reports(spark, stored, spark.createDataFrame([("0",), ("2",), ("7",)], "id string")) == 4
+    assert reports.read_reports(spark, stored).count() == 0
+    assert not [p for p in os.listdir(os.path.dirname(stored)) if "rewrite" in p]
 
 
 def test_streams(spark, tmp_path):
