@@ -27,9 +27,27 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n
 
 
+#: Rows and bytes of a batch that is handed to Python: a task holds a few of them, so this bounds its
+#: memory beside the JVM heap also where texts are long.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The table itself, after the session's Arrow batches are brought down to BATCH_ROWS and BATCH_BYTES;
+    smaller settings are left alone."""
+    conf = df.sparkSession.conf
+    arrow = "spark.sql.execution.arrow"
+    rows, size = int(conf.get(f"{arrow}.maxRecordsPerBatch")), conf.get(f"{arrow}.maxBytesPerBatch").rstrip("b")
+    if not 0 < rows <= BATCH_ROWS:
+        conf.set(f"{arrow}.maxRecordsPerBatch", str(BATCH_ROWS))
+    if size.lstrip("-").isdigit() and not 0 < int(size) <= BATCH_BYTES:
+        conf.set(f"{arrow}.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only id and text, under fixed names, so that further columns cannot clash; null text is empty."""
-    return docs.select(
+    return small_batches(docs).select(
         docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")
     )
 
@@ -45,4 +63,4 @@ def worker_state() -> dict:
     return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
 
 
-__all__ = ["WORD", "documents", "labels", "narrow", "remainder", "scalar_row", "stored", "worker_state"]
+__all__ = ["WORD", "documents", "labels", "narrow", "remainder", "scalar_row", "small_batches", "stored", "worker_state"]

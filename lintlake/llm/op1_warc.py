@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import scalar_row
+from lintlake.llm.common import scalar_row, small_batches
 from lintlake.session import shared_dir
 
 SKIPPABLE = 0x184D2A5D
@@ -174,7 +174,7 @@ def frames(store, path: str, chunk: int = 1 << 20):
 def write(pages: DataFrame, folder: str, id_col="page_id", url_col="url", payload_col="html") -> DataFrame:
     """Write the archives to ``folder`` and return the manifest (file, records, bytes)."""
     payload = F.coalesce(pages[payload_col].cast("string"), F.lit(""))
-    rows = pages.select(
+    rows = small_batches(pages).select(
         pages[id_col].alias("page_id"), pages[url_col].cast("string").alias("url"), payload.alias("payload"),
         F.sha1(payload.cast("binary")).alias("digest"),
     )

@@ -31,7 +31,7 @@ from lintlake.llm.common import narrow, worker_state
 
 WINDOW, END_ID = 2048, 1
 #: Remainders packed together; entries of the cache of unit ids; smallest piece cut to close a gap.
-BLOCK, CACHED, LEAST_CUT = 65_536, 400_000, 16
+BLOCK, CACHED, LEAST_CUT = 65_536, 250_000, 16
 SCHEMA = "doc_id {}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 _SPACED = re.compile(r"\s ")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import stored, worker_state
+from lintlake.llm.common import small_batches, stored, worker_state
 from lintlake.llm.textstats import N_CLASSES, basic_counts, class_counts, class_table
 
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -88,7 +88,7 @@ def counted(docs: DataFrame, text_col="text", lang_col="lang") -> DataFrame:
                     yield out()
         yield out()
 
-    rows = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), docs[lang_col].cast("string").alias("lang"))
+    rows = small_batches(docs).select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), docs[lang_col].cast("string").alias("lang"))
     return rows.mapInArrow(run, "lang string, word string, n bigint, classes array<bigint>")
 
 
@@ -126,7 +126,7 @@ def judge(docs: DataFrame, refs: list[dict] | None = None, id_col="doc_id", text
         )
         for r in refs
     }
-    rows = docs.select(
+    rows = small_batches(docs).select(
         docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
         docs[lang_col].cast("string").alias("lang"),
     )

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.llm import textstats as stats
-from lintlake.llm.common import narrow, remainder, stored, worker_state
+from lintlake.llm.common import narrow, remainder, small_batches, stored, worker_state
 from lintlake.llm.textstats import basic_counts, class_counts, class_table
 
 FEATURES = 14
@@ -172,4 +172,4 @@ def accepted(docs: DataFrame, marks: DataFrame, id_col="doc_id", text_col="text"
             yield b.filter(pa.array(model.score(np.array(x).reshape(-1, FEATURES)) >= THRESHOLD))
 
     text_at = docs.columns.index(text_col)
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
