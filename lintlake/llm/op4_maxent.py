@@ -37,15 +37,17 @@ from lintlake.llm.common import narrow, remainder, scalar_row, stored
 
 FOLDS, HELD_OUT = 5, 1
 #: Bounded vocabulary, fewest occurrences in it, words that are classes of their own, ends of the bands.
-WORDS, LEAST, SINGLE, BANDS = 1 << 17, 3, 32, (1024, 8192, 1 << 17)
+WORDS, LEAST, SINGLE, BANDS = 1 << 17, 3, 24, (1024, 8192, 1 << 17)
 #: Kinds of documents: hashed, and kept.
-HASHED_KINDS, KINDS = 32, 8
+HASHED_KINDS, KINDS = 32, 6
 ENDINGS = 4096
 CLASSES = SINGLE + len(BANDS) * (KINDS + 1) + KINDS + 1
 #: Rows of the hashed weights, rounds, tokens of a gradient step, step size, discount.
-ROWS, ROUNDS, STEP_TOKENS, RATE, DISCOUNT = 1 << 15, 3, 8192, 0.25, 0.75
+ROWS, ROUNDS, STEP_TOKENS, RATE, DISCOUNT = 1 << 14, 2, 16_384, 0.8, 0.75
+#: Tokens that a task trains on at least, where there are as many: its changes are a table of fixed size.
+TASK_TOKENS = 1 << 20
 #: Distinct words that a task counts before it hands its counts on; tokens of a scoring batch.
-FLUSH, BATCH_TOKENS = 300_000, 16_384
+FLUSH, BATCH_TOKENS = 300_000, 8_192
 END = "\n"
 
 
@@ -100,15 +102,11 @@ class Vocabulary:
         self.class_counts = sums
         votes = np.zeros((ENDINGS, KINDS + 1))
         for w, k, n in zip(self.words, kind, np.sqrt(counts)):
-            votes[self.ending(w), k] += n
+            votes[zlib.crc32(w[-4:]) % ENDINGS, k] += n
         self.kind_of_ending = np.where(votes.sum(axis=1) > 0, votes.argmax(axis=1), KINDS).astype(int).tolist()
 
-    @staticmethod
-    def ending(word: bytes) -> int:
-        return zlib.crc32(word[-4:]) % ENDINGS
-
     def rare_kind(self, word: bytes) -> int:
-        return self.kind_of_ending[self.ending(word)]
+        return self.kind_of_ending[zlib.crc32(word[-4:]) % ENDINGS]
 
     def lookup(self) -> dict[bytes, int]:
         return {w: i for i, w in enumerate(self.words)}
@@ -139,29 +137,36 @@ def feature_rows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return flat[pos].astype(np.int64), rows
 
 
-def log_softmax(logits: np.ndarray) -> np.ndarray:
+def log_probability(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Log of the softmax at each row's own class; the logits are used up."""
     logits -= logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    at = logits[np.arange(len(own)), own]
+    np.exp(logits, out=logits)
+    return at - np.log(logits.sum(axis=1))
 
 
-class Reader:
-    """Texts to ids: frequent words have their rank, others WORDS + their rare kind."""
+class Lookup(dict):
+    """Word to id: frequent words have their rank, others WORDS + their rare kind."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.get = vocabulary, vocabulary.lookup().get
+        super().__init__(vocabulary.lookup())
         self.kinds = vocabulary.kind_of_ending
+
+    def __missing__(self, word: bytes) -> int:
+        return WORDS + self.kinds[zlib.crc32(word[-4:]) % ENDINGS]
+
+
+class Reader:
+    """Texts to ids and ids to classes."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.id_of = Lookup(vocabulary).__getitem__
         rare = [class_of_rare(k) for k in range(KINDS + 1)]
         self.classes = np.concatenate([vocabulary.classes, np.zeros(WORDS - len(vocabulary.classes), np.int32), rare]).astype(np.int64)
 
     def ids(self, words: list[bytes]) -> list[int]:
-        """Ids of the words and of the end; rare words as WORDS + kind."""
-        out = list(map(self.get, words))
-        if None in out:
-            rare = self.vocabulary.rare_kind
-            out = [WORDS + rare(w) if i is None else i for i, w in zip(out, words)]
-        end = self.get(END.encode())
-        out.append(WORDS + self.vocabulary.rare_kind(END.encode()) if end is None else end)
-        return out
+        """Ids of the words and of the end."""
+        return [*map(self.id_of, words), self.id_of(END.encode())]
 
 
 class Model:
@@ -172,10 +177,11 @@ class Model:
         self.weights = np.zeros((ROWS, CLASSES), np.float32)
 
     def logits(self, rows: np.ndarray) -> np.ndarray:
-        out = self.weights[rows[0]]
+        out = self.weights.take(rows[0], axis=0)
         for r in rows[1:]:
-            out += self.weights[r]
-        return out + self.bias
+            out += self.weights.take(r, axis=0)
+        out += self.bias
+        return out
 
 
 def train_round(docs: DataFrame, shared) -> DataFrame:
@@ -189,9 +195,9 @@ def train_round(docs: DataFrame, shared) -> DataFrame:
         squares, seen = np.full(ROWS, 1e-3, np.float32), np.zeros(ROWS, np.int64)
 
         def step(y, rows):
-            logits = weights[rows[0]]
+            logits = weights.take(rows[0], axis=0)
             for r in rows[1:]:
-                logits += weights[r]
+                logits += weights.take(r, axis=0)
             logits += bias
             logits -= logits.max(axis=1, keepdims=True)
             np.exp(logits, out=logits)
@@ -202,7 +208,7 @@ def train_round(docs: DataFrame, shared) -> DataFrame:
                 own = r[order]
                 first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
                 at = own[first]
-                slope = np.add.reduceat(logits[order], first, axis=0)
+                slope = np.add.reduceat(logits.take(order, axis=0), first, axis=0)
                 squares[at] += (slope * slope).sum(axis=1)
                 weights[at] += RATE * slope / np.sqrt(squares[at])[:, None]
                 seen[at] += np.diff(np.append(first, len(own)))
@@ -272,6 +278,7 @@ def fit(train: DataFrame):
         shared = spark.sparkContext.broadcast((vocabulary, model))
         # A second hash deals the training documents to the rounds.
         own = train.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(ROUNDS)) == k)
+        own = own.coalesce(max(1, totals.N // ROUNDS // TASK_TOKENS))
         change = train_round(own, shared).toArrow()
         at = change.column("row").to_numpy()
         delta = np.column_stack([change.column(f"d{c}").to_numpy() for c in range(CLASSES)]) if len(at) else np.empty((0, CLASSES))
@@ -300,9 +307,8 @@ def scored(rows: DataFrame, vocabulary: Vocabulary, model: Model, numbers: dict)
             classes = reader.classes[y]
             logs = np.empty(len(y))
             for at in range(0, len(y), BATCH_TOKENS):
-                part = log_softmax(model.logits(feats[:, at : at + BATCH_TOKENS]))
                 own = classes[at : at + BATCH_TOKENS]
-                logs[at : at + len(own)] = part[np.arange(len(own)), own]
+                logs[at : at + len(own)] = log_probability(model.logits(feats[:, at : at + BATCH_TOKENS]), own)
             logs = logs / np.log(10) + share[y]
             starts = np.cumsum([0, *map(len, ids)])[:-1]
             known = np.add.reduceat((y < WORDS).astype(np.int64), starts)
@@ -317,7 +323,7 @@ def scored(rows: DataFrame, vocabulary: Vocabulary, model: Model, numbers: dict)
                     pa.array(known), pa.array(bases), pa.array(sums),
                     pa.array([[w.decode() for w in c] for c in rare], pa.list_(pa.string())),
                     pa.array([list(c.values()) for c in rare], pa.list_(pa.int64())),
-                    pa.array([[vocabulary.rare_kind(w) for w in c] for c in rare], pa.list_(pa.int32())),
+                    pa.array([[reader.id_of(w) - WORDS for w in c] for c in rare], pa.list_(pa.int32())),
                 ],
                 ["row", "doc_id", "n_tokens", "known", "base", "part", "words", "ns", "kinds"],
             )
