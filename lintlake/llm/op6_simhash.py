@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from lintlake.llm.common import narrow, scalar_row, stored
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
+#: Fingerprints whose variants one task emits.
+EMITTED = 20_000
 #: First bit and width of the blocks.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 FULL = (1 << 64) - 1
@@ -142,7 +144,9 @@ def links(distinct: DataFrame) -> DataFrame:
             pairs = np.array(out, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["u", "v"])
 
-    met = variants(distinct).groupBy("block", "variant").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
+    # A row grows to 132, so the narrow table is spread first.
+    n = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), distinct.count() // EMITTED)
+    met = variants(distinct.repartition(n, "fp")).groupBy("block", "variant").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
     return met.select("block", "fps").mapInArrow(verify, "u bigint, v bigint").distinct()
 
 
