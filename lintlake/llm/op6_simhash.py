@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.llm.common import narrow, scalar_row, stored
+from lintlake.llm.op7_exact_dedup import digest
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Fingerprints whose variants one task emits.
@@ -192,9 +193,17 @@ def components(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
 
 
 def survivors(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """The documents that stay, with all their columns: the smallest id of every component."""
-    kept = components(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_id"))
-    found = whole.join(kept, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return found.dropDuplicates(["_id"]).select("_row.*")
+    """The documents that stay, with all their columns: one row of every component, that with the smallest
+    id, null last, and among rows of one id that with the smallest SHA-256 of its text. Rows of one id and
+    text are one fingerprint, so id and digest lead from a component back to one row and to no other's."""
+    rows = narrow(docs, id_col, text_col)
+    made = fingerprints(rows.select(F.struct("doc_id", digest(F.col("text")).alias("digest")).alias("key"), "text"), "key")
+    made = made.select("fp", F.struct(F.col("doc_id.doc_id").isNull().alias("none"), "doc_id.doc_id", "doc_id.digest").alias("own"))
+    distinct = stored(made.groupBy("fp").agg(F.min("own").alias("own")), "distinct")
+    named = connected(links(distinct.select("fp")))
+    joined = distinct.join(named.withColumnRenamed("node", "fp"), "fp", "left").withColumn("name", F.coalesce("name", "fp"))
+    kept = joined.groupBy("name").agg(F.min("own").alias("own"))
+    kept = kept.select(F.col("own.doc_id").alias("_kept"), F.col("own.digest").alias("_kept_digest"))
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_id"), digest(docs[text_col].cast("string")).alias("_digest"))
+    found = whole.join(kept, F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_digest") == F.col("_kept_digest")), "left_semi")
+    return found.dropDuplicates(["_id", "_digest"]).select("_row.*")

@@ -140,3 +140,21 @@ def test_near_survivors(make_docs):
     docs = make_docs([(5, long), (3, long + " end"), (9, "quite another text of its own"), (4, long)])
     kept = op6.survivors(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 9]
+
+
+def test_near_survivors_one_per_component(make_docs):
+    long = " ".join(f"w{i}" for i in range(400))
+    rows = [
+        (None, "one text without an id"), (None, "quite another text that has none"), (None, None), (None, long),  # null ids
+        (5, long + " end"), (7, long), (6, "one text under a used id"), (6, "its id names something else again"),
+        (6, "its id names something else again"), (5, "the fifth of something apart from all"),
+    ]
+    names = brute_components([(k, brute_print(t)) for k, (_, t) in enumerate(rows)])
+    components = defaultdict(list)
+    for i, t in rows:
+        components[names[brute_print(t)]].append((i, t))
+    assert len(components) == 7
+    order = lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).hexdigest())
+    want = [min(c, key=order) for c in components.values()]
+    kept = [(r.doc_id, r.text) for r in op6.survivors(make_docs(rows)).collect()]
+    assert sorted(kept, key=repr) == sorted(want, key=repr)
