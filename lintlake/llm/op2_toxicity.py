@@ -59,6 +59,9 @@ _WORD = re.compile(r"[^\W\d_]+|[\"“”„«»]")
 _CLAUSE = re.compile(r"[.!?;\n]")
 OTHER, INSULT, THREAT, FUT, TARGET, NEGATION, REPORT, QUOTE, MATCH = "x", "I", "T", "F", "Y", "N", "R", "Q", "M"
 SYMBOLS = (OTHER, INSULT, THREAT, FUT, TARGET, NEGATION, REPORT, QUOTE)
+DENIED, TOLD = -2.5, -1.5
+#: A verb of harm between the machines, by the penalty that it brings along to its target.
+HELD = {THREAT: 0.0, "T denied": DENIED, "T told": TOLD, "T denied, told": DENIED + TOLD}
 
 
 @dataclass
@@ -100,12 +103,12 @@ class Transducer:
 
 
 def negation() -> Transducer:
-    """An insult or threat up to three words after a negation loses weight."""
+    """An insult or threat up to three words after a negation loses weight, a threat when it meets its target."""
     arcs = {(k, NEGATION): (1, NEGATION, 0.0) for k in range(4)}
     for k in (1, 2, 3):
         for s in (OTHER, TARGET, FUT, REPORT, QUOTE):
             arcs[k, s] = ((k + 1) % 4, s, 0.0)
-        arcs[k, INSULT], arcs[k, THREAT] = (k, INSULT, -2.5), (k, THREAT, -2.5)
+        arcs[k, INSULT], arcs[k, THREAT] = (k, INSULT, DENIED), (k, "T denied", 0.0)
     return Transducer(0, arcs)
 
 
@@ -116,7 +119,8 @@ def reported() -> Transducer:
         arcs[k, REPORT] = (max(k, 1), REPORT, 0.0)
         arcs[k, QUOTE] = (0 if k == 2 else 2, QUOTE, 0.0)
         if k:
-            arcs[k, INSULT], arcs[k, THREAT] = (k, INSULT, -1.5), (k, THREAT, -1.5)
+            arcs[k, INSULT] = (k, INSULT, TOLD)
+            arcs[k, THREAT], arcs[k, "T denied"] = (k, "T told", 0.0), (k, "T denied, told", 0.0)
     return Transducer(0, arcs)
 
 
@@ -138,18 +142,25 @@ def insult() -> Transducer:
 
 
 def threat() -> Transducer:
-    """A verb of harm counts when a target follows; more so after a future form."""
-    arcs = {(0, FUT): ("will", OTHER, 0.0), ("will", THREAT): ("aimed", OTHER, 0.0), (0, THREAT): ("verb", OTHER, 0.0)}
+    """A verb of harm counts when a target follows; more so after a future form. Its penalty waits with it
+    for the target; of several verbs before one target, the mildest penalty counts."""
+    arcs = {(0, FUT): ("will", OTHER, 0.0)}
     for s in (TARGET, FUT):
         arcs["will", s] = ("will", OTHER, 0.0)
     arcs["will", OTHER] = ("near", OTHER, 0.0)
     arcs["near", OTHER] = (0, OTHER, 0.0)
-    arcs["near", THREAT] = ("aimed", OTHER, 0.0)
-    for state, weight in (("aimed", 4.0), ("verb", 2.0)):
-        arcs[state, TARGET] = (0, MATCH, weight)
-        arcs[state, OTHER] = (f"{state} 2", OTHER, 0.0)
-        arcs[f"{state} 2", TARGET] = (0, MATCH, weight - 1)
-        arcs[f"{state} 2", OTHER] = (0, OTHER, 0.0)
+    for verb, penalty in HELD.items():
+        arcs["will", verb] = arcs["near", verb] = (("aimed", penalty), OTHER, 0.0)
+        arcs[0, verb] = (("verb", penalty), OTHER, 0.0)
+        for state, weight in (("aimed", 4.0), ("verb", 2.0)):
+            own, later = (state, penalty), (f"{state} 2", penalty)
+            arcs[own, TARGET] = (0, MATCH, weight + penalty)
+            arcs[own, OTHER] = (later, OTHER, 0.0)
+            arcs[later, TARGET] = (0, MATCH, weight - 1 + penalty)
+            arcs[later, OTHER] = (0, OTHER, 0.0)
+            for other, less in HELD.items():
+                if less > penalty:
+                    arcs[own, other], arcs[later, other] = ((state, less), other, 0.0), ((f"{state} 2", less), other, 0.0)
     return Transducer(0, arcs)
 
 

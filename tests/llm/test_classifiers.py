@@ -106,6 +106,28 @@ def test_composition_is_the_cascade():
         assert whole.weights(list(run)) == want
 
 
+def test_denied_and_told_threats():
+    s = op2.Scorer([("idiot", False, 3.0)])
+    threat, denied, told = 4.0, -2.5, -1.5
+    for text, weight in {
+        "I will kill you": threat,
+        "I will not kill you": threat + denied,
+        "he said he will hurt you": threat + told,
+        'the wall read "I will kill you"': threat + told,
+        "kill you": 2.0, "he said kill you": 2.0 + told, "she says I will kill all you": threat - 1 + told,
+        "I will not kill but of course beat you": 2.0,
+        'he wrote "I will kill" then said he will hurt you': threat + told,
+        '"I will kill" or hurt you': threat - 1,
+    }.items():
+        assert s.clauses(text) == [weight], text
+    assert s.clauses("do not kill you") == [] and s.clauses("he said he will not kill you") == []
+    # the insult's own weight stays, the penalty goes to the threat behind it
+    weights = lambda run: op2.grammar().weights(list(run))
+    assert weights("IxFNTY") == [0.0, threat + denied] and weights("IRxFTY") == [0.0, threat + told]
+    assert weights("IxQFTYQ") == [0.0, threat + told] and weights("IxFTY") == [0.0, threat] and weights("IxNT") == [0.0]
+    assert s.clauses("idiot he does not kill") == s.clauses("idiot he does kill") == [3.75]
+
+
 def brute_rules(text):
     words = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
