@@ -37,13 +37,13 @@ from lintlake.llm.common import narrow, remainder, scalar_row, stored
 
 FOLDS, HELD_OUT = 5, 1
 #: Bounded vocabulary, fewest occurrences in it, words that are classes of their own, ends of the bands.
-WORDS, LEAST, SINGLE, BANDS = 1 << 17, 3, 24, (1024, 8192, 1 << 17)
+WORDS, LEAST, SINGLE, BANDS = 1 << 17, 3, 32, (1024, 8192, 1 << 17)
 #: Kinds of documents: hashed, and kept.
-HASHED_KINDS, KINDS = 32, 6
+HASHED_KINDS, KINDS = 32, 8
 ENDINGS = 4096
 CLASSES = SINGLE + len(BANDS) * (KINDS + 1) + KINDS + 1
 #: Rows of the hashed weights, rounds, tokens of a gradient step, step size, discount.
-ROWS, ROUNDS, STEP_TOKENS, RATE, DISCOUNT = 1 << 14, 2, 16_384, 0.8, 0.75
+ROWS, ROUNDS, STEP_TOKENS, RATE, DISCOUNT = 1 << 15, 3, 16_384, 0.8, 0.75
 #: Tokens that a task trains on at least, where there are as many: its changes are a table of fixed size.
 TASK_TOKENS = 1 << 20
 #: Distinct words that a task counts before it hands its counts on; tokens of a scoring batch.
