@@ -98,3 +98,45 @@ far AS (SELECT doc_id, sqrt(greatest(sum({_half('p', 'q')}) / 2, 0)) AS x FROM (
 SELECT d.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT coalesce(near.x > 0.16 + 2.0 / sqrt(n_words), FALSE) AND NOT (n_words >= 60 AND coalesce(far.x > 0.27 + 2.2 / sqrt(n_words), FALSE)) AS kept
 FROM d LEFT JOIN near ON near.doc_id = d.doc_id LEFT JOIN far ON far.doc_id = d.doc_id"""
+
+#: A byte of a CRC-32: the table's entry for each byte value, made by eight shifts.
+_CRC_TABLE = "list_transform(range(0, 256), lambda b: list_reduce(list_concat([b], range(0, 8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+#: Two words are near if both are left with the same text without one letter: at the same place (a
+#: replaced letter), or one of them whole (an inserted or deleted one).
+SQL["op11_frequency_trie"] = f"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT {_CRC_TABLE} AS t),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+d AS (SELECT run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS k, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY doc_id, run),
+h AS (SELECT run, n, xor(list_reduce(list_concat([4294967295], list_transform(range(0, strlen(k)), lambda i: CAST('0x' || substr(hex(encode(k)), 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM d, crc),
+w0 AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM h),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w0 WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+x AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+s AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM x),
+near AS (
+  SELECT a.word, b.word AS near, b.n FROM s a JOIN s b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM s a JOIN w b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM s a JOIN w b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS form, max(n) AS form_n FROM near GROUP BY word),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * w.n THEN form END AS form, CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n
+  FROM w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS at FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON walk.at = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, walk.at AS root, f.n, f.n_near, f.form_n FROM f JOIN walk USING (word) JOIN f g ON walk.at = g.word WHERE g.form IS NULL"""
+
+_ROUNDS = "".join(
+    f"""
+a{k} AS (SELECT r, arg_min(c, ROW(list_sum(list_transform(list_zip(v.e, c{k}.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c)) AS c FROM v, c{k} GROUP BY r),
+m{k} AS (SELECT c, i, CAST(sum(e[i]) AS BIGINT) AS s, count(*) AS n FROM a{k} JOIN v USING (r), range(1, 65) t(i) GROUP BY c, i),
+n{k} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS e FROM m{k} GROUP BY c),
+c{k + 1} AS MATERIALIZED (SELECT c{k}.c, coalesce(n{k}.e, c{k}.e) AS e FROM c{k} LEFT JOIN n{k} USING (c)),"""
+    for k in range(3)
+)
+SQL["op13_threshold_centroids"] = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64::DOUBLE * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), e) - 1 AS c, e FROM v
+  QUALIFY c < 16),{_ROUNDS}
+z AS (SELECT r, CAST(min(list_sum(list_transform(list_zip(v.e, c3.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS BIGINT) AS distance,
+  arg_min(c, ROW(list_sum(list_transform(list_zip(v.e, c3.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c)) AS c FROM v, c3 GROUP BY r)
+SELECT vec_id, CAST(z.c AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY z.c) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c3.e, ',')) AS centroid_sha256 FROM z JOIN v USING (r) JOIN c3 ON z.c = c3.c"""
