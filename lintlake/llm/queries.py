@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lintlake.llm import (
     op1_warc, op2_toxicity, op3_packing, op4_maxent, op5_divergence, op6_simhash, op7_exact_dedup, op8_mixing, op9_quadratic, op10_sharding,
-    op11_spelling, op13_centroids,
+    op11_spelling, op12_repeats, op13_centroids,
 )
 from lintlake.llm.common import documents, labels
 from lintlake.llm.oracles import SQL
@@ -78,6 +78,11 @@ def op11_frequency_trie(spark, folder):
     return op11_spelling.variants(documents(spark, folder))
 
 
+@query
+def op12_interval_expansion(spark, folder):
+    return op12_repeats.removed(documents(spark, folder))
+
+
 @query
 def op13_threshold_centroids(spark, folder):
     return op13_centroids.cluster(spark.read.parquet(f"{folder}/embeddings.parquet"))
