@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lintlake.functions.ranks import running_totals
+from lintlake.functions.ranks import select_ranks
 from lintlake.operators.features import numeric_columns
 
 SEED = 42
@@ -29,9 +31,9 @@ def create_splits(
 ) -> DataFrame:
     """Add ``split``: train, val or test, in the given shares of each class.
 
-    Rows are ordered by a hash of their id inside a class and cut at exact ranks. Only counts
-    per hash are shuffled; the two cut points per class are joined back, so the rows stay put.
-    Copies of an id fall into the same split.
+    Rows are ordered by a hash of their id inside a class and cut at exact ranks, which are selected
+    without sorting; the two cut points per class (their number is checked) are joined back, so the rows
+    stay put. Copies of an id fall into the same split. The table is read three times.
     """
     if abs(train + val + test - 1.0) >= 1e-5:
         raise ValueError("Ratios must sum to 1.0")
@@ -40,22 +42,22 @@ def create_splits(
         # Rows without a class are a class of their own.
         stratum = F.coalesce(F.col("target").cast("string"), F.lit("none"))
     keyed = df.withColumns({"_stratum": stratum, "_key": split_key(F.col(id_column), seed)})
-    counted = keyed.groupBy("_stratum", "_key").agg(F.count("*").alias("n"))
-    ranked = running_totals(counted, ["_stratum"], "_key", ["n"])
-
-    def first_at(share: float) -> Column:
-        return F.min(F.when(F.col("n_before") >= F.floor(F.col("n_total") * share), F.col("_key")))
-
-    cuts = ranked.groupBy("_stratum").agg(
-        first_at(train).alias("_val_from"), first_at(train + val).alias("_test_from")
-    )
+    shares = [train, train + val]
+    found = select_ranks(keyed, "_stratum", "_key", shares, lambda n, i: math.floor(n * shares[i]))
+    # A split begins at the first key with so many rows before it: that at the rank, or the one behind it.
+    rows = [
+        (stratum, *(x and x.value + (x.before < math.floor(x.total * shares[i])) for i, x in enumerate(cuts)))
+        for stratum, cuts in found.items()
+    ]
+    kind = keyed.schema["_stratum"].dataType.simpleString()
+    cuts = df.sparkSession.createDataFrame(rows, f"_stratum {kind}, _val_from bigint, _test_from bigint")
     split = (
         F.when(F.col("_key") >= F.col("_test_from"), "test")
         .when(F.col("_key") >= F.col("_val_from"), "val")
         .otherwise("train")
     )
     return (
-        keyed.join(cuts, "_stratum")
+        keyed.join(F.broadcast(cuts), "_stratum")
         .withColumn("split", split)
         .drop("_stratum", "_key", "_val_from", "_test_from")
     )

@@ -75,7 +75,7 @@ def token_statistics(codes: DataFrame, tokens: Column | None = None) -> DataFram
         (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
     )
     names = {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-    found = quantiles_of_counts(counted, list(names.values()), [])
+    found = quantiles_of_counts(counted, list(names.values()))
     held = quantile_map(found.withColumn("name", F.lit("n")))
     return base.withColumn("_at", held).select(
         "min", "max", "mean", *[quantile_of(F.col("_at"), "n", q).alias(n) for n, q in names.items()]

@@ -48,7 +48,7 @@ def test_running_totals(spark, descending):
     rows = skewed()
     df = spark.createDataFrame(rows, "v double, k string")
     counted = df.groupBy("k", "v").agg(F.count("*").alias("n"))
-    for r in running_totals(counted, ["k"], "v", ["n"], descending, buckets=16).collect():
+    for r in running_totals(counted, ["k"], "v", ["n"], descending, block_rows=40).collect():
         mine = [v for v, k in rows if k == r.k]
         assert r.n_before == sum(v > r.v if descending else v < r.v for v in mine)
         assert r.n_total == len(mine)
