@@ -551,11 +551,12 @@ SELECT file_id AS id, lang AS language, sha256(code) AS code_hash, level AS risk
 SQL["r1_rejects"] = """SELECT CAST(doc_id AS VARCHAR) AS file_id, 'Code too large. Maximum 100,000 characters.' AS reason FROM documents WHERE length(text) * 12 > 100000"""
 SQL["r2_code_hash"] = "SELECT CAST(doc_id AS VARCHAR) AS file_id, sha256(text) AS code_hash FROM documents"
 SQL["r3_bug_probability"] = f"{REPORTS} SELECT file_id AS id, probability AS bug_probability FROM reports"
-SQL["r4_report_by_id"] = f"{REPORTS} SELECT file_id AS id, lang AS language, level AS risk_level FROM reports WHERE file_id = '13'"
+_loads = "SELECT file_id, key, level, CASE WHEN key % 12 <> 5 THEN lang END AS lang FROM reports"
+SQL["r4_report_by_id"] = f"{REPORTS} SELECT file_id AS id, lang AS language, level AS risk_level, 'load-' || key % 12 AS load_id FROM ({_loads}) WHERE file_id IN ('13', '17', '21')"
 SQL["r5_list_reports"] = f"""{REPORTS} SELECT file_id AS id, level AS risk_level, make_timestamp(key * 1000000) AS created_at,
-  (SELECT count(*) FROM reports WHERE lang = 'python') AS total FROM reports WHERE lang = 'python' ORDER BY key DESC, file_id LIMIT 20 OFFSET 20"""
+  (SELECT count(*) FROM ({_loads}) WHERE lang = 'python') AS total FROM ({_loads}) WHERE lang = 'python' ORDER BY key DESC, file_id LIMIT 40 OFFSET 20"""
 SQL["r6_summary_stats"] = f"""{REPORTS} SELECT level AS risk_level, count(*) AS analyses, round(avg(probability), 9) AS average_bug_probability FROM reports GROUP BY ROLLUP (level)"""
-SQL["r7_delete"] = f"{REPORTS} SELECT lang AS language, count(*) AS n FROM reports WHERE key NOT IN (SELECT s_suppkey FROM supplier) GROUP BY lang"
+SQL["r7_delete"] = f"{REPORTS} SELECT lang AS language, count(*) AS n FROM ({_loads}) WHERE key NOT IN (SELECT s_suppkey FROM supplier) GROUP BY lang"
 SQL["r8_response"] = f"""{REPORTS}, est AS (SELECT k AS ek, count(*) AS n_est FROM {E.ESTIMATES} GROUP BY k)
 SELECT file_id AS analysis_id, CAST(CASE WHEN key % 3 = 0 THEN 0 ELSE coalesce(n_est, 0) END AS INTEGER) AS n_estimates, CAST(total AS INTEGER) AS n_issues,
   CAST(CASE WHEN key % 3 = 0 THEN 0 ELSE {_total} END AS INTEGER) AS total_lines FROM reports LEFT JOIN est ON ek = k"""

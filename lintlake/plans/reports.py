@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.schemas import COMPLEXITY_ITEM, METRICS_ITEM, REPORT, SECURITY_ITEM, STORED_REPORT
-from lintlake.session import shared_dir, stored
+from lintlake.functions.ranks import at_rank
+from lintlake.schemas import COMPLEXITY_ITEM, METRICS_ITEM, SECURITY_ITEM
+from lintlake.sources.report_store import delete_report, delete_reports, find_report, read_reports
 
 # The languages offered, which include one the parser rejects, and the page limits.
 OFFERED_LANGUAGES = ["python", "c", "cpp", "java", "javascript"]
 PAGE_DEFAULT, PAGE_MAX = 20, 100
-
-
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STORED_REPORT).parquet(path)
+#: Rows up to which a page is found with one heap per task.
+HEAP = 10_000
 
 
 def report_by_id(reports: DataFrame, report_id: str) -> DataFrame:
@@ -27,13 +26,19 @@ def _of_language(reports: DataFrame, language: str | None) -> DataFrame:
 
 
 def list_reports(
-    reports: DataFrame, skip: int = 0, limit: int = PAGE_DEFAULT, language: str | None = None
+    reports: DataFrame,
+    skip: int = 0,
+    limit: int = PAGE_DEFAULT,
+    language: str | None = None,
+    after: tuple | None = None,
 ) -> DataFrame:
     """A page of reports, newest first, with the total number in ``total``.
 
-    Ties are settled by id, so that pages do not overlap. The page is found on (created_at, id)
-    alone, in a stored order that does not keep the rows before the page in memory, and its rows,
-    at most ``PAGE_MAX``, are fetched by id.
+    Ties are settled by id, so that pages do not overlap. ``after``, the (created_at, id) of the last
+    report seen, starts the page behind it, however deep that is; ``skip`` counts from there. The page's
+    keys are found first, with a heap of ``skip + limit`` of them per task; where that would be more than
+    ``HEAP``, the key at the place ``skip`` is selected in rounds of counting. Its rows, at most
+    ``PAGE_MAX``, are then fetched by key.
     """
     if skip < 0 or not 1 <= limit <= PAGE_MAX:
         raise ValueError(f"skip must be >= 0 and limit in 1..{PAGE_MAX}")
@@ -41,30 +46,24 @@ def list_reports(
     total = chosen.agg(F.count("*").alias("n")).scalar()
     newest = [F.desc("created_at"), F.asc("id")]
     keys = chosen.select("created_at", "id")
-    page = _ordered_ids(keys, newest).where(F.col("place").between(skip, skip + limit - 1))
-    rows = chosen.join(F.broadcast(page.select("id")), "id", "left_semi")
-    return rows.orderBy(*newest).withColumn("total", total)
-
-
-def _ordered_ids(reports: DataFrame, order: list) -> DataFrame:
-    """(id, place): the ids sorted over all partitions and written down with their position.
-
-    The place inside a sorted partition is stored with the row, so reading it back again and
-    again, also after a lost executor, gives the same order.
-    """
-    path = shared_dir(reports.sparkSession, "order")
-    reports.orderBy(*order).select("id", F.monotonically_increasing_id().alias("n")).write.parquet(path)
-    placed = reports.sparkSession.read.parquet(path).select(
-        "id",
-        F.shiftrightunsigned("n", 33).alias("part"),
-        F.col("n").bitwiseAND(F.lit((1 << 33) - 1)).alias("within"),
-    )
-    sizes = placed.groupBy("part").agg(F.count("*").alias("size"))
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"))
-    return placed.join(F.broadcast(starts), "part").select(
-        "id", (F.col("start") + F.col("within")).alias("place")
-    )
+    if after is not None:
+        keys = keys.where(_is_behind(*after))
+    if skip + limit > HEAP:
+        keys, skip = at_rank(keys, [("created_at", False), ("id", True)], skip, limit, HEAP)
+    page = keys.orderBy(*newest).limit(skip + limit).offset(skip)
+    page = page.select(F.col("created_at").alias("_at"), F.col("id").alias("_id")).distinct()
+    same = F.col("id").eqNullSafe(F.col("_id")) & F.col("created_at").eqNullSafe(F.col("_at"))
+    rows = chosen.join(F.broadcast(page), same, "left_semi")
+    return rows.orderBy(*newest).limit(limit).withColumn("total", total)
+
+
+def _is_behind(created_at, report_id):
+    """Whether a report comes behind the given one: older, or as old with a larger id."""
+    if created_at is None:
+        older = F.lit(False)
+    else:
+        older = (F.col("created_at") < F.lit(created_at)) | F.col("created_at").isNull()
+    return older | F.col("created_at").eqNullSafe(F.lit(created_at)) & (F.col("id") > F.lit(report_id))
 
 
 def summary_stats(reports: DataFrame) -> DataFrame:
@@ -86,27 +85,6 @@ def without_report(reports: DataFrame, ids: DataFrame) -> DataFrame:
     return reports.join(ids.select("id"), "id", "left_anti")
 
 
-def delete_reports(spark: SparkSession, path: str, ids: DataFrame) -> int:
-    """Delete the reports with the ids of a table from every load that holds them; how many there were.
-
-    Only the partitions that hold one are rewritten. The rows to keep are staged in the shared
-    folder first, so they exist on disk at every moment.
-    """
-    held = read_reports(spark, path).join(ids.select("id").distinct(), "id", "left_semi")
-    touched = held.groupBy("load_id", "language").agg(F.count("*").alias("n")).collect()
-    columns = [f for f in REPORT.fieldNames() if f != "language"]
-    for t in touched:
-        partition = f"{path.rstrip('/')}/load_id={t['load_id']}/language={t['language']}"
-        kept = spark.read.parquet(partition).select(*columns).join(ids.select("id"), "id", "left_anti")
-        stored(kept, "kept-reports").select(*columns).write.mode("overwrite").parquet(partition)
-    return sum(t["n"] for t in touched)
-
-
-def delete_report(spark: SparkSession, path: str, report_id: str) -> bool:
-    """Delete one report from every load; false when it does not exist."""
-    return delete_reports(spark, path, spark.createDataFrame([(report_id,)], "id string")) > 0
-
-
 def to_response(stored: DataFrame) -> DataFrame:
     """Reports stored with JSON text columns in response shape; bad JSON becomes the default."""
 
@@ -144,6 +122,7 @@ def supported_languages(spark: SparkSession) -> DataFrame:
 __all__ = [
     "delete_report",
     "delete_reports",
+    "find_report",
     "list_reports",
     "read_reports",
     "report_by_id",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ from lintlake.plans import analysis, reports
 from lintlake.schemas import FEATURES
 from lintlake.session import shared_dir, stored
 from lintlake.sources import corpus, readers, writers
+from lintlake.sources.report_store import compact
 from lintlake.streaming import submissions
 
 Q: dict = {}
@@ -110,6 +112,21 @@ def report_table(spark: SparkSession, d: str) -> DataFrame:
     return reports.read_reports(spark, path)
 
 
+def report_store(spark: SparkSession, d: str) -> str:
+    """A store of the same reports in twelve loads, one of them without a language; a compaction has
+    taken eight loads in."""
+    path, made = shared_dir(spark, "reports"), stored(stored_reports(spark, d), "reports")
+    part = F.col("id").cast("bigint") % 12
+    for k in range(12):
+        load = made.where(part == k)
+        if k == 5:
+            load = load.withColumn("language", F.lit(None).cast("string"))
+        writers.append_reports(load, path, f"load-{k}")
+        if k == 7:
+            compact(spark, path)
+    return path
+
+
 # ---- sources and sinks ---------------------------------------------------------------------
 
 
@@ -1213,13 +1230,19 @@ def r3_bug_probability(spark, d):
 
 @query
 def r4_report_by_id(spark, d):
-    return reports.report_by_id(report_table(spark, d), "13").select("id", "language", "risk_level")
+    path = report_store(spark, d)
+    found = [reports.find_report(spark, path, report_id) for report_id in ("13", "17", "21", "none")]
+    return functools.reduce(DataFrame.unionByName, found).select("id", "language", "risk_level", "load_id")
 
 
 @query
 def r5_list_reports(spark, d):
-    made = reports.list_reports(report_table(spark, d), 20, 20, "python")
-    return made.select("id", "risk_level", "created_at", "total")
+    """The second page of Python reports, and the page behind it by its last key."""
+    table = reports.read_reports(spark, report_store(spark, d))
+    second = stored(reports.list_reports(table, 20, 20, "python"), "page")
+    last = second.orderBy("created_at", F.desc("id")).first()
+    third = reports.list_reports(table, 0, 20, "python", after=(last.created_at, last.id))
+    return second.unionByName(third).select("id", "risk_level", "created_at", "total")
 
 
 @query
@@ -1230,13 +1253,13 @@ def r6_summary_stats(spark, d):
 
 @query
 def r7_delete(spark, d):
-    """Reports of two loads, some of them deleted from the stored table."""
-    path, made = shared_dir(spark, "reports"), stored_reports(spark, d)
-    odd = F.col("id").cast("bigint") % 2 == 1
-    writers.append_reports(made.where(odd), path, "first")
-    writers.append_reports(made.where(~odd), path, "second")
+    """Reports of twelve loads, some of them deleted before and some after a compaction."""
+    path = report_store(spark, d)
     gone = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"))
-    reports.delete_reports(spark, path, gone)
+    odd = F.col("id").cast("bigint") % 2 == 1
+    reports.delete_reports(spark, path, gone.where(odd))
+    compact(spark, path)
+    reports.delete_reports(spark, path, gone.where(~odd))
     return reports.read_reports(spark, path).groupBy("language").agg(F.count("*").alias("n"))
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lintlake.operators.metrics import METRIC_COLUMNS
-from lintlake.schemas import REPORT, STORED_REPORT
+from lintlake.schemas import STORED_REPORT
+from lintlake.sources.report_store import append_reports, read_reports
 
 
 def save_dataset(df: DataFrame, path: str, format: str = "csv") -> str:
@@ -69,16 +70,10 @@ def metrics_rows(metrics: DataFrame) -> DataFrame:
     return metrics.select("file_id", F.inline(F.concat(*pieces)))
 
 
-def append_reports(reports: DataFrame, path: str, load_id: str) -> None:
-    """Add a load of reports. Writing the same load again replaces it, so a repeated batch
-    leaves no duplicates."""
-    reports.select(*REPORT.fieldNames()).write.mode("overwrite").partitionBy("language").parquet(
-        f"{path.rstrip('/')}/load_id={load_id}"
-    )
-
-
 def create_reports_table(spark: SparkSession, name: str, path: str) -> None:
-    """Create the reports table over ``path`` when it does not exist, and list its loads."""
+    """Create the reports table over the loads at ``path`` when it does not exist, and list them. It shows
+    the loads as they were appended; ``create_reports_view`` shows the store without deleted reports, also
+    after a compaction."""
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in STORED_REPORT.fields)
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
@@ -87,6 +82,11 @@ def create_reports_table(spark: SparkSession, name: str, path: str) -> None:
     spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
 
 
+def create_reports_view(spark: SparkSession, name: str, path: str) -> None:
+    """The live reports of a store as a view of the session, as they are now."""
+    read_reports(spark, path).createOrReplaceTempView(name)
+
+
 def log_experiment(
     spark: SparkSession, model: str, parameters: dict, metrics: dict, path: str
 ) -> str:
@@ -121,3 +121,18 @@ def save_tuning_results(trials: DataFrame, path: str) -> None:
         F.count("*").alias("n_trials"),
     )
     best.write.mode("overwrite").json(path)
+
+
+__all__ = [
+    "append_reports",
+    "create_reports_table",
+    "create_reports_view",
+    "log_experiment",
+    "metrics_json",
+    "metrics_rows",
+    "save_code_lines",
+    "save_dataset",
+    "save_embeddings",
+    "save_results",
+    "save_tuning_results",
+]

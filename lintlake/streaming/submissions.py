@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lintlake.plans.analysis import analyze
-from lintlake.sources.writers import append_reports
+from lintlake.sources.report_store import append_reports, compact_when_due
 
 
 def analyze_stream(
@@ -18,15 +18,19 @@ def analyze_stream(
     checkpoint: str,
     name: str = "stream",
     available_now: bool = True,
+    compact_at: int | None = None,
 ) -> StreamingQuery:
     """Append one report per streamed snippet to the reports table.
 
     The analysis has no state, so it runs unchanged on the stream. Each micro-batch is a load
-    named by its number: a batch repeated after a failure replaces itself.
+    named by its number: a batch repeated after a failure replaces itself. ``compact_at``: compact the
+    store whenever so many loads wait, so that searches by id stay quick while the stream runs.
     """
 
     def store(batch: DataFrame, number: int) -> None:
         append_reports(batch, reports_path, f"{name}-{number}")
+        if compact_at:
+            compact_when_due(batch.sparkSession, reports_path, compact_at)
 
     writer = analyze(submissions).writeStream.foreachBatch(store)
     writer = writer.option("checkpointLocation", checkpoint)
