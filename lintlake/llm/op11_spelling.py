@@ -41,7 +41,9 @@ LEVELS = len(GROUPS) + 1
 BLOCKS = (4, 3, 3, 3)
 #: Rows of a node beyond which it is opened; pairs that a step verifies instead of going further down;
 #: letters beyond which words are compared one by one; entries of a task's counter.
-MOST_ROWS, FEW_PAIRS, WIDE, COUNTED = 60_000, 2_048, 32, 400_000
+MOST_ROWS, FEW_PAIRS, WIDE, COUNTED = 12_000, 2_048, 32, 400_000
+#: Words that one task sends out, and rows of nodes that a task gathers before it searches them.
+SENT, GATHERED = 50_000, 60_000
 #: Shortest word, least occurrences, a hash multiple that loses a letter, how much more frequent a form is.
 LEAST_LENGTH, LEAST_COUNT, LOSES, TIMES = 7, 2, 31, 10
 
@@ -137,7 +139,9 @@ def _dealt(rows: DataFrame, large: DataFrame, most_rows: int) -> DataFrame:
 
 def spread(words: DataFrame, blocks=BLOCKS, most_rows=MOST_ROWS) -> DataFrame:
     """(node, word, n, is_word, is_search): the words and searches of each node."""
-    rows = words.select(F.lit("").alias("node"), F.lit(HOME).alias("state"), "word", "n", vector(F.col("word")).alias("vec"))
+    # A word grows to a dozen rows, so the narrow table is spread first.
+    n = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), words.count() // SENT)
+    rows = words.repartition(n, "word").select(F.lit("").alias("node"), F.lit(HOME).alias("state"), "word", "n", vector(F.col("word")).alias("vec"))
     ready = []
     first = 0
     total = None
@@ -292,7 +296,7 @@ def links(words: DataFrame, blocks=BLOCKS, most_rows=MOST_ROWS) -> DataFrame:
         for b in batches:
             held.append(b)
             size += b.num_rows
-            if size >= most_rows:  # all nodes but the last are whole
+            if size >= GATHERED:  # all nodes but the last are whole
                 table = pa.Table.from_batches(held)
                 node = table.column("node").combine_chunks().dictionary_encode().indices.to_numpy()
                 cut = int(np.searchsorted(node, node[-1]))

@@ -39,7 +39,7 @@ from lintlake.session import shared_dir
 
 WINDOW, GRAM = 200, 48
 #: Bytes hashed at a time; bytes of pieces whose suffixes a task sorts at a time; and the most of one key.
-HASHED, SORTED, MOST_OF_KEY = 1 << 20, 1 << 20, 4 << 20
+HASHED, SORTED, MOST_OF_KEY = 1 << 20, 1 << 20, 1 << 19
 #: A key is salted if it has more than 1/HOT_SHARE of the rows.
 HOT_SHARE = 1_000
 BASE, MIX = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
