@@ -8,9 +8,9 @@ backtracked, and the pattern is used as often as the histogram allows. Where no
 longest remainder that is left is cut to close the gap. Nothing is shuffled and no task sees more than
 its own documents; a task ends with at most one window that is not full.
 
-Token ids are made per space-separated unit with a bounded cache: a unit boundary (a space after a
-character that is not white space) is always a boundary of the tokenizer's own units. Texts in which a
-space follows other white space are encoded whole.
+Token ids are made once for each distinct space-separated unit of a batch, with a bounded cache: a unit
+boundary (a space after a character that is not white space) is always a boundary of the tokenizer's own
+units. Texts in which a space follows other white space are encoded whole.
 
 Defined results: null text is empty, and an empty text is the single end id; rows that repeat each
 other are packed each; an empty table gives no rows; other columns are ignored; a null id stays null.
@@ -18,12 +18,12 @@ other are packed each; an empty table gives no rows; other columns are ignored;
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -31,42 +31,46 @@ from lintlake.llm.common import narrow, worker_state
 
 WINDOW, END_ID = 2048, 1
 #: Remainders packed together; entries of the cache of unit ids; smallest piece cut to close a gap.
-BLOCK, CACHED, LEAST_CUT = 65_536, 250_000, 16
+BLOCK, CACHED, LEAST_CUT = 65_536, 400_000, 16
+#: Bytes of remainders that are held for packing; bytes of text that are encoded at a time.
+HELD_BYTES, ENCODED_BYTES = 64 << 20, 4 << 20
 SCHEMA = "doc_id {}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
-_SPACED = re.compile(r"\s ")
+#: White space before a space: there a space does not begin a unit.
+_SPACED = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] "
 
 
 class Encoder:
-    """Text to the bytes of its unsigned little-endian 32-bit token ids."""
+    """Texts to unsigned 32-bit token ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        #: Tokens that begin with a space: in units that are joined, the first of each unit and no other.
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True
         self.cache: dict[str, bytes] = {}
         self.missed = 0
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def ids(self, text: str) -> np.ndarray:
+        (made,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(made.ids, "<u4")
 
     def fill(self, missing: list[str]) -> list[bytes]:
-        """Ids of units, encoded in one call: joined they keep their boundaries, and offsets tell them apart."""
-        made = self.tokenizer.encode("".join(missing), add_special_tokens=False)
-        ids = np.array(made.ids, "<u4")
-        first = np.array([o[0] for o in made.offsets])
-        ends = np.cumsum([len(u) for u in missing])
-        cuts = np.searchsorted(first, ends).tolist()
-        return [ids[i:j].tobytes() for i, j in zip([0, *cuts], cuts)]
+        """Ids of units, encoded in one call: joined they keep their boundaries."""
+        ids = self.ids("".join(missing))
+        cuts = (4 * np.flatnonzero(self.begins[ids])).tolist()
+        ids = ids.tobytes()
+        return [ids[i:j] for i, j in zip(cuts, [*cuts[1:], len(ids)])]
 
-    def __call__(self, text: str) -> bytes:
-        if not text or _SPACED.search(text):
-            return self.whole(text)
-        first, *parts = text.split(" ")
+    def units(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct parts of texts, each behind a space."""
         cache = self.cache
         out = list(map(cache.get, parts))
-        missing = list({p for p, ids in zip(parts, out) if ids is None}) if None in out else []
+        missing = [p for p, ids in zip(parts, out) if ids is None]
         if missing:
             self.missed += len(missing)
             if self.missed > 20 * CACHED:  # the words have changed
@@ -76,7 +80,49 @@ class Encoder:
             if len(cache) < CACHED:
                 cache.update((p, ids) for p, ids in made.items() if len(p) < 64)
             out = [made[p] if ids is None else ids for p, ids in zip(parts, out)]
-        return self.whole(first) + b"".join(out)
+        return out
+
+    def __call__(self, text: str) -> bytes:
+        return self.batch(pa.array([text], pa.string()))[0].tobytes()
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text. The distinct parts of all texts are looked up or encoded once; texts in which
+        white space is followed by a space, and empty ones, are encoded alone."""
+        alone = pc.or_(pc.match_substring_regex(texts, _SPACED), pc.equal(pc.binary_length(texts), 0))
+        alone = alone.to_numpy(zero_copy_only=False)
+        out: list = [None] * len(texts)
+        for i in np.flatnonzero(alone).tolist():
+            out[i] = self.ids(texts[i].as_py())
+        plain = np.flatnonzero(~alone)
+        if not len(plain):
+            return out
+        split = pc.split_pattern(texts.take(pa.array(plain)), " ")
+        begin = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        at, words = coded.indices.to_numpy(), coded.dictionary
+        begin = begin - begin[0]
+        first = np.zeros(len(at), bool)
+        first[begin[:-1]] = True
+        # The first part of a text has no space before it.
+        heads, rests = np.unique(at[first]), np.unique(at[~first])
+        found = [self.ids(w).tobytes() for w in words.take(pa.array(heads)).to_pylist()]
+        found += self.units(words.take(pa.array(rests)).to_pylist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = np.cumsum(size) - size
+        made = np.frombuffer(b"".join(found), "<u4")
+        slot = np.empty(len(at), np.int64)
+        of = np.zeros(len(words), np.int64)
+        of[heads] = np.arange(len(heads))
+        slot[first] = of[at[first]]
+        of[rests] = len(heads) + np.arange(len(rests))
+        slot[~first] = of[at[~first]]
+        n = size[slot]
+        ends = np.cumsum(n)
+        ids = made[np.arange(ends[-1]) + np.repeat(start[slot] - (ends - n), n)]
+        cuts = np.r_[0, ends[begin[1:] - 1]].tolist()
+        for i, low, high in zip(plain.tolist(), cuts, cuts[1:]):
+            out[i] = ids[low:high]
+        return out
 
 
 def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -145,6 +191,17 @@ def pack_block(pieces: list[tuple[int, int, int]], window: int, least_cut: int =
             yield made
 
 
+def _cut(batch: pa.RecordBatch, most: int):
+    """A batch in parts of about ``most`` bytes of text."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def pack(docs: DataFrame, tokenizer: str, window=WINDOW, end_id=END_ID, block=BLOCK, id_col="doc_id", text_col="text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -162,6 +219,7 @@ def pack(docs: DataFrame, tokenizer: str, window=WINDOW, end_id=END_ID, block=BL
         out: list[tuple] = []
         tails: list[tuple[int, int, int]] = []
         held: list[tuple[object, bytes, int, int]] = []  # id, bytes of the remainder, its start, tokens
+        held_bytes = 0
 
         def flush():
             nonlocal sequence
@@ -188,20 +246,23 @@ def pack(docs: DataFrame, tokenizer: str, window=WINDOW, end_id=END_ID, block=BL
         arrow_kind = pa.int64()
         for b in batches:
             arrow_kind = b.schema.field(0).type
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = encode(text.as_py()) + end
-                tokens = len(ids) // 4
-                full = tokens // window * window
-                for at in range(0, full, window):
-                    out.append((doc, at, window, zlib.crc32(ids[4 * at : 4 * (at + window)]), tokens, sequence, 0))
-                    sequence += 1
-                if tokens > full:
-                    tails.append((len(held), full, tokens - full))
-                    held.append((doc, ids[4 * full :], full, tokens))
-                if len(tails) >= block:
-                    flush()
-                if len(out) >= 65_536:
-                    yield rows_out()
+            for part in _cut(b, ENCODED_BYTES):
+                for doc, ids in zip(part.column(0).to_pylist(), encode.batch(part.column(1))):
+                    ids = ids.tobytes() + end
+                    tokens = len(ids) // 4
+                    full = tokens // window * window
+                    for at in range(0, full, window):
+                        out.append((doc, at, window, zlib.crc32(ids[4 * at : 4 * (at + window)]), tokens, sequence, 0))
+                        sequence += 1
+                    if tokens > full:
+                        tails.append((len(held), full, tokens - full))
+                        held.append((doc, ids[4 * full :], full, tokens))
+                        held_bytes += 4 * (tokens - full)
+                    if len(tails) >= block or held_bytes >= HELD_BYTES:
+                        flush()
+                        held_bytes = 0
+                    if len(out) >= 65_536:
+                        yield rows_out()
         flush()
         yield rows_out()
 

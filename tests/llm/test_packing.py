@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -68,6 +69,16 @@ def test_encoder_equals_the_tokenizer(small, ids_of):
         assert np.frombuffer(encode(text), "<u4").tolist() == ids_of(text)[:-1]
 
 
+def test_batches_equal_single_texts(small, ids_of):
+    """Parts that several texts share, as their first and as a later one, and a cache that is too small."""
+    texts = [*SPACES, "", "a b a", "b a", "b", "a", *[r.text for r in small.limit(60).collect()], "x\u00a0 y", "x\u2003 y z"] * 2
+    for cached in (5, op3.CACHED):
+        encode = op3.Encoder(PATH)
+        encode.cache.update(dict.fromkeys([f"filler {i}" for i in range(op3.CACHED - cached)], b""))
+        for _ in range(2):
+            assert [x.tolist() for x in encode.batch(pa.array(texts))] == [ids_of(t)[:-1] for t in texts]
+
+
 def test_best_fill_is_the_closest():
     random.seed(3)
     for _ in range(200):
