@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,33 +76,34 @@ def submissions(spark: SparkSession, path: str) -> DataFrame:
 def feature_csvs(spark: SparkSession, folder: str) -> DataFrame:
     """Every ``*.csv`` directly under a folder, columns united by name.
 
-    Spark maps the columns of one CSV read by position, so files are grouped by their header
-    and each group is one scan. Only file names and header lines reach the driver. Unreadable
-    files are skipped; a folder without files gives an empty table.
+    Spark maps the columns of one CSV read by position, so files are grouped by their first line, found
+    for all of them in one job, and each group is one scan. The number of jobs depends on the number of
+    different first lines, not of files; the driver holds the names of the files, as any scan's does.
+    Files without a line are skipped; a folder without files gives an empty table.
     """
-    groups: dict[tuple, list[str]] = {}
-    for path in _csv_paths(spark, folder):
-        try:
-            header = tuple(spark.read.option("header", True).csv(path).columns)
-        except AnalysisException:
-            continue
-        if header:
-            groups.setdefault(header, []).append(path)
     united = None
-    for header in sorted(groups):
-        part = (
-            spark.read.option("header", True).option("inferSchema", True).csv(groups[header])
-        )
+    for files in _files_by_header(spark, folder):
+        part = spark.read.option("header", True).option("inferSchema", True).csv(files)
         united = part if united is None else united.unionByName(part, allowMissingColumns=True)
     return spark.createDataFrame([], T.StructType([])) if united is None else united
 
 
-def _csv_paths(spark: SparkSession, folder: str) -> list[str]:
+def _files_by_header(spark: SparkSession, folder: str) -> list[list[str]]:
+    """The files of each first line, in the order of the lines."""
     try:
-        listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
-        return sorted(row.path for row in listed.select("path").toLocalIterator())
+        lines = spark.read.option("pathGlobFilter", "*.csv").text(folder)
     except AnalysisException:
         return []
+    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+    lines = lines.select("value", F.col("_metadata.file_path").alias("path"), place.alias("place"))
+    first = lines.where(~is_blank(F.col("value"))).groupBy("path").agg(F.min_by("value", "place").alias("header"))
+    grouped = first.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("files"))
+    return [[_as_given(f) for f in r.files] for r in grouped.orderBy("header").collect()]
+
+
+def _as_given(location: str) -> str:
+    """The path of a file's location, with the signs of patterns taken literally."""
+    return re.sub(r"([\\*?{}\[\]])", r"\\\1", unquote(location))
 
 
 def dataset(spark: SparkSession, path: str) -> DataFrame:

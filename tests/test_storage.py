@@ -40,6 +40,24 @@ def test_feature_csvs(spark, tmp_path):
     assert readers.feature_csvs(spark, str(tmp_path / "missing")).count() == 0
 
 
+def test_feature_csvs_of_many_files(spark, tmp_path):
+    """The number of jobs does not depend on the number of files."""
+    jobs = []
+    for n in (100, 130):  # more than Spark lists without a job
+        folder = tmp_path / f"in {n}"
+        folder.mkdir()
+        for k in range(n):
+            (folder / f"f {k}%[+].csv").write_text(["id,x\n", "\n  \ny,id\n", '"id","z"\r\n'][k % 3] + f"{k},{k + 100}\n")
+        (folder / "blank.csv").write_text("\n\n")
+        spark.sparkContext.setJobGroup(f"csv{n}", "")
+        made = readers.feature_csvs(spark, str(folder)).collect()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"csv{n}")))
+        spark.sparkContext._jsc.clearJobGroup()
+        want = [((k, k + 100, None, None), (k + 100, None, k, None), (k, None, None, k + 100))[k % 3] for k in range(n)]
+        assert sorted((r.id, r.x, r.y, r.z) for r in made) == sorted(want)
+    assert jobs[0] == jobs[1]
+
+
 def test_save_and_load(spark, tmp_path):
     df = spark.createDataFrame([(1, "a,b")], "id int, s string")
     for kind in ("csv", "parquet"):
