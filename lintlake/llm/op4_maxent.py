@@ -1,19 +1,21 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-A token's probability is factored: softmax over classes given the context, times the token's share of its
-class. The class softmax is log-linear in hashed features of the context: the previous word, the pair of
-previous words, and two skips (the word before the last, and the one before that). Classes are built from
-the corpus: very frequent words are classes of their own; the others are grouped by the kind of document
-they live in (a document's kind is its most frequent token) and by frequency band; words too rare for the
-bounded vocabulary fall into one rare class per kind, chosen by a table over word endings. In a rare
-class, absolute discounting leaves a share for words never seen.
+The softmax over words is factored by a tree of classes: a token's probability is the product of the choices
+on the way from the root to its word, and every choice among the up to ``FAN`` children of a node is a
+softmax that is log-linear in hashed features of the context: the previous word, the pair of previous words,
+and two skips (the word before the last, and the one before that), each joined with the node. So the context
+tells classes apart near the root and words of one class further down. The tree is built from the corpus:
+children of a node weigh about the same, frequent words lie near the root, and words that live in one kind of
+document (a document's kind is its most frequent token) lie together. Words too rare for the bounded
+vocabulary fall into one leaf per kind, chosen by a table over word endings; in such a leaf a word has its
+share of the counts, and absolute discounting leaves a share for words never seen.
 
 Training: the training documents are dealt to ``ROUNDS`` rounds; in a round every task runs AdaGrad over
 its own documents from the current weights, and the changes of every feature's weights are averaged by how
-often each task met the feature (one row per feature and task, summed by Spark). The weights have a fixed
-size, so they and the vocabulary are broadcast.
+often each task met the feature (one row per feature and task, only those that it met, summed by Spark). The
+weights have a fixed size, so they and the vocabulary are broadcast.
 
-Scoring: one pass makes hashed sparse batches and sums class and word terms. Counts of words outside the
+Scoring: one pass makes hashed sparse batches and sums the choices of every token. Counts of words outside the
 bounded vocabulary stay in a table that grows with the corpus: what a document has of them is joined with
 it, so base scores are exact.
 
@@ -25,10 +27,11 @@ id is never held out; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,18 +39,18 @@ from pyspark.sql import functions as F
 from lintlake.llm.common import narrow, remainder, scalar_row, stored
 
 FOLDS, HELD_OUT = 5, 1
-#: Bounded vocabulary, fewest occurrences in it, words that are classes of their own, ends of the bands.
-WORDS, LEAST, SINGLE, BANDS = 1 << 17, 3, 32, (1024, 8192, 1 << 17)
+#: Bounded vocabulary, fewest occurrences in it, children of a node.
+WORDS, LEAST, FAN = 1 << 17, 3, 16
 #: Kinds of documents: hashed, and kept.
 HASHED_KINDS, KINDS = 32, 8
 ENDINGS = 4096
-CLASSES = SINGLE + len(BANDS) * (KINDS + 1) + KINDS + 1
-#: Rows of the hashed weights, rounds, tokens of a gradient step, step size, discount.
-ROWS, ROUNDS, STEP_TOKENS, RATE, DISCOUNT = 1 << 15, 3, 16_384, 0.8, 0.75
+#: Rows of each of the hashed tables (one per template, for the root and for all other nodes), templates,
+#: rounds, tokens of a gradient step, step size, discount.
+ROWS, TEMPLATES, ROUNDS, STEP_TOKENS, RATE, DISCOUNT = 1 << 16, 4, 3, 16_384, 0.8, 0.75
 #: Tokens that a task trains on at least, where there are as many: its changes are a table of fixed size.
-TASK_TOKENS = 1 << 20
-#: Distinct words that a task counts before it hands its counts on; tokens of a scoring batch.
-FLUSH, BATCH_TOKENS = 300_000, 8_192
+TASK_TOKENS = 1 << 22
+#: Bytes of text that are counted at a time, tokens of a scoring batch, bound of a logit.
+COUNTED_BYTES, BATCH_TOKENS, LARGEST = 16 << 20, 16_384, 60.0
 END = "\n"
 
 
@@ -55,35 +58,119 @@ def tokens(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of some texts, the words of all texts as numbers of distinct ones, and how many
+    words each text has. Splits and lowers as ``tokens`` does."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    sizes = np.diff(lists.offsets.to_numpy())
+    coded = lists.flatten().dictionary_encode()
+    distinct, at = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    blank = pc.index(distinct, "").as_py()
+    if blank >= 0:  # white space at an end of a text
+        some = at != blank
+        owner = np.repeat(np.arange(len(sizes)), sizes)[some]
+        at, sizes = at[some], np.bincount(owner, minlength=len(sizes))
+    return distinct, at, sizes
+
+
 def counted(train: DataFrame) -> DataFrame:
     """(word, kind, n) in parts: counts of all training tokens by the kind of their document."""
 
-    def run(batches):
-        kinds: dict[int, Counter] = {}
-
-        def out():
-            rows = [(w, k, n) for k, c in kinds.items() for w, n in c.items()]
-            kinds.clear()
-            w, k, n = zip(*rows) if rows else ((),) * 3
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x.decode() for x in w], pa.string()), pa.array(k, pa.int32()), pa.array(n, pa.int64())], ["word", "kind", "n"]
-            )
+    def count(texts):
+        distinct, at, sizes = split(texts)
+        named = [w.encode() for w in distinct.to_pylist()]
+        place = np.empty(len(named), np.int64)
+        place[sorted(range(len(named)), key=named.__getitem__)] = np.arange(len(named))
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        pairs, n = np.unique(owner * max(len(named), 1) + place[at], return_counts=True)
+        of, rank = np.divmod(pairs, max(len(named), 1))
+        # the most frequent word of each text, the larger of equally frequent ones
+        best = np.zeros(len(sizes), np.int64)
+        np.maximum.at(best, of, n * len(named) + rank)
+        hashed = np.empty(len(named), np.int64)
+        hashed[place] = [zlib.crc32(w) % HASHED_KINDS for w in named]
+        kind = np.full(len(sizes), zlib.crc32(b"") % HASHED_KINDS)
+        kind[sizes > 0] = hashed[best[sizes > 0] % max(len(named), 1)]
+        both, sums = np.unique(kind[of] * max(len(named), 1) + rank, return_inverse=True)
+        sums = np.bincount(sums, n, len(both)).astype(np.int64)
+        kinds, rank = np.divmod(both, max(len(named), 1))
+        words = distinct.take(pa.array(np.argsort(place)[rank]))
+        ends = np.bincount(kind, minlength=HASHED_KINDS)
+        some = np.flatnonzero(ends)
+        words = pa.concat_arrays([words.cast(pa.string()), pa.array([END] * len(some), pa.string())])
+        return pa.RecordBatch.from_arrays(
+            [words, pa.array(np.r_[kinds, some].astype(np.int32)), pa.array(np.r_[sums, ends[some]])], ["word", "kind", "n"]
+        )
 
+    def run(batches):
+        held, size = [], 0
         for b in batches:
-            for text in b.column(0):
-                own = Counter(tokens(text.as_py()))
-                top = max(own.items(), key=lambda x: (x[1], x[0]))[0] if own else b""
-                own[END.encode()] += 1
-                kinds.setdefault(zlib.crc32(top) % HASHED_KINDS, Counter()).update(own)
-                if sum(map(len, kinds.values())) > FLUSH:
-                    yield out()
-        yield out()
+            held.append(b.column(0))
+            size += held[-1].nbytes
+            if size >= COUNTED_BYTES:
+                yield count(pa.concat_arrays(held))
+                held, size = [], 0
+        if held:
+            yield count(pa.concat_arrays(held))
 
     return train.select("text").mapInArrow(run, "word string, kind int, n bigint")
 
 
+class Tree:
+    """A tree whose leaves are words: the way to each, and prior choices.
+
+    Items of one group are joined, the ``FAN`` lightest first, until each that is left of the group weighs as
+    much as a child of the root may; then the rest of all groups is joined in the same way. So the
+    weighted depth is near the least there is, and words of a group share their lower nodes."""
+
+    def __init__(self, groups: np.ndarray, weights: np.ndarray):
+        n = len(weights)
+        parent: dict[int, tuple[int, int]] = {}
+        mass: list[float] = weights.tolist()
+        bias: list[np.ndarray] = []
+
+        def join(heap: list[tuple[float, int]], enough: float) -> list[tuple[float, int]]:
+            heapify(heap)
+            take = (len(heap) - 2) % (FAN - 1) + 2  # then the last node is full
+            while len(heap) > 1 and (take < FAN or heap[0][0] < enough):
+                own = [heappop(heap) for _ in range(min(take, len(heap)))]
+                node = n + len(bias)
+                sizes = np.array([m for m, _ in own])
+                row = np.full(FAN, -1e9, np.float32)
+                row[: len(own)] = np.log(sizes / sizes.sum())
+                bias.append(row)
+                mass.append(float(sizes.sum()))
+                for child, (_, item) in enumerate(own):
+                    parent[item] = (node, child)
+                heappush(heap, (mass[node], node))
+                take = FAN
+            return heap
+
+        enough = weights.sum() / FAN
+        rest = []
+        for g in np.unique(groups).tolist():
+            rest += join([(mass[i], i) for i in np.flatnonzero(groups == g).tolist()], enough)
+        join(rest, np.inf)
+        if not bias:
+            bias.append(np.where(np.arange(FAN) == 0, 0, -1e9).astype(np.float32))
+            parent[0] = (n, 0)
+        self.bias = np.stack(bias)
+        nodes, children, depth = [], [], np.zeros(n, np.int64)
+        for leaf in range(n):
+            way, at = [], leaf
+            while at in parent:
+                at, child = parent[at]
+                way.append((at - n, child))
+            depth[leaf] = len(way)
+            nodes += [x for x, _ in reversed(way)]
+            children += [c for _, c in reversed(way)]
+        self.depth, self.start = depth, np.cumsum(depth) - depth
+        self.nodes, self.children = np.array(nodes, np.int64), np.array(children, np.int64)
+
+
 class Vocabulary:
-    """The frequent words with their classes and log shares, and the rule for all others."""
+    """The frequent words, the rule for all others, and the tree over both: a leaf for each word and for
+    each rare kind."""
 
     def __init__(self, words: list[str], counts: np.ndarray, kinds: np.ndarray):
         """Words by falling count; ``kinds``: the hashed kind that each occurs in most."""
@@ -93,31 +180,27 @@ class Vocabulary:
         place = np.full(HASHED_KINDS, KINDS)
         best = [k for k in np.argsort(-mass, kind="stable")[:KINDS] if mass[k] > 0]
         place[best] = np.arange(len(best))
-        kind = place[kinds] if len(words) else np.empty(0, int)
-        rank = np.arange(len(words))
-        band = np.searchsorted(np.array(BANDS), rank, side="right").clip(0, len(BANDS) - 1)
-        self.classes = np.where(rank < SINGLE, rank, SINGLE + band * (KINDS + 1) + kind).astype(np.int32)
-        sums = np.bincount(self.classes, counts, CLASSES) if len(words) else np.zeros(CLASSES)
-        self.log_share = np.log10(counts / sums[self.classes]) if len(words) else np.empty(0)
-        self.class_counts = sums
+        self.kind = place[kinds] if len(words) else np.empty(0, int)
         votes = np.zeros((ENDINGS, KINDS + 1))
-        for w, k, n in zip(self.words, kind, np.sqrt(counts)):
+        for w, k, n in zip(self.words, self.kind, np.sqrt(counts)):
             votes[zlib.crc32(w[-4:]) % ENDINGS, k] += n
         self.kind_of_ending = np.where(votes.sum(axis=1) > 0, votes.argmax(axis=1), KINDS).astype(int).tolist()
 
+    def grow(self, rare_counts: np.ndarray) -> None:
+        """Build the tree; ``rare_counts``: occurrences of the words of each rare kind."""
+        weights = np.concatenate([self.counts, rare_counts + 0.5])
+        kind = np.concatenate([self.kind, np.arange(KINDS + 1)])
+        self.tree = Tree(kind, weights)
+
     def rare_kind(self, word: bytes) -> int:
         return self.kind_of_ending[zlib.crc32(word[-4:]) % ENDINGS]
 
-    def lookup(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.words)}
 
+PRIME = np.uint64(0x9E3779B97F4A7C15)
 
-def class_of_rare(kind: int) -> int:
-    return SINGLE + len(BANDS) * (KINDS + 1) + kind
 
-
-def feature_rows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of all texts in a row, and the hashed feature rows of each, four templates."""
+def contexts(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all texts in a row, and the keys of the context of each, one per template."""
     size = sum(map(len, ids)) + 3 * len(ids)
     flat = np.full(size, WORDS + KINDS + 1, np.uint64)  # the id before a beginning
     where = np.zeros(size, bool)
@@ -129,27 +212,24 @@ def feature_rows(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         at += len(own)
     pos = np.flatnonzero(where)
     one, two, three = flat[pos - 1], flat[pos - 2], flat[pos - 3]
-    prime = np.uint64(0x9E3779B97F4A7C15)
-    shift = np.uint64(64 - ROWS.bit_length() + 1)
     with np.errstate(over="ignore"):
-        keys = (one * np.uint64(4), (one * np.uint64(1 << 20) + two) * np.uint64(4) + np.uint64(1), two * np.uint64(4) + np.uint64(2), three * np.uint64(4) + np.uint64(3))
-        rows = np.stack([((k * prime) >> shift).astype(np.uint16) for k in keys])
-    return flat[pos].astype(np.int64), rows
+        keys = np.stack([one, (one << np.uint64(20)) + two, two, three]) * PRIME
+    return flat[pos].astype(np.int64), keys
 
 
-def log_probability(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Log of the softmax at each row's own class; the logits are used up."""
-    logits -= logits.max(axis=1, keepdims=True)
-    at = logits[np.arange(len(own)), own]
-    np.exp(logits, out=logits)
-    return at - np.log(logits.sum(axis=1))
+def feature_rows(keys: np.ndarray, nodes: np.ndarray | None = None) -> np.ndarray:
+    """Hashed rows of contexts, joined with a node."""
+    with np.errstate(over="ignore"):
+        if nodes is not None:
+            keys = (keys ^ (keys >> np.uint64(29)) ^ (nodes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * PRIME
+        return (keys >> np.uint64(64 - ROWS.bit_length() + 1)).astype(np.uint16)
 
 
 class Lookup(dict):
     """Word to id: frequent words have their rank, others WORDS + their rare kind."""
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__(vocabulary.lookup())
+        super().__init__({w: i for i, w in enumerate(vocabulary.words)})
         self.kinds = vocabulary.kind_of_ending
 
     def __missing__(self, word: bytes) -> int:
@@ -157,85 +237,122 @@ class Lookup(dict):
 
 
 class Reader:
-    """Texts to ids and ids to classes."""
+    """Texts to ids, ids to leaves, and leaves to the choices on their way."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.id_of = Lookup(vocabulary).__getitem__
-        rare = [class_of_rare(k) for k in range(KINDS + 1)]
-        self.classes = np.concatenate([vocabulary.classes, np.zeros(WORDS - len(vocabulary.classes), np.int32), rare]).astype(np.int64)
+        self.tree, self.words = vocabulary.tree, len(vocabulary.words)
 
     def ids(self, words: list[bytes]) -> list[int]:
         """Ids of the words and of the end."""
         return [*map(self.id_of, words), self.id_of(END.encode())]
 
-
-class Model:
-    """Weights of the class softmax."""
-
-    def __init__(self, class_counts: np.ndarray):
-        self.bias = np.log((class_counts + 0.5) / (class_counts + 0.5).sum()).astype(np.float32)
-        self.weights = np.zeros((ROWS, CLASSES), np.float32)
-
-    def logits(self, rows: np.ndarray) -> np.ndarray:
-        out = self.weights.take(rows[0], axis=0)
-        for r in rows[1:]:
-            out += self.weights.take(r, axis=0)
-        out += self.bias
-        return out
+    def batch(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """The distinct words of some texts, their ids, and for each text its words as numbers of distinct
+        ones, and its ids with that of the end."""
+        distinct, at, sizes = split(texts)
+        ids = np.array([self.id_of(w.encode()) for w in distinct.to_pylist()], np.int64)
+        cuts = np.cumsum(sizes)[:-1]
+        ended = np.insert(ids[at] if len(at) else at, np.cumsum(sizes), self.id_of(END.encode())).astype(np.uint64)
+        return distinct, ids, np.split(at, cuts), np.split(ended, np.cumsum(sizes + 1)[:-1])
+
+    def leaves(self, ids: np.ndarray) -> np.ndarray:
+        return np.where(ids < WORDS, ids, ids - WORDS + self.words)
+
+    def choices(self, leaves: np.ndarray, keys: np.ndarray):
+        """Two groups of choices, at the root and below it: (table, feature rows, priors, child, token)."""
+        t = self.tree
+        first = t.start[leaves]
+        yield 0, feature_rows(keys), t.bias[t.nodes[first]], t.children[first], np.arange(len(leaves))
+        more = t.depth[leaves] - 1
+        token = np.repeat(np.arange(len(leaves)), more)
+        at = np.arange(len(token)) + np.repeat(first + 1 - (np.cumsum(more) - more), more)
+        nodes = t.nodes[at]
+        yield 1, feature_rows(keys.take(token, axis=1), nodes), t.bias.take(nodes, axis=0), t.children[at], token
+
+
+ONES = np.ones(FAN, np.float32)
+
+
+def chances(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Softmax of each choice: features of all templates and the prior. Weights are far from the range of
+    a float, so the largest need not be taken off; ``LARGEST`` bounds them all the same."""
+    out = bias
+    for w, r in zip(weights, rows):
+        out += w.take(r, axis=0)
+    np.minimum(out, LARGEST, out=out)
+    np.exp(out, out=out)
+    out *= (1 / np.maximum(out @ ONES, 1e-30))[:, None]
+    return out
+
+
+def new_weights() -> np.ndarray:
+    return np.zeros((2, TEMPLATES, ROWS, FAN), np.float32)
+
+
+def token_logs(reader: Reader, weights: np.ndarray, leaves: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Natural log of each token's probability, up to its leaf."""
+    out = np.zeros(len(leaves))
+    for table, rows, bias, child, token in reader.choices(leaves, keys):
+        for at in range(0, len(child), BATCH_TOKENS):
+            part = slice(at, at + BATCH_TOKENS)
+            own = child[part]
+            p = chances(weights[table], rows[:, part], bias[part])[np.arange(len(own)), own]
+            out += np.bincount(token[part], np.log(np.maximum(p, 1e-30)), len(out))
+    return out
 
 
 def train_round(docs: DataFrame, shared) -> DataFrame:
     """(row, seen, d0, d1, ...): for each feature row that a task met, how often, and its change times that."""
-    names = [f"d{c}" for c in range(CLASSES)]
+    names = [f"d{c}" for c in range(FAN)]
 
     def run(batches):
-        vocabulary, model = shared.value
+        vocabulary, start = shared.value
         reader = Reader(vocabulary)
-        weights, bias = model.weights.copy(), model.bias
-        squares, seen = np.full(ROWS, 1e-3, np.float32), np.zeros(ROWS, np.int64)
-
-        def step(y, rows):
-            logits = weights.take(rows[0], axis=0)
-            for r in rows[1:]:
-                logits += weights.take(r, axis=0)
-            logits += bias
-            logits -= logits.max(axis=1, keepdims=True)
-            np.exp(logits, out=logits)
-            logits /= -logits.sum(axis=1, keepdims=True)
-            logits[np.arange(len(y)), y] += 1
-            for r in rows:
+        weights = start.copy()
+        squares, seen = np.full(weights.shape[:3], 1e-3, np.float32), np.zeros(weights.shape[:3], np.int32)
+
+        def step(table, rows, bias, child):
+            slopes = chances(weights[table], rows, bias)
+            np.negative(slopes, out=slopes)
+            slopes[np.arange(len(child)), child] += 1
+            for w, sq, met, r in zip(weights[table], squares[table], seen[table], rows):
                 order = np.argsort(r, kind="stable")
                 own = r[order]
                 first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
                 at = own[first]
-                slope = np.add.reduceat(logits.take(order, axis=0), first, axis=0)
-                squares[at] += (slope * slope).sum(axis=1)
-                weights[at] += RATE * slope / np.sqrt(squares[at])[:, None]
-                seen[at] += np.diff(np.append(first, len(own)))
+                # pairs of floats at a time, which halves the work of short sums
+                slope = np.add.reduceat(slopes.take(order, axis=0).view(np.complex64), first, axis=0).view(np.float32)
+                sq[at] += np.einsum("ij,ij->i", slope, slope)
+                w[at] += RATE * slope / np.sqrt(sq[at])[:, None]
+                met[at] += np.diff(np.append(first, len(own))).astype(np.int32)
 
         def learn(ids):
-            y, rows = feature_rows(ids)
-            y = reader.classes[y]
-            for at in range(0, len(y), STEP_TOKENS):
-                step(y[at : at + STEP_TOKENS], rows[:, at : at + STEP_TOKENS])
+            y, keys = contexts(ids)
+            for table, rows, bias, child, _ in reader.choices(reader.leaves(y), keys):
+                for at in range(0, len(child), STEP_TOKENS):
+                    part = slice(at, at + STEP_TOKENS)
+                    step(table, rows[:, part], bias[part], child[part])
 
         held, size = [], 0
         for b in batches:
-            for text in b.column(0):
-                held.append(np.array(reader.ids(tokens(text.as_py())), np.uint64))
-                size += len(held[-1])
+            for own in reader.batch(b.column(0))[3]:
+                held.append(own)
+                size += len(own)
                 if size >= STEP_TOKENS:
                     learn(held)
                     held, size = [], 0
         if held:
             learn(held)
+        seen = seen.ravel()
         met = np.flatnonzero(seen)
-        change = (weights[met] - model.weights[met]) * seen[met, None].astype(np.float32)
-        for at in range(0, len(met), 4096):
-            part = change[at : at + 4096]
+        weights -= start
+        change = weights.reshape(-1, FAN)
+        for at in range(0, len(met), 16_384):
+            own = met[at : at + 16_384]
+            part = change[own] * seen[own, None].astype(np.float32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(met[at : at + 4096].astype(np.int32)), pa.array(seen[met[at : at + 4096]]), *[pa.array(part[:, c]) for c in range(CLASSES)]],
-                ["row", "seen", *names],
+                [pa.array(own.astype(np.int32)), pa.array(seen[own].astype(np.int64)), *[pa.array(part[:, c]) for c in range(FAN)]], ["row", "seen", *names]
             )
 
     made = docs.select("text").mapInArrow(run, "row int, seen bigint, " + ", ".join(f"{n} float" for n in names))
@@ -243,7 +360,7 @@ def train_round(docs: DataFrame, shared) -> DataFrame:
 
 
 def fit(train: DataFrame):
-    """(vocabulary, model, counts of rare words, numbers) from the training documents."""
+    """(vocabulary with its tree, weights, counts of rare words, numbers) from the training documents."""
     parts = stored(counted(train), "token-counts")
     words = stored(parts.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     totals = scalar_row(words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.count("*").alias("V")))
@@ -271,59 +388,53 @@ def fit(train: DataFrame):
     rare_sums = np.zeros((KINDS + 1, 2))
     for r in sums.collect():
         rare_sums[r.kind] = r.n, r.v
-    class_counts = vocabulary.class_counts.copy()
-    class_counts[-(KINDS + 1) :] = rare_sums[:, 0]
-    model = Model(class_counts)
+    vocabulary.grow(rare_sums[:, 0])
+    weights = new_weights()
     for k in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((vocabulary, model))
+        shared = spark.sparkContext.broadcast((vocabulary, weights))
         # A second hash deals the training documents to the rounds.
         own = train.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(ROUNDS)) == k)
         own = own.coalesce(max(1, totals.N // ROUNDS // TASK_TOKENS))
         change = train_round(own, shared).toArrow()
-        at = change.column("row").to_numpy()
-        delta = np.column_stack([change.column(f"d{c}").to_numpy() for c in range(CLASSES)]) if len(at) else np.empty((0, CLASSES))
-        model.weights[at] += delta / np.maximum(change.column("seen").to_numpy(), 1)[:, None]
+        at, seen = change.column("row").to_numpy(), np.maximum(change.column("seen").to_numpy(), 1)
+        flat = weights.reshape(-1, FAN)
+        for c in range(FAN):
+            flat[at, c] += change.column(f"d{c}").to_numpy() / seen
         shared.unpersist()
-    return vocabulary, model, rare, {"N": totals.N, "V": totals.V, "rare": rare_sums}
+    return vocabulary, weights, rare, {"N": totals.N, "V": totals.V, "rare": rare_sums}
 
 
-def scored(rows: DataFrame, vocabulary: Vocabulary, model: Model, numbers: dict) -> DataFrame:
+def scored(rows: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, numbers: dict) -> DataFrame:
     """Per row: what the bounded vocabulary settles, and the words that it does not."""
     kind = rows.schema["doc_id"].dataType.simpleString()
-    shared = rows.sparkSession.sparkContext.broadcast((vocabulary, model))
+    shared = rows.sparkSession.sparkContext.broadcast((vocabulary, weights))
     total, distinct = numbers["N"], numbers["V"]
 
     def run(batches):
-        vocabulary, model = shared.value
+        vocabulary, weights = shared.value
         reader = Reader(vocabulary)
         base = np.concatenate([np.log10((vocabulary.counts + 0.5) / (total + 0.5 * (distinct + 1))), np.zeros(WORDS + KINDS + 1 - len(vocabulary.counts))])
-        share = np.concatenate([vocabulary.log_share, np.zeros(WORDS + KINDS + 1 - len(vocabulary.log_share))])
         row = TaskContext.get().partitionId() << 33
 
         def settle(held):
             nonlocal row
-            ids = [np.array(i, np.uint64) for _, i, _ in held]
-            y, feats = feature_rows(ids)
-            classes = reader.classes[y]
-            logs = np.empty(len(y))
-            for at in range(0, len(y), BATCH_TOKENS):
-                own = classes[at : at + BATCH_TOKENS]
-                logs[at : at + len(own)] = log_probability(model.logits(feats[:, at : at + BATCH_TOKENS]), own)
-            logs = logs / np.log(10) + share[y]
+            ids = [i for _, i, _ in held]
+            y, keys = contexts(ids)
+            logs = token_logs(reader, weights, reader.leaves(y), keys) / np.log(10)
             starts = np.cumsum([0, *map(len, ids)])[:-1]
             known = np.add.reduceat((y < WORDS).astype(np.int64), starts)
             sums = np.add.reduceat(logs, starts)
             bases = np.add.reduceat(base[y], starts)
-            rare = [Counter(w for w, i in zip(words, own) if i >= WORDS) for _, own, words in held]
+            rare = [named for _, _, named in held]
             out = pa.RecordBatch.from_arrays(
                 [
                     pa.array(range(row, row + len(held)), pa.int64()),
                     pa.array([d for d, _, _ in held], doc_type),
                     pa.array([len(i) for i in ids], pa.int64()),
                     pa.array(known), pa.array(bases), pa.array(sums),
-                    pa.array([[w.decode() for w in c] for c in rare], pa.list_(pa.string())),
-                    pa.array([list(c.values()) for c in rare], pa.list_(pa.int64())),
-                    pa.array([[reader.id_of(w) - WORDS for w in c] for c in rare], pa.list_(pa.int32())),
+                    pa.array([[w for w, _, _ in c] for c in rare], pa.list_(pa.string())),
+                    pa.array([[n for _, n, _ in c] for c in rare], pa.list_(pa.int64())),
+                    pa.array([[k for _, _, k in c] for c in rare], pa.list_(pa.int32())),
                 ],
                 ["row", "doc_id", "n_tokens", "known", "base", "part", "words", "ns", "kinds"],
             )
@@ -334,11 +445,16 @@ def scored(rows: DataFrame, vocabulary: Vocabulary, model: Model, numbers: dict)
         held, size = [], 0
         for b in batches:
             doc_type = b.schema.field(0).type
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                words = tokens(text.as_py())
-                ids = reader.ids(words)
-                held.append((doc, ids, [*words, END.encode()]))
-                size += len(ids)
+            names, ids_of, words, ids = reader.batch(b.column(1))
+            rare = ids_of >= WORDS
+            end = reader.id_of(END.encode())
+            for doc, at, own in zip(b.column(0).to_pylist(), words, ids):
+                at, n = np.unique(at[rare[at]], return_counts=True)
+                named = list(zip(names.take(pa.array(at)).to_pylist(), n.tolist(), (ids_of[at] - WORDS).tolist()))
+                if end >= WORDS:
+                    named.append((END, 1, end - WORDS))
+                held.append((doc, own, named))
+                size += len(own)
                 if size >= BATCH_TOKENS:
                     yield settle(held)
                     held, size = [], 0
@@ -354,8 +470,8 @@ def score(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = narrow(docs, id_col, text_col)
     train = rows.where(remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
-    vocabulary, model, rare, numbers = fit(train)
-    made = stored(scored(rows, vocabulary, model, numbers), "scored")
+    vocabulary, weights, rare, numbers = fit(train)
+    made = stored(scored(rows, vocabulary, weights, numbers), "scored")
     sums = numbers["rare"]
     n_of = F.array(*[F.lit(float(max(n, 1))) for n, _ in sums])
     # Nothing of the kind was seen: all of its class is for unseen words.

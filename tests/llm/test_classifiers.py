@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lintlake.llm import op2_toxicity as op2
@@ -213,19 +214,74 @@ def test_language_model_has_its_full_tables(labelled):
 
 
 def test_probabilities_sum_to_one():
+    """Over all words and rare kinds, in any context, for any weights; without weights a word has its count share."""
     words = ["the", "of", *[f"w{i}" for i in range(500)]]
-    counts = np.arange(len(words), 0, -1).astype(float) + 2
+    counts = np.arange(len(words), 0, -1).astype(float) ** 1.5 + 2
     v = op4.Vocabulary(words, counts, np.arange(len(words)) % op4.HASHED_KINDS)
-    model = op4.Model(v.class_counts + 1)
-    model.weights[:] = np.random.default_rng(1).normal(size=model.weights.shape)
-    _, rows = op4.feature_rows([np.arange(6).astype(np.uint64)])
-    p = np.column_stack([np.exp(op4.log_probability(model.logits(rows), np.full(rows.shape[1], c))) for c in range(op4.CLASSES)])
-    share = 10**v.log_share
-    inside = np.bincount(v.classes, share, op4.CLASSES)
-    used = np.unique(v.classes)
-    assert np.allclose(inside[used], 1)
-    # frequent words, and the rare classes whole
-    rare = [op4.class_of_rare(k) for k in range(op4.KINDS + 1)]
-    total = p[:, v.classes] @ share + p[:, rare].sum(axis=1)
-    empty = [c for c in range(op4.CLASSES) if c not in set(used) | set(rare)]
-    assert np.allclose(total + p[:, empty].sum(axis=1), 1)
+    rare = np.arange(op4.KINDS + 1) * 10.0
+    v.grow(rare)
+    reader = op4.Reader(v)
+    _, keys = op4.contexts([np.arange(6).astype(np.uint64)])
+    leaves = np.arange(len(words) + op4.KINDS + 1)
+    weights = op4.new_weights()
+    share = np.concatenate([counts, rare + 0.5])
+    for seed in (None, 1, 2):
+        if seed:
+            weights[:] = np.random.default_rng(seed).normal(size=weights.shape)
+        for context in range(keys.shape[1]):
+            p = np.exp(op4.token_logs(reader, weights, leaves, np.repeat(keys[:, [context]], len(leaves), axis=1)))
+            assert abs(p.sum() - 1) < 1e-4
+            if seed is None:
+                assert np.allclose(p, share / share.sum(), rtol=1e-4)
+
+
+def test_tree_of_classes():
+    """Every leaf has one way, nodes have at most FAN children, and frequent words lie near the root."""
+    draw = np.random.default_rng(5)
+    for n in (1, 2, 16, 17, 40, 5000):
+        for weights in (np.ones(n), 1e6 / np.arange(1, n + 1) ** 1.2, draw.integers(1, 9, n).astype(float), np.r_[1e9, np.ones(n - 1)]):
+            tree = op4.Tree(draw.integers(0, 3, n), weights)
+            ways = [tuple(zip(tree.nodes[s : s + d].tolist(), tree.children[s : s + d].tolist())) for s, d in zip(tree.start, tree.depth)]
+            assert len(set(ways)) == n and all(0 <= c < op4.FAN for w in ways for _, c in w)
+            logs = np.array([sum(tree.bias[node, child] for node, child in w) for w in ways])
+            assert np.allclose(np.exp(logs), weights / weights.sum(), rtol=1e-3)
+            order = np.argsort(-weights, kind="stable")
+            if n == 5000:
+                bits = -(weights / weights.sum() * np.log2(weights / weights.sum())).sum()
+                assert (tree.depth * weights).sum() / weights.sum() <= bits / 4 + 1
+                assert weights.max() < 100 * weights.min() or tree.depth[order[0]] < tree.depth[order[-1]]
+
+
+def test_split_is_the_split_of_bytes():
+    texts = ["", " ", "a", " A  b\tC\nd\x0be\x0cf\rg ", "É ÀÖ x\u00a0y z\u2003w", "a\x1cb", "\n\n", "word " * 300]
+    distinct, at, sizes = op4.split(pa.array(texts))
+    words = [w.encode() for w in distinct.to_pylist()]
+    assert [words[i] for i in at] == [w for t in texts for w in op4.tokens(t)]
+    assert sizes.tolist() == [len(op4.tokens(t)) for t in texts]
+
+
+def test_training_step_follows_the_slope(spark):
+    """One step of one task against the same step written out choice by choice."""
+    words = [f"w{i}" for i in range(40)]
+    v = op4.Vocabulary(words, np.arange(60, 20, -1).astype(float), np.arange(40) % 3)
+    v.grow(np.full(op4.KINDS + 1, 4.0))
+    start = op4.new_weights()
+    start[:] = np.random.default_rng(3).normal(0, 0.1, start.shape)
+    text = " ".join(words[i * 7 % 40] for i in range(90)) + " unseen words"
+    made = op4.train_round(spark.createDataFrame([(text,)], "text string"), spark.sparkContext.broadcast((v, start))).collect()
+    reader = op4.Reader(v)
+    y, keys = op4.contexts([np.array(reader.ids(op4.tokens(text)), np.uint64)])
+    slopes, met = {}, Counter()
+    for table, rows, bias, child, _ in reader.choices(reader.leaves(y), keys):
+        for k in range(len(child)):
+            z = bias[k].astype(float) + sum(start[table, t, rows[t, k]] for t in range(op4.TEMPLATES))
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            for t in range(op4.TEMPLATES):
+                at = (table * op4.TEMPLATES + t) * op4.ROWS + int(rows[t, k])
+                slopes[at] = slopes.get(at, 0) + np.eye(op4.FAN)[child[k]] - p
+                met[at] += 1
+    assert {r.row: r.seen for r in made} == dict(met)
+    for r in made:
+        g = slopes[r.row]
+        want = op4.RATE * g / np.sqrt(1e-3 + (g * g).sum()) * r.seen
+        assert np.allclose([r[f"d{c}"] for c in range(op4.FAN)], want, atol=2e-3)
