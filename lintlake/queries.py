@@ -602,9 +602,7 @@ def c15_file_summary(spark, d):
 
 @query
 def c16_worst_first(spark, d):
-    return complexity.worst_first(complexity.estimates_table(code(spark, d))).select(
-        "file_id", "class_rank", "walk_order", "function_name"
-    )
+    return complexity.worst_first(code(spark, d)).select("file_id", "class_rank", "walk_order", "function_name")
 
 
 @query
@@ -1173,6 +1171,23 @@ def t9_mlp(spark, d):
     return _head_facts(embeddings.score(embeddings.train_mlp(data), data), data)
 
 
+@query
+def t9_epoch_log(spark, d):
+    """What SQL can state about the epochs of a perceptron: all are logged, one is the best, its F1 is the
+    highest and that of the returned model on the validation rows, and the loss falls."""
+    split = stored(datasets.create_splits(_fused(spark, d)), "splits")
+    train, val, _ = datasets.three_way(split)
+    model = embeddings.train_mlp(train, validation=val)
+    log = model.epoch_log(spark)
+    scored = embeddings.score(model, val).join(val.select("id", F.col("target").cast("int").alias("y_true")), "id")
+    f1 = evaluation.classification_metrics(scored.select("y_true", F.col("predicted").alias("y_pred"))).select("f1").scalar()
+    top = F.max(F.when(F.col("best"), F.col("val_f1")))
+    return log.agg(
+        F.count("*").alias("epochs"), F.count_if("best").alias("best_epochs"), (top == F.max("val_f1")).alias("is_highest"),
+        (F.max_by("loss", "epoch") < F.min_by("loss", "epoch")).alias("loss_falls"), (top >= LEARNED).alias("learned"), (F.abs(top - f1) < 1e-9).alias("returned"),
+    )
+
+
 @query
 def t10_fused_boosted(spark, d):
     data = stored(_fused(spark, d), "fused")
