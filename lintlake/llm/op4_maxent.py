@@ -3,7 +3,8 @@
 The softmax over words is factored by a tree of classes: a token's probability is the product of the choices
 on the way from the root to its word, and every choice among the up to ``FAN`` children of a node is a
 softmax that is log-linear in hashed features of the context: the previous word, the pair of previous words,
-and two skips (the word before the last, and the one before that), each joined with the node. So the context
+and, at the root and its children, two skips (the word before the last, and the one before that), each joined
+with the node. So the context
 tells classes apart near the root and words of one class further down. The tree is built from the corpus:
 children of a node weigh about the same, frequent words lie near the root, and words that live in one kind of
 document (a document's kind is its most frequent token) lie together. Words too rare for the bounded
@@ -44,13 +45,15 @@ WORDS, LEAST, FAN = 1 << 17, 3, 16
 #: Kinds of documents: hashed, and kept.
 HASHED_KINDS, KINDS = 32, 8
 ENDINGS = 4096
-#: Rows of each of the hashed tables (one per template, for the root and for all other nodes), templates,
-#: rounds, tokens of a gradient step, step size, discount.
-ROWS, TEMPLATES, ROUNDS, STEP_TOKENS, RATE, DISCOUNT = 1 << 16, 4, 3, 16_384, 0.8, 0.75
+#: Rows of a hashed table, rounds, tokens of a gradient step, step size, discount.
+ROWS, ROUNDS, STEP_TOKENS, RATE, DISCOUNT = 1 << 15, 3, 32_768, 0.8, 0.75
+#: Templates at the root, at its children, and further down; each has a table of its own at each of the three.
+TEMPLATES = (4, 4, 2)
+TABLES = tuple(slice(sum(TEMPLATES[:k]), sum(TEMPLATES[: k + 1])) for k in range(3))
 #: Tokens that a task trains on at least, where there are as many: its changes are a table of fixed size.
 TASK_TOKENS = 1 << 22
 #: Bytes of text that are counted at a time, tokens of a scoring batch, bound of a logit.
-COUNTED_BYTES, BATCH_TOKENS, LARGEST = 16 << 20, 16_384, 60.0
+COUNTED_BYTES, BATCH_TOKENS, LARGEST = 8 << 20, 8_192, 60.0
 END = "\n"
 
 
@@ -260,15 +263,17 @@ class Reader:
         return np.where(ids < WORDS, ids, ids - WORDS + self.words)
 
     def choices(self, leaves: np.ndarray, keys: np.ndarray):
-        """Two groups of choices, at the root and below it: (table, feature rows, priors, child, token)."""
+        """The choices at the root, at its children and further down: (tables, feature rows, priors, child, token)."""
         t = self.tree
-        first = t.start[leaves]
-        yield 0, feature_rows(keys), t.bias[t.nodes[first]], t.children[first], np.arange(len(leaves))
-        more = t.depth[leaves] - 1
-        token = np.repeat(np.arange(len(leaves)), more)
-        at = np.arange(len(token)) + np.repeat(first + 1 - (np.cumsum(more) - more), more)
-        nodes = t.nodes[at]
-        yield 1, feature_rows(keys.take(token, axis=1), nodes), t.bias.take(nodes, axis=0), t.children[at], token
+        first, depth = t.start[leaves], t.depth[leaves]
+        yield TABLES[0], feature_rows(keys), t.bias[t.nodes[first]], t.children[first], np.arange(len(leaves))
+        for level in (1, 2):
+            n = np.minimum(depth - 1, 1) if level == 1 else np.maximum(depth - 2, 0)
+            token = np.repeat(np.arange(len(leaves)), n)
+            at = np.arange(len(token)) + np.repeat(first + level - (np.cumsum(n) - n), n)
+            nodes = t.nodes[at]
+            own = keys[: TEMPLATES[level]].take(token, axis=1)
+            yield TABLES[level], feature_rows(own, nodes), t.bias.take(nodes, axis=0), t.children[at], token
 
 
 ONES = np.ones(FAN, np.float32)
@@ -287,7 +292,7 @@ def chances(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarr
 
 
 def new_weights() -> np.ndarray:
-    return np.zeros((2, TEMPLATES, ROWS, FAN), np.float32)
+    return np.zeros((sum(TEMPLATES), ROWS, FAN), np.float32)
 
 
 def token_logs(reader: Reader, weights: np.ndarray, leaves: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -310,7 +315,7 @@ def train_round(docs: DataFrame, shared) -> DataFrame:
         vocabulary, start = shared.value
         reader = Reader(vocabulary)
         weights = start.copy()
-        squares, seen = np.full(weights.shape[:3], 1e-3, np.float32), np.zeros(weights.shape[:3], np.int32)
+        squares, seen = np.full(weights.shape[:2], 1e-3, np.float32), np.zeros(weights.shape[:2], np.int32)
 
         def step(table, rows, bias, child):
             slopes = chances(weights[table], rows, bias)
@@ -324,7 +329,8 @@ def train_round(docs: DataFrame, shared) -> DataFrame:
                 # pairs of floats at a time, which halves the work of short sums
                 slope = np.add.reduceat(slopes.take(order, axis=0).view(np.complex64), first, axis=0).view(np.float32)
                 sq[at] += np.einsum("ij,ij->i", slope, slope)
-                w[at] += RATE * slope / np.sqrt(sq[at])[:, None]
+                slope *= (RATE / np.sqrt(sq[at]))[:, None]
+                w[at] += slope
                 met[at] += np.diff(np.append(first, len(own))).astype(np.int32)
 
         def learn(ids):
@@ -375,6 +381,7 @@ def fit(train: DataFrame):
     found = by_kind.toArrow()
     kinds[found.column("id").to_numpy()] = found.column("kind").to_numpy()
     vocabulary = Vocabulary(names, counts, kinds)
+    del ranked, place, found, names
     rare = words.join(few.select("word"), "word", "left_anti")
 
     def by_rare_kind(batches):
@@ -400,7 +407,8 @@ def fit(train: DataFrame):
         flat = weights.reshape(-1, FAN)
         for c in range(FAN):
             flat[at, c] += change.column(f"d{c}").to_numpy() / seen
-        shared.unpersist()
+        del change
+        shared.destroy()
     return vocabulary, weights, rare, {"N": totals.N, "V": totals.V, "rare": rare_sums}
 
 

@@ -274,10 +274,10 @@ def test_training_step_follows_the_slope(spark):
     slopes, met = {}, Counter()
     for table, rows, bias, child, _ in reader.choices(reader.leaves(y), keys):
         for k in range(len(child)):
-            z = bias[k].astype(float) + sum(start[table, t, rows[t, k]] for t in range(op4.TEMPLATES))
+            z = bias[k].astype(float) + sum(start[table][t, rows[t, k]] for t in range(len(rows)))
             p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
-            for t in range(op4.TEMPLATES):
-                at = (table * op4.TEMPLATES + t) * op4.ROWS + int(rows[t, k])
+            for t in range(len(rows)):
+                at = (table.start + t) * op4.ROWS + int(rows[t, k])
                 slopes[at] = slopes.get(at, 0) + np.eye(op4.FAN)[child[k]] - p
                 met[at] += 1
     assert {r.row: r.seen for r in made} == dict(met)
