@@ -3,9 +3,11 @@
 1. Draw a size-weighted sample of sort keys (64-bit hashes of the text) of bounded expected size.
 2. Its quantiles are the boundaries of ``ranges`` key ranges, many more than shards.
 3. Ranges that came out overfull are subdivided: by a second hash of the text, so that equal texts
-   stay together, and a text whose copies alone outweigh a whole shard by the hash of the id.
+   stay together, and a text whose copies alone outweigh a whole shard by the place of the row.
 4. The measured ranges (their number is bounded by parameters) are dealt to shards, largest first to
-   the lightest shard, and a row's slot is its range's offset plus its position in the range.
+   the lightest shard. A range of too many rows (many copies of a short text) stays in its shard but is
+   cut into pieces by the place of the row, so that no task sorts it whole. A row's slot is its piece's
+   offset plus its position in the piece.
 
 Only the sample and the range sizes reach the driver. The work after the first pass is on narrow rows.
 
@@ -67,6 +69,9 @@ def shard(docs: DataFrame, shards=SHARDS, ranges=RANGES, sampled=SAMPLED, id_col
         ),
         "rows-to-shard",
     )
+    # The place of a row in the stored table (part and row): unlike its id, never null or repeated.
+    place = F.xxhash64(F.lit(SEED), F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1), "_metadata.row_index")
+    rows = rows.withColumn("_place", place)
     total = scalar_row(rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n"))).n
     cuts = splitters(rows, total, ranges, sampled)
     placed = Bucketizer(splits=cuts, inputCol="key", outputCol="_range").transform(rows) if len(cuts) > 2 else rows.withColumn("_range", F.lit(0.0))
@@ -79,25 +84,33 @@ def shard(docs: DataFrame, shards=SHARDS, ranges=RANGES, sampled=SAMPLED, id_col
     heavy = heavy.select("key", F.ceil(F.col("_bytes") / mean).cast("int").alias("_by_id"))
     bytes_of = placed.groupBy("_range").agg(F.sum("size").alias("_bytes"))
     full = bytes_of.select("_range", F.greatest(F.lit(1), F.ceil(F.col("_bytes") / (2 * mean))).cast("int").alias("_by_text"))
-    by_id = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.coalesce("_by_id", F.lit(1)))
+    by_id = F.pmod("_place", F.coalesce("_by_id", F.lit(1)))
     by_text = F.pmod(F.xxhash64(F.lit(SEED), "key"), F.coalesce("_by_text", F.lit(1)))
     placed = (
         placed.join(F.broadcast(heavy), "key", "left").join(F.broadcast(full), "_range", "left")
         .withColumn("_part", F.struct("_range", by_text.alias("t"), (F.col("_by_id").isNotNull()).alias("h"), by_id.alias("i")))
-        .select("doc_id", "size", "text_crc32", "key", "_part")
+        .select("doc_id", "size", "text_crc32", "key", "_part", "_place")
     )
     measured = placed.groupBy("_part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).orderBy("_part").collect()
     home = deal([(i, m.bytes) for i, m in enumerate(measured)], shards)
-    taken, plan = [0] * shards, []
-    for i, m in enumerate(measured):
-        plan.append((m["_part"], home[i], taken[home[i]]))
-        taken[home[i]] += m.rows
     part = placed.schema["_part"].dataType.simpleString()
-    known = spark.createDataFrame(plan, f"_part {part}, shard int, _start bigint")
-    inside = Window.partitionBy("_part").orderBy("key", "doc_id", "text_crc32", "size")
+    # Pieces of equal rows, twice the mean range at most: fewer than there are ranges, beside one for each part.
+    most = max(1, -(-2 * sum(m.rows for m in measured) // ranges))
+    pieces = spark.createDataFrame([(m["_part"], -(-m.rows // most)) for m in measured], f"_part {part}, _pieces int")
+    cut = F.pmod(F.xxhash64("_place"), F.col("_pieces")).cast("int").alias("_piece")
+    placed = placed.join(F.broadcast(pieces), "_part").select("doc_id", "size", "text_crc32", "key", "_part", cut)
+    counts = placed.groupBy("_part", "_piece").agg(F.count("*").alias("rows")).orderBy("_part", "_piece").collect()
+    number = {m["_part"]: i for i, m in enumerate(measured)}
+    taken, plan = [0] * shards, []
+    for c in counts:
+        to = home[number[c["_part"]]]
+        plan.append((c["_part"], c["_piece"], to, taken[to]))
+        taken[to] += c.rows
+    known = spark.createDataFrame(plan, f"_part {part}, _piece int, shard int, _start bigint")
+    inside = Window.partitionBy("_part", "_piece").orderBy("key", "doc_id", "text_crc32", "size")
     return (
         placed.withColumn("_at", F.row_number().over(inside) - 1)
-        .join(F.broadcast(known), "_part")
+        .join(F.broadcast(known), ["_part", "_piece"])
         .select(
             "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
             (F.col("_start") + F.col("_at")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),

@@ -3,7 +3,7 @@
 Targets: sources take the weights of the pattern in the order of their names; what a source cannot
 give (``most`` times its size) is shared again by weight until no target is above its cap.
 
-Draw: every document gets the key -ln(u) / w, u a hash of its id and w its quality weight, so a sort
+Draw: every document gets the key -ln(u) / w, u a hash of its id and text and w its quality weight, so a sort
 by key is a weighted draw without replacement. Complete epochs of the source come first; what is left
 of the target is filled in key order by a prefix sum. The prefix sum is taken in two steps: keys are
 cut into ``CELLS`` cells, the cells of a source are summed and prefix-summed, and only the one cell
@@ -11,7 +11,8 @@ in which the budget ends is sorted row by row, so that a source with a third of
 over all tasks.
 
 Defined results: null text has size 0 and is never taken; a null source is a source of its own, the
-last; rows that repeat each other are drawn one by one in any order, which gives the same rows; an
+last; null ids, and rows that repeat an id, are drawn by their texts; rows that repeat id and text have one
+key and are drawn one by one in any order, which gives the same rows; an
 empty table gives no rows; sources without words have target 0; other columns are carried by ``mix``.
 """
 
@@ -38,10 +39,11 @@ def quality_weight(text: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.05), F.try_divide(odd, F.length(text)).cast("double")), F.lit(0.05))
 
 
-def uniform(doc_id: Column) -> Column:
-    """A number in (0, 1) from the md5 of the id."""
-    text = F.coalesce(doc_id.cast("string"), F.lit(""))
-    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+def uniform(doc_id: Column, text: Column) -> Column:
+    """A number in (0, 1) from the md5 of the id and of the text, so that rows without an id, or that
+    repeat one, are drawn each for itself."""
+    own = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("#"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return (F.conv(F.substring(F.md5(own.cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
 def with_weights(sizes: DataFrame, pattern) -> DataFrame:
@@ -99,7 +101,7 @@ def mix(
     ``cut_last``: the document in which a source's budget ends is taken in part, to the word. Otherwise
     it is taken whole if that brings the source nearer to its target."""
     text = docs[text_col].cast("string")
-    ends = -F.log(uniform(docs[id_col])) / quality_weight(text)
+    ends = -F.log(uniform(docs[id_col], text)) / quality_weight(text)
     rows = docs.select(
         docs[id_col].alias("doc_id"), docs[source_col].alias("source"), size_of(text).alias("size"), ends.alias("key"),
         *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []),

@@ -36,7 +36,7 @@ t{k + 1} AS (SELECT source, source_size, weight, done OR aim >= 2.0::DOUBLE * so
 #: few), then documents in the order of their exponential keys.
 SQL["op8_mixing_sources"] = f"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
-    -ln((('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)
+    -ln((('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '#' || md5(coalesce(text, ''))), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)
       / CASE WHEN length(text) > 0 THEN greatest(0.05::DOUBLE, length(translate(text, '{_ODD}', '')) / length(text)::DOUBLE) ELSE 0.05::DOUBLE END AS key
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),

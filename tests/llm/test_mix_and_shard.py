@@ -1,5 +1,6 @@
 """Mixing and sharding: brute force where results are fixed, laws where they are not."""
 
+import bisect
 import hashlib
 import math
 import re
@@ -32,7 +33,8 @@ def brute_targets(sizes):
 
 def brute_taken(rows, aims, sizes):
     def key(i, t):
-        u = (int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:12], 16) + 0.5) / (1 << 48)
+        own = ("" if i is None else str(i)) + "#" + hashlib.md5((t or "").encode()).hexdigest()
+        u = (int(hashlib.md5(own.encode()).hexdigest()[:12], 16) + 0.5) / (1 << 48)
         plain = sum(c not in "#$%&*|<>{}[]=+\\^~_@!" for c in t or "")
         return -math.log(u) / (max(0.05, plain / len(t)) if t else 0.05)
 
@@ -114,3 +116,66 @@ def test_a_text_heavier_than_a_shard_is_split(make_docs):
     for r in found:
         loads[r.shard] += r["size"]
     assert max(loads.values()) < 1.05 * sum(loads.values()) / 16
+
+
+def test_ranges_and_deal_against_brute_force(make_docs, spark):
+    """Boundaries, sizes of ranges, the deal of ranges to shards and the slots, made anew in Python."""
+    import xxhash
+
+    rows = [(i, f"text {i} " * (i % 23)) for i in range(6000)]
+    key = {i: float((xxhash.xxh64_intdigest(t.encode(), 42)) >> 12) for i, t in rows}
+    size = {i: len(t.encode()) + 1 for i, t in rows}
+    table = spark.createDataFrame([(i, key[i], size[i]) for i, _ in rows], "doc_id bigint, key double, size bigint")
+    cuts = op10.splitters(table, sum(size.values()), 64, 32)
+    assert cuts == sorted(set(cuts)) and 32 < len(cuts) <= 65
+    own = {i: bisect.bisect_right(cuts, key[i]) - 1 for i, _ in rows}
+    weight = Counter()
+    for i, r in own.items():
+        weight[r] += size[i]
+    mean = sum(size.values()) / 64
+    assert 0.4 * mean < sum(weight.values()) / len(weight) and max(weight.values()) < 8 * mean
+    found = {r.doc_id: r for r in op10.shard(make_docs(rows), ranges=4).collect()}
+    homes = defaultdict(set)
+    for i, r in own.items():
+        homes[r].add(found[i].shard)
+    even = [r for r, n in weight.items() if n <= 2 * mean]
+    assert all(len(homes[r]) == 1 for r in even) and len(even) > 32
+    loads = Counter()
+    for r in found.values():
+        loads[r.shard] += r["size"]
+    assert max(loads.values()) - min(loads.values()) <= 2.5 * mean
+    for r in even:  # rows of a range of few rows follow each other in the order of their keys
+        members = sorted((i for i in own if own[i] == r), key=lambda i: (key[i], i))
+        if len(members) <= 2 * len(rows) // 64:
+            slots = [found[i].slot for i in members]
+            assert slots == list(range(slots[0], slots[0] + len(slots)))
+    sizes = [(n, r) for r, n in sorted(weight.items())]
+    want, light = {}, [0] * 16
+    for n, r in sorted(sizes, reverse=True):
+        k = min(range(16), key=lambda s: (light[s], s))
+        want[r] = k
+        light[k] += n
+    assert op10.deal([(r, n) for n, r in sizes], 16) == want
+
+
+def test_many_rows_of_one_short_text(make_docs, spark):
+    """A third of the rows empty, half of them without an id: one shard, but no task sorts them whole."""
+    rows = [((None if i % 2 else i), "") if i % 3 == 0 else (i, f"text {i} " * (i % 9 + 1)) for i in range(20_000)]
+    made = op10.shard(make_docs(rows))
+    found = made.collect()
+    check_shards(rows, found)
+    assert len({r.shard for r in found if r["size"] == 1}) == 1
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "_piece" in plan
+    loads = Counter()
+    for r in found:
+        loads[r.shard] += r["size"]
+    assert max(loads.values()) < 1.02 * sum(loads.values()) / 16
+
+
+def test_rows_without_an_id_are_drawn_as_others(make_docs):
+    """Half of the ids null: they get their share of the words, and a repeated id is drawn by its texts."""
+    rows = [(None if i % 2 else i % 5000, "w " * (1 + i % 7) + str(i), "s") for i in range(12_000)]
+    found = op8.mix(make_docs(rows), carry=False, share=0.5).collect()
+    share = {null: sum(r.taken for r in found if (r.doc_id is None) == null) / sum(r["size"] for r in found if (r.doc_id is None) == null) for null in (True, False)}
+    assert abs(share[True] - 0.5) < 0.03 and abs(share[False] - 0.5) < 0.03
