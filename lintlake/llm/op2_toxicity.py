@@ -56,7 +56,12 @@ REPORTS = (
 ).split()
 
 _WORD = re.compile(r"[^\W\d_]+|[\"“”„«»]")
+#: A contracted negation is one word.
+_SAID = re.compile(r"[^\W\d_]+n['’]t(?![^\W\d_])|[^\W\d_]+|[\"“”„«»]")
 _CLAUSE = re.compile(r"[.!?;\n]")
+#: Marks that open and close a quotation; one that is still open at the end of its line is given up.
+_MARKS = re.compile(r"[\"“”„«»\n]")
+_CLOSES = "”»"
 OTHER, INSULT, THREAT, FUT, TARGET, NEGATION, REPORT, QUOTE, MATCH = "x", "I", "T", "F", "Y", "N", "R", "Q", "M"
 SYMBOLS = (OTHER, INSULT, THREAT, FUT, TARGET, NEGATION, REPORT, QUOTE)
 DENIED, TOLD = -2.5, -1.5
@@ -188,21 +193,30 @@ class Scorer:
         return max([self.words.get(word, 0.0), *(self.stems.get(word[:k], 0.0) for k in STEMS)])
 
     def clauses(self, text: str) -> list[float]:
-        """The weight of every clause with a match."""
-        low, end, out = text.lower(), -1, []
+        """The weight of every clause with a match, in one walk over the text. A clause that begins inside a
+        quotation is told like the one in which it was opened."""
+        low, end, out = text.lower(), 0, []
+        seen, quoted = 0, ""
         for last, term in self.find.iter(low):
             first = last - len(term) + 1
             if first < end or first and low[first - 1].isalpha():
                 continue
             if term not in self.stems and low[last + 1 : last + 2].isalpha():
                 continue
-            begin = max(low.rfind(c, 0, first) for c in ".!?;\n") + 1
+            begin = max(end, *(low.rfind(c, end, first) + 1 for c in ".!?;\n"))
             stop = _CLAUSE.search(low, last)
             end = stop.start() if stop else len(low)
-            symbols, lexical = [], []
-            for word in _WORD.findall(low, begin, end):
+            for m in _MARKS.finditer(low, seen, begin):
+                mark = m.group()
+                if mark == "\n" or quoted and (mark in _CLOSES or mark == quoted or (quoted, mark) == ("„", "“")):
+                    quoted = ""
+                elif not quoted and mark not in _CLOSES:
+                    quoted = mark
+            seen = begin
+            symbols, lexical = [QUOTE] if quoted else [], []
+            for word in _SAID.findall(low, begin, end):
                 w = self.lexical(word)
-                symbols.append(INSULT if w else self.symbol.get(word, OTHER))
+                symbols.append(INSULT if w else NEGATION if word.endswith(("n't", "n’t")) else self.symbol.get(word, OTHER))
                 if w:
                     lexical.append(w)
             found = self.machine.weights(symbols)

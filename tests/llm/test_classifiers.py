@@ -129,6 +129,33 @@ def test_denied_and_told_threats():
     assert s.clauses("idiot he does not kill") == s.clauses("idiot he does kill") == [3.75]
 
 
+def test_quotations_go_on_over_full_stops():
+    s = op2.Scorer([("idiot", False, 3.0), ("loser", False, 3.0)])
+    one = s.clauses('he wrote: "you are an idiot"')
+    assert s.clauses('he wrote: "Listen. you are an idiot. you are a loser." You are an idiot.') == [3.0, 3.0, 4.5] and one == [3.0]
+    assert s.clauses("„Hör. you are an idiot.“ you are a loser") == [3.0, 4.5]
+    assert s.clauses("«Oui. you are an idiot. Non» you are a loser") == [3.0, 4.5]
+    assert s.clauses("“So. you are an idiot!” you are a loser. you are a loser") == [3.0, 4.5, 4.5]
+    # a mark without its other half ends with the line
+    assert s.clauses('5" wide. you are an idiot\nyou are a loser') == [3.0, 4.5]
+    assert s.clauses("isn't he an idiot") == s.clauses("is not he an idiot") and s.clauses("he can’t be an idiot")[0] < 3.0
+
+
+def test_clauses_are_found_in_one_walk():
+    """The time of a long text grows with its length, with and without separators."""
+    import time
+
+    s = op2.Scorer([("idiot", False, 3.0)])
+    for piece in ("an idiot came in. some other words stand here, and more of them ", "idiot, ", 'he said "x. an idiot '):
+        took = []
+        for n in (400_000, 3_200_000):
+            text = piece * (n // len(piece))
+            start = time.process_time()
+            assert len(s.clauses(text)) >= 1
+            took.append(time.process_time() - start)
+        assert took[1] < 20 * max(took[0], 0.02)
+
+
 def brute_rules(text):
     words = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
