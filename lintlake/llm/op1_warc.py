@@ -2,9 +2,9 @@
 
 An archive is a ``.warc.zst`` file as public tools write it: a leading skippable frame (magic
 0x184D2A5D) with the dictionary, then one Zstandard frame per record. Every task of the writer trains
-the dictionary of its file on the first records it archives (rows arrive in the order of a hash, so
-they are a random sample of bounded size), writes the frame, and then compresses record by record in a
-stream. Files are written under a name of the attempt, and only the manifest, a table made by one Spark
+the dictionary of its file on the first records that it archives, whatever their sizes: on the beginning of
+each of at least 16 records or, where a file has fewer, on pieces of them. It writes the frame, and then
+compresses record by record in a stream. Only a file whose records are too few bytes to train on has none. Files are written under a name of the attempt, and only the manifest, a table made by one Spark
 write, says which files count, so lost executors and repeated tasks leave nothing half-written behind.
 
 Equal payloads are stored once: the record of the smallest page id is a ``response``, the others are
@@ -34,8 +34,9 @@ from lintlake.llm.common import scalar_row, small_batches
 from lintlake.session import shared_dir
 
 SKIPPABLE = 0x184D2A5D
-#: Bytes of the dictionary; records and bytes it is trained on; fewest records worth training on.
-DICTIONARY, TRAIN_RECORDS, TRAIN_BYTES, LEAST_RECORDS = 64 << 10, 2_000, 8 << 20, 16
+#: Bytes of the dictionary; records and bytes of samples it is trained on; bytes of a record's sample; fewest
+#: samples; bytes of records that wait for a dictionary at most, once there are so many.
+DICTIONARY, TRAIN_RECORDS, TRAIN_BYTES, SAMPLE_BYTES, LEAST_SAMPLES, HELD_BYTES = 64 << 10, 2_000, 8 << 20, 64 << 10, 16, 32 << 20
 LEVEL = 6
 #: A file is closed and another begun beyond this size.
 FILE_BYTES = 1 << 30
@@ -93,23 +94,46 @@ def parse(raw: bytes) -> dict:
     return fields
 
 
+#: Schemes of stores that tasks can write to, as the store's own library names them.
+STORES = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def located(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI of the store that Spark means by it, also where it names none; an error for a
+    store that tasks could not write to themselves."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    scheme, _, rest = path.makeQualified(store.getUri(), store.getWorkingDirectory()).toString().partition(":")
+    if scheme not in STORES:
+        raise ValueError(f"archives cannot be written to {scheme}: only to {', '.join(sorted(STORES))}")
+    return f"{STORES[scheme]}:{rest if rest.startswith('//') else '//' + rest}"
+
+
 class Archive:
     """One archive file: collects records for its dictionary, then streams frames."""
 
     def __init__(self, folder: str, dictionary: int = DICTIONARY, file_bytes: int = FILE_BYTES):
-        self.store, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        self.store, path = fs.FileSystem.from_uri(folder)
         self.store.create_dir(path, recursive=True)
         self.path, self.size, self.limit = path, dictionary, file_bytes
         self.waiting: list[bytes] = []
-        self.waiting_bytes = self.records = self.written = 0
+        self.waiting_bytes = self.sample_bytes = self.records = self.written = 0
         self.out = None
 
+    def _samples(self) -> list[bytes]:
+        """The beginnings of the waiting records, cut into pieces if there are few."""
+        samples = [r[:SAMPLE_BYTES] for r in self.waiting]
+        if len(samples) < LEAST_SAMPLES:
+            size = max(64, sum(map(len, samples)) // (4 * LEAST_SAMPLES))
+            samples = [r[i : i + size] for r in samples for i in range(0, len(r), size)]
+        return samples
+
     def _open(self) -> None:
-        sample, taken = self.waiting, None
-        if len(sample) >= LEAST_RECORDS:
-            size = min(self.size, self.waiting_bytes // 8)
+        sample, samples, taken = self.waiting, self._samples(), None
+        if len(samples) >= LEAST_SAMPLES:
+            size = max(256, min(self.size, sum(map(len, samples)) // 8))
             try:
-                taken = zstandard.train_dictionary(size, sample, k=512, d=8)
+                taken = zstandard.train_dictionary(size, samples, k=512, d=8)
             except zstandard.ZstdError:  # too little or too uniform to train on: frames without one
                 taken = None
         self.name = f"{uuid.uuid4().hex}.warc.zst"
@@ -133,7 +157,9 @@ class Archive:
             return
         self.waiting.append(raw)
         self.waiting_bytes += len(raw)
-        if len(self.waiting) >= TRAIN_RECORDS or self.waiting_bytes >= TRAIN_BYTES:
+        self.sample_bytes += min(len(raw), SAMPLE_BYTES)
+        enough = len(self.waiting) >= TRAIN_RECORDS or self.sample_bytes >= TRAIN_BYTES or self.waiting_bytes >= HELD_BYTES
+        if enough and len(self.waiting) >= LEAST_SAMPLES:
             self._open()
 
     def full(self) -> bool:
@@ -148,8 +174,9 @@ class Archive:
         return self.name, self.records, self.written
 
 
-def frames(store, path: str, chunk: int = 1 << 20):
-    """The records of an archive, one at a time."""
+def frames(store, path: str, chunk: int = 1 << 16):
+    """The records of an archive, one at a time. What is left of a chunk is copied at the end of each record,
+    so chunks are small."""
     with store.open_input_stream(path, compression=None) as f:
         head = f.read(8)
         taken = None
@@ -173,6 +200,7 @@ def frames(store, path: str, chunk: int = 1 << 20):
 
 def write(pages: DataFrame, folder: str, id_col="page_id", url_col="url", payload_col="html") -> DataFrame:
     """Write the archives to ``folder`` and return the manifest (file, records, bytes)."""
+    target = located(pages.sparkSession, folder)
     payload = F.coalesce(pages[payload_col].cast("string"), F.lit(""))
     rows = small_batches(pages).select(
         pages[id_col].alias("page_id"), pages[url_col].cast("string").alias("url"), payload.alias("payload"),
@@ -190,7 +218,7 @@ def write(pages: DataFrame, folder: str, id_col="page_id", url_col="url", payloa
     planned = rest.select("page_id", "url", "payload", "digest", "first").unionByName(spread)
 
     def run(batches):
-        archive, done = Archive(folder), []
+        archive, done = Archive(target), []
         for b in batches:
             for page, url, text, digest, first in zip(*[b.column(i) for i in range(5)]):
                 page, first = page.as_py(), first.as_py()
@@ -199,7 +227,7 @@ def write(pages: DataFrame, folder: str, id_col="page_id", url_col="url", payloa
                 archive.add(record(page, url.as_py(), text.as_py().encode(), code, first, revisit))
                 if archive.full():
                     done.append(archive.close())
-                    archive = Archive(folder)
+                    archive = Archive(target)
         done += [x for x in [archive.close()] if x]
         names, records, sizes = zip(*done) if done else ((), (), ())
         yield pa.RecordBatch.from_arrays(
@@ -219,9 +247,10 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     The payload of every response is held against its digest."""
     files = spark.read.parquet(f"{folder}/manifest").select("file")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    target = located(spark, folder)
 
     def run(batches):
-        store, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        store, root = fs.FileSystem.from_uri(target)
         schema = pa.schema([
             ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()),
             ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary()),

@@ -85,3 +85,36 @@ def test_damage_is_noticed(tmp_path):
     assert op1.parse(raw)["payload"] == b"payload"
     with pytest.raises(ValueError):
         op1.parse(raw[:-3])
+
+
+def dictionary_of(path):
+    data = open(path, "rb").read(8)
+    magic, size = struct.unpack("<II", data)
+    return size if magic == 0x184D2A5D else 0
+
+
+@pytest.mark.parametrize("sizes", [[9 << 20, *[300] * 5000], [40 << 20, *[300] * 20], [400] * 15, [5000] * 2, [200_000]])
+def test_every_file_has_a_dictionary(tmp_path, sizes):
+    """Whatever the sizes and number of the first records; the records come back whole."""
+    from pyarrow import fs
+
+    draw = __import__("random").Random(1)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(500)]
+    archive, want = op1.Archive(str(tmp_path)), []
+    for n in sizes:
+        base = " ".join(draw.choice(words) for _ in range(min(n, 20_000) // 7))
+        payload = (base * (n // len(base) + 1))[:n].encode()
+        want.append(op1.record(len(want), "http://x", payload, op1.base32_sha1(payload), None, False))
+        archive.add(want[-1])
+    name, records, _ = archive.close()
+    assert records == len(sizes) and dictionary_of(tmp_path / name) >= 256
+    assert list(op1.frames(fs.LocalFileSystem(), str(tmp_path / name))) == want
+
+
+def test_folders_are_those_that_spark_means(spark, tmp_path):
+    assert op1.located(spark, f"{tmp_path}/a") == op1.located(spark, f"file:{tmp_path}/a") == f"file://{tmp_path}/a"
+    with pytest.raises(ValueError, match="cannot be written to viewfs"):
+        spark.conf.set("spark.hadoop.x", "1")
+        spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.t.link./in", f"file://{tmp_path}")
+        op1.located(spark, "viewfs://t/in")
+    assert {op1.STORES[s] for s in ("s3a", "s3n", "s3")} == {"s3"}
