@@ -5,7 +5,9 @@ independent tables, so that near rows mostly share a cell in one of them. A cell
 size is dealt to salted groups; a group is searched by direct differences, so coordinates far from
 the origin lose no digits. The work is tables x rows x group size, whatever the number of dimensions
 and of copies: copies of a row are rows of their own, and a cell of copies is salted like any other.
-Neighbours are approximate: one that shares no group with a row is not found.
+Neighbours are approximate: one that shares no group with a row is not found. A cell gets narrower with
+every doubling of the rows, so the number of tables grows with the bits of a cell's code, by as much as
+keeps nine of ten neighbours found.
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lintlake.functions.joins import salted_join
 from lintlake.session import stored
 
-#: Rows of a group on average, and tables of projections.
-GROUP, TABLES = 512, 3
+#: Rows of a group on average; tables of projections at two bits, and their growth per further bit.
+GROUP, TABLES, MORE_TABLES = 512, 3, 1.32
 SEED = 42
 
 
@@ -55,10 +58,16 @@ def _search(group: pd.DataFrame, k: int) -> pd.DataFrame:
     )
 
 
-def grouped(rows: DataFrame, group: int = GROUP, tables: int = TABLES) -> DataFrame:
+def tables_for(bits: int) -> int:
+    """Tables that find nine of ten neighbours where cells have codes of so many bits."""
+    return math.ceil(TABLES * MORE_TABLES ** max(0, bits - 2))
+
+
+def grouped(rows: DataFrame, group: int = GROUP, tables: int | None = None) -> DataFrame:
     """(table, cell, salt, row, x): each row once per table, in a group of about ``group`` rows at most."""
     facts = rows.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("width")).first()
     bits = max(0, math.ceil(math.log2(max(facts.n, 1) / group)))
+    tables = tables or tables_for(bits)
     dice = np.random.default_rng(SEED)
     lines = dice.normal(size=(tables, bits, facts.width or 0))
     values = [[_projection(F.col("x"), w) for w in table] for table in lines]
@@ -72,14 +81,14 @@ def grouped(rows: DataFrame, group: int = GROUP, tables: int = TABLES) -> DataFr
             code = code * 2 + (values[t][b] > F.lit(medians[t * bits + b])).cast("long")
         cells.append(F.struct(F.lit(t).alias("table"), code.alias("cell")))
     placed = rows.select("row", "x", F.explode(F.array(*cells)).alias("c")).select("c.table", "c.cell", "row", "x")
-    sizes = placed.groupBy("table", "cell").agg(F.count("*").alias("n"))
-    parts = sizes.select("table", "cell", F.ceil(F.col("n") / (2 * group)).cast("long").alias("parts"))
-    salted = placed.join(parts, ["table", "cell"])
+    sizes = stored(placed.groupBy("table", "cell").agg(F.count("*").alias("n")), "cells")
+    parts = F.ceil(F.col("n") / (2 * group)).cast("long").alias("parts")
+    salted = salted_join(placed, sizes.select("table", "cell", "n", parts), ["table", "cell"], "n")
     salt = F.pmod(F.xxhash64(F.lit(SEED), "table", "row"), "parts")
     return salted.select("table", "cell", salt.alias("salt"), "row", "x")
 
 
-def nearest_neighbours(points: DataFrame, k: int, group: int = GROUP, tables: int = TABLES) -> DataFrame:
+def nearest_neighbours(points: DataFrame, k: int, group: int = GROUP, tables: int | None = None) -> DataFrame:
     """The columns of ``points`` (with ``x``, an array of doubles) and ``neighbours``: up to k arrays,
     nearest first, of other rows; empty for a row that is alone."""
     rows = stored(points.withColumn("row", F.monotonically_increasing_id()), "points")

@@ -15,6 +15,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lintlake.functions.joins import salted_join
 from lintlake.functions.ranks import running_totals
 from lintlake.operators.datasets import split_key
 from lintlake.operators.evaluation import classification_metrics
@@ -147,7 +148,7 @@ def smote(data: DataFrame, k: int = NEIGHBOURS, seed: int = SEED) -> DataFrame:
     # Decimals, because the products of two row counts can pass the range of a bigint.
     before = "CAST(n_before AS DECIMAL(19, 0))"
     share = F.expr(f"div(({before} + n) * {wanted}, {have}) - div({before} * {wanted}, {have})")
-    groups = ranked.select("h", "n", share.alias("share")).where("share > 0")
+    groups = stored(ranked.select("h", "n", F.col("n").alias("rows"), share.alias("share")).where("share > 0"), "shares")
     # Rows that share an id share its new rows; for a unique id nothing is left to chance.
     extra = (F.rand(seed) * F.col("n") < F.col("share") % F.col("n")).cast("bigint")
     copies = (F.expr("div(share, n)") + extra).cast("int")
@@ -156,10 +157,9 @@ def smote(data: DataFrame, k: int = NEIGHBOURS, seed: int = SEED) -> DataFrame:
         key = F.concat_ws("|", "id", F.col("copy").cast("string"), F.lit(f"{salt}{seed}"))
         return (F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)).cast("double")
 
+    near = nearest_neighbours(rows, k).withColumn("h", split_key(F.col("id"), seed))
     made = (
-        nearest_neighbours(rows, k)
-        .withColumn("h", split_key(F.col("id"), seed))
-        .join(groups, "h")
+        salted_join(near, groups, ["h"], "rows")
         .withColumn("copies", copies)
         .where("copies > 0")
         # A row without neighbours is repeated as it is.
@@ -197,8 +197,8 @@ def with_folds(data: DataFrame, folds: int, seed: int = SEED) -> DataFrame:
     keyed = data.withColumn("_h", split_key(F.col("id"), seed))
     counted = keyed.groupBy("target", "_h").agg(F.count("*").alias("n"))
     ranked = running_totals(counted, ["target"], "_h", ["n"])
-    known = ranked.select("target", "_h", (F.col("n_before") % folds).cast("int").alias("fold"))
-    return keyed.join(known, ["target", "_h"]).select(*data.columns, "fold")
+    known = stored(ranked.select("target", "_h", "n", (F.col("n_before") % folds).cast("int").alias("fold")), "fold-keys")
+    return salted_join(keyed, known, ["target", "_h"], "n").select(*data.columns, "fold")
 
 
 def fold_scores(data: DataFrame, estimator, folds: int = FOLDS) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from lintlake.functions.joins import salted_join
 from lintlake.operators import neighbours, training
 
 
@@ -43,18 +44,41 @@ def test_small_groups_find_most_neighbours(spark):
     assert found / 2000 > 0.8
 
 
+def recall(spark, n):
+    points = np.random.default_rng(2).normal(size=(n, 14))
+    near = neighbours.nearest_neighbours(as_rows(spark, points), 5).limit(400).collect()
+    found = 0
+    for r in near:
+        gaps = np.sqrt(((points - np.array(r.x)) ** 2).sum(1))
+        limit = np.sort(gaps)[5] + 1e-12
+        found += sum(np.linalg.norm(np.array(y) - np.array(r.x)) <= limit for y in r.neighbours)
+    return found / (5 * len(near))
+
+
+def test_recall_does_not_fall_with_the_rows(spark):
+    assert [n for n in (2000, 8000) if recall(spark, n) < 0.88] == []
+
+
+def test_salted_join(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 900 + 10).alias("k"), "id")
+    known = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("most"))
+    made = salted_join(rows, known, ["k"], "n")
+    assert made.columns == ["k", "id", "most"]
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, rows.join(known.drop("n"), "k").collect()))
+
+
 def test_groups_stay_small_in_many_dimensions(spark):
     for n in (5000, 20_000):
         points = np.random.default_rng(2).normal(size=(n, 14))
         rows = as_rows(spark, points).select(F.col("id").cast("bigint").alias("row"), "x")
-        sizes = [r["count"] for r in neighbours.grouped(rows).groupBy("table", "cell", "salt").count().collect()]
+        sizes = [r["count"] for r in neighbours.grouped(rows, tables=3).groupBy("table", "cell", "salt").count().collect()]
         # pairs compared per row: bounded by the group size, whatever the number of rows
         assert sum(s * s for s in sizes) / n < 3 * 1.5 * neighbours.GROUP and max(sizes) < 3 * neighbours.GROUP
 
 
 def test_one_vector_many_times(spark):
     rows = spark.range(100_000).select(F.col("id").alias("row"), F.array(*[F.lit(0.0)] * 14).alias("x"))
-    sizes = [r["count"] for r in neighbours.grouped(rows).groupBy("table", "cell", "salt").count().collect()]
+    sizes = [r["count"] for r in neighbours.grouped(rows, tables=3).groupBy("table", "cell", "salt").count().collect()]
     assert max(sizes) < 3 * neighbours.GROUP and sum(sizes) == 300_000
 
 
