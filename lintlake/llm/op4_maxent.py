@@ -51,9 +51,9 @@ ROWS, ROUNDS, STEP_TOKENS, RATE, DISCOUNT = 1 << 15, 3, 32_768, 0.8, 0.75
 TEMPLATES = (4, 4, 2)
 TABLES = tuple(slice(sum(TEMPLATES[:k]), sum(TEMPLATES[: k + 1])) for k in range(3))
 #: Tokens that a task trains on at least, where there are as many: its changes are a table of fixed size.
-TASK_TOKENS = 1 << 22
-#: Bytes of text that are counted at a time, tokens of a scoring batch, bound of a logit.
-COUNTED_BYTES, BATCH_TOKENS, LARGEST = 8 << 20, 8_192, 60.0
+TASK_TOKENS = 1 << 21
+#: Bytes of text that are counted at a time, tokens that are scored at a time and those of a batch, bound of a logit.
+COUNTED_BYTES, SCORED_TOKENS, BATCH_TOKENS, LARGEST = 8 << 20, 32_768, 8_192, 60.0
 END = "\n"
 
 
@@ -202,22 +202,31 @@ class Vocabulary:
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def contexts(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of all texts in a row, and the keys of the context of each, one per template."""
-    size = sum(map(len, ids)) + 3 * len(ids)
-    flat = np.full(size, WORDS + KINDS + 1, np.uint64)  # the id before a beginning
-    where = np.zeros(size, bool)
-    at = 0
-    for own in ids:
-        at += 3
-        flat[at : at + len(own)] = own
-        where[at : at + len(own)] = True
-        at += len(own)
-    pos = np.flatnonzero(where)
+def context_keys(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The keys of the context of each token, one per template; ``sizes``: tokens of each text."""
+    flat = np.full(len(ids) + 3 * len(sizes), WORDS + KINDS + 1, np.uint64)  # the id before a beginning
+    pos = np.arange(len(ids)) + 3 * (np.repeat(np.arange(len(sizes)), sizes) + 1)
+    flat[pos] = ids
     one, two, three = flat[pos - 1], flat[pos - 2], flat[pos - 3]
     with np.errstate(over="ignore"):
-        keys = np.stack([one, (one << np.uint64(20)) + two, two, three]) * PRIME
-    return flat[pos].astype(np.int64), keys
+        return np.stack([one, (one << np.uint64(20)) + two, two, three]) * PRIME
+
+
+def contexts(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of some texts in a row, and the keys of the context of each."""
+    flat = np.concatenate([np.empty(0, np.int64), *ids]).astype(np.int64)
+    return flat, context_keys(flat, np.array([len(i) for i in ids], np.int64))
+
+
+def groups(sizes: np.ndarray, most: int):
+    """Texts in groups of about ``most`` tokens: (first text, last, first token, last)."""
+    ends = np.cumsum(sizes)
+    low = 0
+    while low < len(sizes):
+        at = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, at + most, "right")))
+        yield low, high, int(at), int(ends[high - 1])
+        low = high
 
 
 def feature_rows(keys: np.ndarray, nodes: np.ndarray | None = None) -> np.ndarray:
@@ -250,14 +259,13 @@ class Reader:
         """Ids of the words and of the end."""
         return [*map(self.id_of, words), self.id_of(END.encode())]
 
-    def batch(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """The distinct words of some texts, their ids, and for each text its words as numbers of distinct
-        ones, and its ids with that of the end."""
+    def batch(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct words of some texts and the end, their ids, the tokens of all texts as numbers of
+        distinct ones, each text with its end, and how many tokens each text has."""
         distinct, at, sizes = split(texts)
-        ids = np.array([self.id_of(w.encode()) for w in distinct.to_pylist()], np.int64)
-        cuts = np.cumsum(sizes)[:-1]
-        ended = np.insert(ids[at] if len(at) else at, np.cumsum(sizes), self.id_of(END.encode())).astype(np.uint64)
-        return distinct, ids, np.split(at, cuts), np.split(ended, np.cumsum(sizes + 1)[:-1])
+        names = pa.concat_arrays([distinct.cast(pa.string()), pa.array([END], pa.string())])
+        ids = np.array([self.id_of(w.encode()) for w in names.to_pylist()], np.int64)
+        return names, ids, np.insert(at, np.cumsum(sizes), len(names) - 1), sizes + 1
 
     def leaves(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids < WORDS, ids, ids - WORDS + self.words)
@@ -333,23 +341,16 @@ def train_round(docs: DataFrame, shared) -> DataFrame:
                 w[at] += slope
                 met[at] += np.diff(np.append(first, len(own))).astype(np.int32)
 
-        def learn(ids):
-            y, keys = contexts(ids)
-            for table, rows, bias, child, _ in reader.choices(reader.leaves(y), keys):
-                for at in range(0, len(child), STEP_TOKENS):
-                    part = slice(at, at + STEP_TOKENS)
-                    step(table, rows[:, part], bias[part], child[part])
-
-        held, size = [], 0
         for b in batches:
-            for own in reader.batch(b.column(0))[3]:
-                held.append(own)
-                size += len(own)
-                if size >= STEP_TOKENS:
-                    learn(held)
-                    held, size = [], 0
-        if held:
-            learn(held)
+            _, ids_of, at, sizes = reader.batch(b.column(0))
+            ids = ids_of[at]
+            for low, high, first, last in groups(sizes, STEP_TOKENS):
+                y = ids[first:last]
+                keys = context_keys(y, sizes[low:high])
+                for table, rows, bias, child, _ in reader.choices(reader.leaves(y), keys):
+                    for at_ in range(0, len(child), STEP_TOKENS):
+                        part = slice(at_, at_ + STEP_TOKENS)
+                        step(table, rows[:, part], bias[part], child[part])
         seen = seen.ravel()
         met = np.flatnonzero(seen)
         weights -= start
@@ -423,51 +424,27 @@ def scored(rows: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, numbers
         reader = Reader(vocabulary)
         base = np.concatenate([np.log10((vocabulary.counts + 0.5) / (total + 0.5 * (distinct + 1))), np.zeros(WORDS + KINDS + 1 - len(vocabulary.counts))])
         row = TaskContext.get().partitionId() << 33
-
-        def settle(held):
-            nonlocal row
-            ids = [i for _, i, _ in held]
-            y, keys = contexts(ids)
-            logs = token_logs(reader, weights, reader.leaves(y), keys) / np.log(10)
-            starts = np.cumsum([0, *map(len, ids)])[:-1]
-            known = np.add.reduceat((y < WORDS).astype(np.int64), starts)
-            sums = np.add.reduceat(logs, starts)
-            bases = np.add.reduceat(base[y], starts)
-            rare = [named for _, _, named in held]
-            out = pa.RecordBatch.from_arrays(
-                [
-                    pa.array(range(row, row + len(held)), pa.int64()),
-                    pa.array([d for d, _, _ in held], doc_type),
-                    pa.array([len(i) for i in ids], pa.int64()),
-                    pa.array(known), pa.array(bases), pa.array(sums),
-                    pa.array([[w for w, _, _ in c] for c in rare], pa.list_(pa.string())),
-                    pa.array([[n for _, n, _ in c] for c in rare], pa.list_(pa.int64())),
-                    pa.array([[k for _, _, k in c] for c in rare], pa.list_(pa.int32())),
-                ],
-                ["row", "doc_id", "n_tokens", "known", "base", "part", "words", "ns", "kinds"],
-            )
-            row += len(held)
-            return out
-
-        doc_type = pa.int64()
-        held, size = [], 0
         for b in batches:
-            doc_type = b.schema.field(0).type
-            names, ids_of, words, ids = reader.batch(b.column(1))
+            names, ids_of, at, sizes = reader.batch(b.column(1))
             rare = ids_of >= WORDS
-            end = reader.id_of(END.encode())
-            for doc, at, own in zip(b.column(0).to_pylist(), words, ids):
-                at, n = np.unique(at[rare[at]], return_counts=True)
-                named = list(zip(names.take(pa.array(at)).to_pylist(), n.tolist(), (ids_of[at] - WORDS).tolist()))
-                if end >= WORDS:
-                    named.append((END, 1, end - WORDS))
-                held.append((doc, own, named))
-                size += len(own)
-                if size >= BATCH_TOKENS:
-                    yield settle(held)
-                    held, size = [], 0
-        if held:
-            yield settle(held)
+            for low, high, first, last in groups(sizes, SCORED_TOKENS):
+                own, n = at[first:last], sizes[low:high]
+                y = ids_of[own]
+                logs = token_logs(reader, weights, reader.leaves(y), context_keys(y, n)) / np.log(10)
+                starts = np.cumsum(n) - n
+                # each rare word of a text once, with how often the text has it
+                of = np.repeat(np.arange(high - low), n)
+                pairs, times = np.unique((of * len(names) + own)[rare[own]], return_counts=True)
+                of, word = np.divmod(pairs, len(names))
+                offsets = pa.array(np.r_[0, np.cumsum(np.bincount(of, minlength=high - low))].astype(np.int32))
+                columns = [
+                    pa.array(np.arange(row, row + high - low)), b.column(0).slice(low, high - low), pa.array(n.astype(np.int64)),
+                    pa.array(np.add.reduceat((y < WORDS).astype(np.int64), starts)), pa.array(np.add.reduceat(base[y], starts)), pa.array(np.add.reduceat(logs, starts)),
+                    pa.ListArray.from_arrays(offsets, names.take(pa.array(word))), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64))),
+                    pa.ListArray.from_arrays(offsets, pa.array((ids_of[word] - WORDS).astype(np.int32))),
+                ]
+                row += high - low
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "known", "base", "part", "words", "ns", "kinds"])
 
     return rows.mapInArrow(
         run, f"row bigint, doc_id {kind}, n_tokens bigint, known bigint, base double, part double, words array<string>, ns array<bigint>, kinds array<int>"

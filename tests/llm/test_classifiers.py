@@ -297,7 +297,7 @@ def test_training_step_follows_the_slope(spark):
     text = " ".join(words[i * 7 % 40] for i in range(90)) + " unseen words"
     made = op4.train_round(spark.createDataFrame([(text,)], "text string"), spark.sparkContext.broadcast((v, start))).collect()
     reader = op4.Reader(v)
-    y, keys = op4.contexts([np.array(reader.ids(op4.tokens(text)), np.uint64)])
+    y, keys = op4.contexts([np.array(reader.ids(op4.tokens(text)))])
     slopes, met = {}, Counter()
     for table, rows, bias, child, _ in reader.choices(reader.leaves(y), keys):
         for k in range(len(child)):
