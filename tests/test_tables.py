@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lintlake.functions import text as X
 from lintlake.functions.ranks import exact_quantiles, running_totals, with_scan_index
-from lintlake.operators import datasets, features, labels, tokens
+from lintlake.operators import datasets, embeddings, features, labels, tokens
 
 
 def test_round_half_even(spark):
@@ -186,3 +186,75 @@ def test_tokens(spark):
     ids = tokens.tokenize(df, 16).collect()
     assert all(len(r.input_ids) == 16 == len(r.attention_mask) for r in ids)
     assert [sum(r.attention_mask) for r in ids] == [0, 12, 16, 16, 16, 0, 16]
+
+
+def test_token_ids_by_value(spark):
+    """Ids are the tokens' XXH64 with Spark's seed; the rest is padding."""
+    xxhash = pytest.importorskip("xxhash")
+    texts = ["def f(a):\n    return a + 1", "", None, "x = 'é' # ü", "a " * 700]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, code string")
+    made = tokens.tokenize(df, 20).withColumn("t", tokens.default_tokens(F.col("code")))
+    for r in made.collect():
+        signed = [xxhash.xxh64_intdigest(t.encode(), 42) for t in r.t[:20]]
+        signed = [h - (1 << 64) if h >> 63 else h for h in signed]
+        want = [h % tokens.VOCABULARY + tokens.FIRST_ID for h in signed]
+        assert r.input_ids == want + [tokens.PAD_ID] * (20 - len(want))
+        assert r.attention_mask == [1] * len(want) + [0] * (20 - len(want))
+
+
+def test_reduced_vectors_by_value(spark):
+    """Principal components of centred vectors, up to the sign of each."""
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=(200, 6)) * np.array([9, 5, 3, 1, 0.5, 0.1]) + 4
+    df = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(x)], "id string, embedding array<double>")
+    made = {int(r.id): r.embedding for r in embeddings.reduce_dimensions(df, 3).collect()}
+    found = np.array([made[i] for i in range(200)])
+    centred = x - x.mean(axis=0)
+    want = centred @ np.linalg.svd(centred, full_matrices=False)[2][:3].T
+    assert np.allclose(np.abs(found), np.abs(want), atol=1e-8)
+    assert np.allclose(np.abs((found * want).sum(axis=0)), (want * want).sum(axis=0), rtol=1e-8)
+
+
+def test_ranks_are_selected_in_rounds(spark):
+    """The same values when every interval must be narrowed, with hot values, ties, NaN and nulls."""
+    from lintlake.functions import ranks
+
+    dice = random.Random(9)
+    values = [dice.choice([7.0, 7.0, dice.gauss(0, 1e6), dice.random(), float("inf"), -3.0]) for _ in range(9000)]
+    rows = [("a", v) for v in values] + [("b", float(i)) for i in range(101)] + [("c", float("nan")), ("c", 1.0), ("d", None), (None, 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    shares = [0.0, 0.25, 0.5, 0.9, 0.99]
+
+    def rank(total, i):
+        return int(shares[i] * (total - 1))
+
+    for few in (100_000, 40):
+        found = ranks.select_ranks(df, "g", "v", shares, rank, few)
+        assert set(found) == {"a", "b", "c", None}
+        for g in ("a", "b"):
+            own = sorted(v for k, v in rows if k == g)
+            for i, x in enumerate(found[g]):
+                value = own[rank(len(own), i)]
+                assert x == (value, own.index(value), own.count(value), len(own))
+        assert found["c"][0].value == 1.0 and found["c"][0].total == 2
+
+
+def test_quantiles_of_counts(spark):
+    from lintlake.functions import ranks
+
+    counted = spark.createDataFrame([(float(v), n) for v, n in ((3, 5), (1, 4), (10, 1), (4, 90))], "value double, n bigint")
+    flat = np.repeat([1, 3, 4, 10], [4, 5, 90, 1])
+    got = {r.q: r.value for r in ranks.quantiles_of_counts(counted, [0.0, 0.05, 0.5, 0.99, 1.0]).collect()}
+    assert got == {q: pytest.approx(np.quantile(flat, q)) for q in got} and len(got) == 5
+    assert ranks.quantiles_of_counts(counted.limit(0), [0.5]).count() == 0
+
+
+def test_scan_index_follows_files(spark, tmp_path):
+    """Rows count in the order of the names of their files, however the scan packs them."""
+    for name, n in (("b", 10), ("a", 400), ("c", 3)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i}\n" for i in range(n)))
+    read = spark.read.option("maxPartitionBytes", 300).text(str(tmp_path))
+    rows = {r.i: r.value for r in with_scan_index(read, "i").collect()}
+    assert [rows[i] for i in range(413)] == [f"a{i}" for i in range(400)] + [f"b{i}" for i in range(10)] + [f"c{i}" for i in range(3)]
+    plan = with_scan_index(read, "i")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
