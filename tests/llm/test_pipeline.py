@@ -2,6 +2,8 @@
 
 from collections import Counter, defaultdict
 
+import pytest
+
 import corpus_pipeline as cp
 from lintlake.llm import op8_mixing, op9_quadratic
 from tests.llm.test_dedup import brute_components, brute_print
@@ -15,7 +17,7 @@ def test_entry_lists_the_pipeline():
 
     q = entry.queries()
     assert "pipeline" in q
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in q) == 1
 
 
@@ -64,3 +66,30 @@ def test_stages(spark):
 def test_run(spark):
     out = cp.run(spark, SF)
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None)], "odd"])
+def test_odd_and_empty_tables(spark, make_docs, tmp_path, rows):
+    """Every stage on its predecessor's output, with nulls, repeated rows and clashing columns."""
+    from tests.llm.conftest import ODD
+
+    folder = str(tmp_path)
+    prose = [(100 + i, f"the {i} of a plain and quiet day went by as the people of town {i % 7} had said it would " * 6, f"s{i % 3}") for i in range(40)]
+    rows = [*ODD, *prose] if rows == "odd" else rows
+    docs = make_docs(rows)
+    marks = [(i, int(i % 4 > 0), 0) for i, *_ in prose] if len(rows) > 1 else []
+    spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    columns = docs.columns
+    for name, stage in cp.STAGES[:-1]:
+        before = docs.count()
+        docs = stage(spark, docs, folder)
+        path = f"{folder}/{name.replace(' ', '-')}"
+        docs.write.parquet(path)
+        docs = spark.read.parquet(path)
+        assert docs.columns == columns
+        assert docs.count() <= (2 if name.startswith("mixing") else 1) * before
+    kept = docs.collect()
+    assert all((r.text or "").split() for r in kept)
+    pieces = cp.STAGES[-1][1](spark, docs, folder).collect()
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in kept}
+    assert len(kept) > 0 or len(rows) < 2
