@@ -10,7 +10,8 @@ for each left-out block, all variants of the other bits within one flip (3 * (1
 Copies count once: fingerprints are made distinct (with their smallest id) before anything is emitted.
 In a group of m fingerprints that meet, links are found by lookups in the left-out block, at most
 1,562 * m of them and never m * m, and only a spanning forest of the verified links, at most m - 1,
-leaves the task. Components are joined up with large-star/small-star rounds on stored tables.
+leaves the task. A group of over ``MOST_MET`` is not gathered: its fingerprints emit their flips inside the
+left-out block as well and meet again in whole variants, where there is room for a bounded number. Components are joined up with large-star/small-star rounds on stored tables.
 
 Defined results: null text is empty; a text without words has fingerprint zero, one of fewer than three
 words has its whole sequence as the only shingle; a null id is never the component's name unless all its
@@ -28,12 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lintlake.functions.joins import salted_join
 from lintlake.llm.common import narrow, scalar_row, stored
 from lintlake.llm.op7_exact_dedup import digest
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
-#: Fingerprints whose variants one task emits.
-EMITTED = 20_000
+#: Fingerprints whose variants one task emits, and fingerprints of a variant that a task verifies at once.
+EMITTED, MOST_MET = 20_000, 50_000
 #: First bit and width of the blocks.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 FULL = (1 << 64) - 1
@@ -83,8 +85,7 @@ def variants(distinct: DataFrame) -> DataFrame:
         outside = [b for b in range(64) if not first <= b < first + width]
         keep = sum(1 << b for b in outside)
         flips += [(k, keep, 0), *[(k, keep, 1 << b) for b in outside]]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    ball = F.array(*[F.struct(F.lit(k).alias("block"), F.lit(signed(keep)).alias("keep"), F.lit(signed(bit)).alias("bit")) for k, keep, bit in flips])
+    ball = F.array(*[F.struct(F.lit(k).alias("block"), F.lit(_signed(keep)).alias("keep"), F.lit(_signed(bit)).alias("bit")) for k, keep, bit in flips])
     out = distinct.select("fp", F.explode(ball).alias("v"))
     return out.select(F.col("v.block").alias("block"), F.col("fp").bitwiseAND(F.col("v.keep")).bitwiseXOR(F.col("v.bit")).alias("variant"), "fp")
 
@@ -132,23 +133,93 @@ def _forest(fps: list[int], block: int) -> list[tuple[int, int]]:
     return links
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _links_in(groups, block_of) -> tuple[list[int], list[int]]:
+    """Verified links among the fingerprints of each group, smaller end first."""
+    low, high = [], []
+    for key, fps in groups:
+        for u, v in _forest(sorted(int(f) & FULL for f in fps), block_of(key)):
+            u, v = sorted((_signed(u), _signed(v)))
+            low.append(u)
+            high.append(v)
+    return low, high
+
+
+def _verify(batches, most: int):
+    """Links of sorted rows (block, variant, fp). Groups of over ``most`` fingerprints are handed on as they
+    come, row by row, as (fp, null, block)."""
+    key, held, large = None, [], False
+    for b in batches:
+        block, variant, fp = (b.column(c).to_numpy() for c in ("block", "variant", "fp"))
+        if not len(fp):
+            continue
+        starts = np.flatnonzero(np.r_[True, (variant[1:] != variant[:-1]) | (block[1:] != block[:-1])])
+        ends = np.r_[starts[1:], len(fp)]
+        # what lies alone between others has nothing to link with
+        seen = (ends - starts > 1) | (starts == 0) | (ends == len(fp))
+        low, high, of, whole = [], [], [], []
+        for i, j in zip(starts[seen].tolist(), ends[seen].tolist()):
+            if i == 0 and (int(block[0]), int(variant[0])) == key:
+                part = fp[i:j]
+            else:
+                if held and not large and sum(map(len, held)) > 1:
+                    whole.append((key, np.concatenate(held)))
+                if j < len(fp) and j - i == 1:
+                    key, held, large = None, [], False
+                    continue
+                key, held, large, part = (int(block[i]), int(variant[i])), [], False, fp[i:j]
+            held.append(part)
+            if large or sum(map(len, held)) > most:
+                large = True
+                out = np.concatenate(held)
+                held = []
+                low += out.tolist()
+                high += [None] * len(out)
+                of += [key[0]] * len(out)
+        u, v = _links_in(whole, lambda k: k[0])
+        yield pa.RecordBatch.from_arrays([pa.array(low + u, pa.int64()), pa.array(high + v, pa.int64()), pa.array(of + [None] * len(u), pa.int32())], ["u", "v", "block"])
+    if held and not large and sum(map(len, held)) > 1:
+        u, v = _links_in([(key, np.concatenate(held))], lambda k: k[0])
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array([None] * len(u), pa.int32())], ["u", "v", "block"])
+
+
+def narrower(large: DataFrame) -> DataFrame:
+    """(block, variant, fp) for fingerprints of groups too large for a task: whole 64-bit variants, with two
+    flips inside the left-out block, or with one inside and one outside of it. Two that link differ in two
+    bits outside at most and meet in one of these (none or one flip outside on either side), and no more than a
+    fixed number of fingerprints, the ball around a variant, can meet in one."""
+    out = None
+    for k, (first, width) in enumerate(BLOCKS):
+        inside = [1 << b for b in range(first, first + width)]
+        outside = [1 << b for b in range(64) if not first <= b < first + width]
+        two, one = ([_signed(sum(c)) for n in range(m) for c in combinations(inside, n)] for m in (3, 2))
+        pick = F.when(F.col("o") == 0, F.array(*map(F.lit, two))).otherwise(F.array(*map(F.lit, one)))
+        part = large.where(F.col("block") == k).select("block", "fp").distinct()
+        part = part.select("block", "fp", F.explode(F.array(F.lit(0).cast("long"), *[F.lit(_signed(o)) for o in outside])).alias("o"))
+        part = part.select("block", "fp", "o", F.explode(pick).alias("f"))
+        part = part.select("block", F.col("fp").bitwiseXOR(F.col("o")).bitwiseXOR(F.col("f")).alias("variant"), "fp")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def links(distinct: DataFrame, most: int = MOST_MET) -> DataFrame:
     """(u, v) with u < v: verified links whose components are those of all links."""
-
-    def verify(batches):
-        for b in batches:
-            out = []
-            for block, fps in zip(b.column("block").to_pylist(), b.column("fps").to_pylist()):
-                # components do not depend on signs, ids do not leave this function unsigned
-                unsigned = sorted({f & FULL for f in fps})
-                out += [(u - (1 << 64) if u >> 63 else u, v - (1 << 64) if v >> 63 else v) for u, v in _forest(unsigned, block)]
-            pairs = np.array(out, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["u", "v"])
-
     # A row grows to 132, so the narrow table is spread first.
     n = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), distinct.count() // EMITTED)
-    met = variants(distinct.repartition(n, "fp")).groupBy("block", "variant").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    return met.select("block", "fps").mapInArrow(verify, "u bigint, v bigint").distinct()
+
+    def met(rows: DataFrame, bound: int) -> DataFrame:
+        rows = rows.select("block", "variant", "fp").repartition("block", "variant").sortWithinPartitions("block", "variant")
+        return rows.mapInArrow(lambda batches: _verify(batches, bound), "u bigint, v bigint, block int")
+
+    found = stored(met(variants(distinct.repartition(n, "fp")), most), "links-found")
+    large = found.where("v IS NULL").select("block", F.col("u").alias("fp"))
+    out = found.where("v IS NOT NULL").select("u", "v")
+    if not large.isEmpty():
+        out = out.unionByName(met(narrower(large), FULL).select("u", "v"))
+    return out.distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -158,8 +229,9 @@ def connected(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # a hub has as many links as its component has nodes
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
+        large = salted_join(both, least, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.where("v < u")
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u")

@@ -1,7 +1,8 @@
 """Exact and near deduplication against brute force."""
 
 import hashlib
-from collections import defaultdict
+import random
+from collections import Counter, defaultdict
 
 import pytest
 import xxhash
@@ -130,6 +131,38 @@ def test_links_are_whole(spark):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
+def test_large_groups_are_not_gathered(spark):
+    """The same components when groups of over a few fingerprints meet again in whole variants."""
+    draw = random.Random(11)
+    family = draw.getrandbits(64)
+    prints = {family ^ (1 << draw.randrange(64)) ^ (1 << draw.randrange(64)) for _ in range(150)}
+    for _ in range(60):  # chains that link at exactly three bits, and strangers
+        a = draw.getrandbits(64)
+        prints |= {a, a ^ 7 << draw.randrange(61), a ^ sum(1 << b for b in draw.sample(range(64), 3)), a ^ sum(1 << b for b in draw.sample(range(64), 4))}
+    rows = spark.createDataFrame([(op6._signed(p),) for p in prints], "fp bigint")
+    root = {p: p for p in prints}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    listed = sorted(prints)
+    for i, a in enumerate(listed):
+        for b in listed[i + 1 :]:
+            if (a ^ b).bit_count() <= 3:
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    want = Counter(frozenset(p for p in prints if top(p) == r) for r in {top(p) for p in prints})
+    for most in (50_000, 5, 1):
+        parts = defaultdict(set)
+        for r in op6.connected(op6.links(rows, most)).collect():
+            parts[r.name].add(r.node & op6.FULL)
+        # the smallest node names a component and is not among the others
+        got = Counter(frozenset(v | {k & op6.FULL}) for k, v in parts.items())
+        assert got == Counter({k: n for k, n in want.items() if len(k) > 1})
+
+
 def test_dense_groups_do_not_emit_pairs():
     fps = sorted({i for i in range(1 << 11)})
     assert len(op6._forest(fps, 0)) == len(fps) - 1
