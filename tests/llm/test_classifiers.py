@@ -312,3 +312,61 @@ def test_training_step_follows_the_slope(spark):
         g = slopes[r.row]
         want = op4.RATE * g / np.sqrt(1e-3 + (g * g).sum()) * r.seen
         assert np.allclose([r[f"d{c}"] for c in range(op4.FAN)], want, atol=2e-3)
+
+
+def brute_statistics(text):
+    """The classifier's statistics from their definitions, character by character."""
+    import unicodedata
+
+    words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
+    kinds = Counter()
+    for c in text:
+        kind = unicodedata.category(c)
+        if c.isspace():
+            kinds["space"] += 1
+        elif kind[0] == "L":
+            kinds["upper" if kind in ("Lu", "Lt") else "lower"] += 1
+        elif kind[0] == "N":
+            kinds["digit"] += 1
+        elif c in ".,;:'\"!?-()" or kind in ("Pd", "Pi", "Pf"):
+            kinds["prose"] += 1
+        elif kind[0] in "PS":
+            kinds["symbol"] += 1
+    n, size, letters = max(len(words), 1), max(len(text), 1), max(kinds["upper"] + kinds["lower"], 1)
+    lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    again = {j for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for j in range(i, i + 3)}
+    log = np.log
+    return [
+        log(len(words) + 5), log(sum(map(len, words)) / n + 1), log(sum(text.count(c) for c in "#*$%&|<>") / n + 0.002),
+        log(kinds["upper"] / letters + 0.002), log(kinds["digit"] / size + 0.002), log(kinds["prose"] / n + 0.002),
+        log(kinds["symbol"] / size + 0.002), log(kinds["space"] / size + 0.002), log((len(lines) - len(set(lines))) / max(len(lines), 1) + 0.02),
+        log(len(again) / n + 0.02), log(max(Counter(words).values(), default=0) / n + 0.02), log((len(set(words)) + 5) / (n + 5) ** 0.75),
+        log(sum(len(w.encode()) == 1 and not w.isalnum() for w in words) / n + 0.01), log(text.count("!") / n + 0.01),
+    ]
+
+
+def test_quadratic_discriminant_by_the_textbook(small, make_docs, spark):
+    """Statistics, class covariances and log densities made anew, for every document."""
+    rows = [(r.doc_id, r.text) for r in small.collect()] + [(10_000 + k, t) for k, (_, t) in enumerate(ODD) if k not in (6, 13)]
+    marks = [(r.doc_id, r.quality) for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect()]
+    x = {i: np.array(brute_statistics(t or "")) for i, t in rows}
+    own = {k: np.array([x[i] for i, q in marks if q == k and i in x and zlib.crc32(str(i).encode()) % 3 != 1]) for k in (0, 1)}
+    total = sum(map(len, own.values()))
+    covs = {k: np.cov(v.T, bias=True) for k, v in own.items()}
+    pooled = sum(len(own[k]) * covs[k] for k in own) / total
+    scale = np.sqrt(np.diag(pooled))
+    logs = {k: {} for k in own}
+    for k, v in own.items():
+        lam = max(op9.POOLED, 14 / (len(v) + 14))
+        c = ((1 - lam) * covs[k] + lam * pooled) / np.outer(scale, scale)
+        c = np.where(np.eye(14) > 0, c, (1 - op9.DIAGONAL) * c) + op9.RIDGE * np.eye(14)
+        for i, a in x.items():
+            z = (a - v.mean(axis=0)) / scale
+            logs[k][i] = np.log(len(v) / total) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * z @ np.linalg.solve(c, z)
+    table = spark.createDataFrame(marks, "doc_id bigint, quality int")
+    found = op9.score(make_docs(rows), table).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        want = 1 / (1 + np.exp(min(700, logs[0][r.doc_id] - logs[1][r.doc_id])))
+        assert abs(r.score - want) < 1e-6 and (abs(want - 0.5) < 1e-6 or r.predicted == int(want >= 0.5)), (r, want)
