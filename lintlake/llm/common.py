@@ -5,6 +5,9 @@ from __future__ import annotations
 import sys
 import types
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +55,19 @@ def narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def cut(batch: pa.RecordBatch, column: int, most: int):
+    """A batch in parts of about ``most`` bytes of a text column; what Arrow has freed of a part is given
+    back, so that a worker keeps little between tasks."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(at, to - at)
+        pa.default_memory_pool().release_unused()
+        at = to
+
+
 def scalar_row(df: DataFrame):
     """The one row of a global aggregate: a few numbers, whatever the size of the input."""
     return df.collect()[0]
@@ -63,4 +79,4 @@ def worker_state() -> dict:
     return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
 
 
-__all__ = ["WORD", "documents", "labels", "narrow", "remainder", "scalar_row", "small_batches", "stored", "worker_state"]
+__all__ = ["WORD", "cut", "documents", "labels", "narrow", "remainder", "scalar_row", "small_batches", "stored", "worker_state"]

@@ -27,13 +27,13 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from lintlake.llm.common import narrow, worker_state
+from lintlake.llm.common import cut, narrow, worker_state
 
 WINDOW, END_ID = 2048, 1
 #: Remainders packed together; entries of the cache of unit ids; smallest piece cut to close a gap.
-BLOCK, CACHED, LEAST_CUT = 65_536, 400_000, 16
+BLOCK, CACHED, LEAST_CUT = 65_536, 150_000, 16
 #: Bytes of remainders that are held for packing; bytes of text that are encoded at a time.
-HELD_BYTES, ENCODED_BYTES = 64 << 20, 4 << 20
+HELD_BYTES, ENCODED_BYTES = 32 << 20, 2 << 20
 SCHEMA = "doc_id {}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 #: White space before a space: there a space does not begin a unit.
@@ -191,17 +191,6 @@ def pack_block(pieces: list[tuple[int, int, int]], window: int, least_cut: int =
             yield made
 
 
-def _cut(batch: pa.RecordBatch, most: int):
-    """A batch in parts of about ``most`` bytes of text."""
-    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < batch.num_rows:
-        before = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def pack(docs: DataFrame, tokenizer: str, window=WINDOW, end_id=END_ID, block=BLOCK, id_col="doc_id", text_col="text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -246,7 +235,7 @@ def pack(docs: DataFrame, tokenizer: str, window=WINDOW, end_id=END_ID, block=BL
         arrow_kind = pa.int64()
         for b in batches:
             arrow_kind = b.schema.field(0).type
-            for part in _cut(b, ENCODED_BYTES):
+            for part in cut(b, 1, ENCODED_BYTES):
                 for doc, ids in zip(part.column(0).to_pylist(), encode.batch(part.column(1))):
                     ids = ids.tobytes() + end
                     tokens = len(ids) // 4

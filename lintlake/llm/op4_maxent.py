@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import narrow, remainder, scalar_row, stored
+from lintlake.llm.common import cut, narrow, remainder, scalar_row, stored
 
 FOLDS, HELD_OUT = 5, 1
 #: Bounded vocabulary, fewest occurrences in it, children of a node.
@@ -52,8 +52,8 @@ TEMPLATES = (4, 4, 2)
 TABLES = tuple(slice(sum(TEMPLATES[:k]), sum(TEMPLATES[: k + 1])) for k in range(3))
 #: Tokens that a task trains on at least, where there are as many: its changes are a table of fixed size.
 TASK_TOKENS = 1 << 21
-#: Bytes of text that are counted at a time, tokens that are scored at a time and those of a batch, bound of a logit.
-COUNTED_BYTES, SCORED_TOKENS, BATCH_TOKENS, LARGEST = 8 << 20, 32_768, 8_192, 60.0
+#: Bytes of text that are counted, and read, at a time, tokens that are scored at a time and those of a batch, bound of a logit.
+COUNTED_BYTES, READ_BYTES, SCORED_TOKENS, BATCH_TOKENS, LARGEST = 8 << 20, 2 << 20, 16_384, 8_192, 60.0
 END = "\n"
 
 
@@ -341,8 +341,8 @@ def train_round(docs: DataFrame, shared) -> DataFrame:
                 w[at] += slope
                 met[at] += np.diff(np.append(first, len(own))).astype(np.int32)
 
-        for b in batches:
-            _, ids_of, at, sizes = reader.batch(b.column(0))
+        for texts in (x for b in batches for x in cut(b, 0, READ_BYTES)):
+            _, ids_of, at, sizes = reader.batch(texts.column(0))
             ids = ids_of[at]
             for low, high, first, last in groups(sizes, STEP_TOKENS):
                 y = ids[first:last]
@@ -424,7 +424,7 @@ def scored(rows: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, numbers
         reader = Reader(vocabulary)
         base = np.concatenate([np.log10((vocabulary.counts + 0.5) / (total + 0.5 * (distinct + 1))), np.zeros(WORDS + KINDS + 1 - len(vocabulary.counts))])
         row = TaskContext.get().partitionId() << 33
-        for b in batches:
+        for b in (x for whole in batches for x in cut(whole, 1, READ_BYTES)):
             names, ids_of, at, sizes = reader.batch(b.column(1))
             rare = ids_of >= WORDS
             for low, high, first, last in groups(sizes, SCORED_TOKENS):
