@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 
@@ -55,16 +56,26 @@ def narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker outlives its tasks, and what it keeps is missing beside
+    the heap of the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = worker_state().get("trim")
+    if trim is None:
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)  # not every C library has it
+        worker_state()["trim"] = trim
+    trim(0)
+
+
 def cut(batch: pa.RecordBatch, column: int, most: int):
-    """A batch in parts of about ``most`` bytes of a text column; what Arrow has freed of a part is given
-    back, so that a worker keeps little between tasks."""
+    """A batch in parts of about ``most`` bytes of a text column; what is freed of a part is given back."""
     ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         before = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
         yield batch.slice(at, to - at)
-        pa.default_memory_pool().release_unused()
+        give_back()
         at = to
 
 
@@ -79,4 +90,4 @@ def worker_state() -> dict:
     return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
 
 
-__all__ = ["WORD", "cut", "documents", "labels", "narrow", "remainder", "scalar_row", "small_batches", "stored", "worker_state"]
+__all__ = ["WORD", "cut", "documents", "give_back", "labels", "narrow", "remainder", "scalar_row", "small_batches", "stored", "worker_state"]

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from lintlake.llm.common import cut, narrow, worker_state
+from lintlake.llm.common import cut, give_back, narrow, worker_state
 
 WINDOW, END_ID = 2048, 1
 #: Remainders packed together; entries of the cache of unit ids; smallest piece cut to close a gap.
@@ -254,5 +254,6 @@ def pack(docs: DataFrame, tokenizer: str, window=WINDOW, end_id=END_ID, block=BL
                         yield rows_out()
         flush()
         yield rows_out()
+        give_back()
 
     return rows.mapInArrow(run, SCHEMA.format(kind.simpleString()))

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import cut, narrow, remainder, scalar_row, stored
+from lintlake.llm.common import cut, give_back, narrow, remainder, scalar_row, stored
 
 FOLDS, HELD_OUT = 5, 1
 #: Bounded vocabulary, fewest occurrences in it, children of a node.
@@ -361,6 +361,8 @@ def train_round(docs: DataFrame, shared) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(own.astype(np.int32)), pa.array(seen[own].astype(np.int64)), *[pa.array(part[:, c]) for c in range(FAN)]], ["row", "seen", *names]
             )
+        del weights, change, squares, seen, reader
+        give_back()
 
     made = docs.select("text").mapInArrow(run, "row int, seen bigint, " + ", ".join(f"{n} float" for n in names))
     return made.groupBy("row").agg(F.sum("seen").alias("seen"), *[F.sum(n).cast("float").alias(n) for n in names])

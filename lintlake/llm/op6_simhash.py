@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions.joins import salted_join
-from lintlake.llm.common import narrow, scalar_row, stored
+from lintlake.llm.common import give_back, narrow, scalar_row, stored
 from lintlake.llm.op7_exact_dedup import digest
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -73,6 +73,7 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame
         for b in batches:
             made = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made.view(np.int64))], ["doc_id", "fp"])
+            give_back()
 
     rows = narrow(docs, id_col, text_col)
     return rows.mapInArrow(make, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint")
@@ -184,6 +185,7 @@ def _verify(batches, most: int):
     if held and not large and sum(map(len, held)) > 1:
         u, v = _links_in([(key, np.concatenate(held))], lambda k: k[0])
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array([None] * len(u), pa.int32())], ["u", "v", "block"])
+    give_back()
 
 
 def narrower(large: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.llm import textstats as stats
-from lintlake.llm.common import narrow, remainder, small_batches, stored, worker_state
+from lintlake.llm.common import give_back, narrow, remainder, small_batches, stored, worker_state
 from lintlake.llm.textstats import basic_counts, class_counts, class_table
 
 FEATURES = 14
@@ -75,6 +75,7 @@ def vectors(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
             flat = np.concatenate(made) if made else np.empty(0)
             x = pa.ListArray.from_arrays(np.arange(len(made) + 1, dtype=np.int32) * FEATURES, pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column(0), x], ["doc_id", "x"])
+            give_back()
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
@@ -170,6 +171,7 @@ def accepted(docs: DataFrame, marks: DataFrame, id_col="doc_id", text_col="text"
         for b in batches:
             x = [features(t.as_py() or "", state["class_table"]) for t in b.column(text_at)]
             yield b.filter(pa.array(model.score(np.array(x).reshape(-1, FEATURES)) >= THRESHOLD))
+            give_back()
 
     text_at = docs.columns.index(text_col)
     return small_batches(docs).mapInArrow(run, docs.schema)
