@@ -67,15 +67,17 @@ def give_back() -> None:
     trim(0)
 
 
-def cut(batch: pa.RecordBatch, column: int, most: int):
-    """A batch in parts of about ``most`` bytes of a text column; what is freed of a part is given back."""
+def cut(batch: pa.RecordBatch, column: int, most: int, trim: bool = True):
+    """A batch in parts of about ``most`` bytes of a text column; with ``trim`` what is freed of a part is
+    given back at once."""
     ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         before = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
         yield batch.slice(at, to - at)
-        give_back()
+        if trim:
+            give_back()
         at = to
 
 

@@ -31,9 +31,9 @@ from lintlake.llm.common import cut, give_back, narrow, worker_state
 
 WINDOW, END_ID = 2048, 1
 #: Remainders packed together; entries of the cache of unit ids; smallest piece cut to close a gap.
-BLOCK, CACHED, LEAST_CUT = 65_536, 150_000, 16
+BLOCK, CACHED, LEAST_CUT = 65_536, 400_000, 16
 #: Bytes of remainders that are held for packing; bytes of text that are encoded at a time.
-HELD_BYTES, ENCODED_BYTES = 32 << 20, 2 << 20
+HELD_BYTES, ENCODED_BYTES = 64 << 20, 4 << 20
 SCHEMA = "doc_id {}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 #: White space before a space: there a space does not begin a unit.
@@ -235,7 +235,7 @@ def pack(docs: DataFrame, tokenizer: str, window=WINDOW, end_id=END_ID, block=BL
         arrow_kind = pa.int64()
         for b in batches:
             arrow_kind = b.schema.field(0).type
-            for part in cut(b, 1, ENCODED_BYTES):
+            for part in cut(b, 1, ENCODED_BYTES, trim=False):
                 for doc, ids in zip(part.column(0).to_pylist(), encode.batch(part.column(1))):
                     ids = ids.tobytes() + end
                     tokens = len(ids) // 4
