@@ -31,16 +31,22 @@ TEMPLATES: list[tuple[str, str]] = [
 LANGUAGE_OF = {"py": "python", "c": "c", "java": "java", "js": "javascript"}
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores when a small table arrives in fewer partitions than there are cores.
+#: Files a task analyses, about: some 10 to 20 seconds of work, however large the table is.
+TASK_FILES = 25_000
 
-    Done on the narrow key rows, before text is made of them; larger inputs are left alone.
-    A stream is always spread, because a micro-batch may hold a single file.
+
+def spread(df: DataFrame, key: str, rows: int | None = None) -> DataFrame:
+    """Deal the rows to one task per ``rows`` of them (``TASK_FILES`` by default), and to all cores at least.
+
+    Done on the narrow key rows, before text is made of them: their bytes say nothing of the work, so
+    their partitions would grow with the table instead of their number, and a row group cannot be split.
+    A stream is spread over the cores, because a micro-batch may hold a single file.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() < cores:
+    if df.isStreaming:
         return df.repartition(cores, key)
-    return df
+    tasks = max(cores, -(-df.count() // (rows or TASK_FILES)))
+    return df.repartition(tasks, key) if tasks > cores or df.rdd.getNumPartitions() < cores else df
 
 
 def template_code(key: Column) -> tuple[Column, Column]:
