@@ -155,6 +155,21 @@ def _call_places(code: Column, language: Column, nodes: Column) -> Column:
     )
 
 
+def may_call(code: Column, language: Column) -> Column:
+    """Whether a file can hold a call that the rules look for; most need not be parsed to know.
+
+    A name stands in the text as it is, unless it is written in other than ASCII characters, which
+    Python takes for their plain forms.
+    """
+    named = code.contains("eval") | code.contains("system")
+    return (F.lower(language) == "python") & (named | (F.length(code) != F.octet_length(code)))
+
+
+def with_call_nodes(files: DataFrame) -> DataFrame:
+    """Files with the nodes of those that may hold a call finding."""
+    return with_nodes(files, needed=may_call(F.col("code"), F.col("language")))
+
+
 def call_findings(code: Column, language: Column, nodes: Column) -> Column:
     return _with_rules(_call_places(code, language, nodes))
 
@@ -173,7 +188,7 @@ def _rows(found: DataFrame) -> DataFrame:
 
 def findings_table(files: DataFrame) -> DataFrame:
     """Every finding of every file; ``finding_order`` is the order within the file."""
-    return _rows(add_findings(with_nodes(files)))
+    return _rows(add_findings(with_call_nodes(files)))
 
 
 def line_findings_table(files: DataFrame) -> DataFrame:
@@ -182,8 +197,8 @@ def line_findings_table(files: DataFrame) -> DataFrame:
 
 
 def call_findings_table(files: DataFrame) -> DataFrame:
-    """Call findings; other languages have none and are not parsed."""
-    files = files.where("lower(language) = 'python'")
+    """Call findings; files that cannot hold any are not parsed."""
+    files = files.where(may_call(F.col("code"), F.col("language")))
     found = call_findings(F.col("code"), F.col("language"), F.col("nodes"))
     return _rows(with_nodes(files).withColumn("findings", found))
 
@@ -259,7 +274,7 @@ SUMMARY_COLUMNS = [
 
 
 def security_summary(files: DataFrame) -> DataFrame:
-    return add_summary(add_findings(with_nodes(files))).select("file_id", *SUMMARY_COLUMNS)
+    return add_summary(add_findings(with_call_nodes(files))).select("file_id", *SUMMARY_COLUMNS)
 
 
 def json_reports(files: DataFrame) -> DataFrame:
@@ -273,7 +288,7 @@ def json_reports(files: DataFrame) -> DataFrame:
         "findings",
         lambda f: F.struct(*[path.alias(n) if n == "file_path" else f[n].alias(n) for n in fields]),
     )
-    return add_summary(add_findings(with_nodes(files))).select(
+    return add_summary(add_findings(with_call_nodes(files))).select(
         "file_id",
         F.to_json(
             F.struct(F.struct(*SUMMARY_COLUMNS).alias("summary"), listed.alias("findings"))
