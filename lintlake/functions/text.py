@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 # the line boundaries of str.splitlines(). Java's own \s, \w and \d differ on non-ASCII text.
 SPACE = r"\t-\r\x1c-\x20\x85\p{Z}"
 WORD = r"\p{L}\p{N}_"
+# The same white space one by one, the most frequent first, for trims without a pattern.
+SPACES = " \t\n" + "".join(
+    chr(c) for c in (*range(0xB, 0xE), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+)
 DIGIT = (
     r"\p{Nd}\x{b2}\x{b3}\x{b9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{2460}-\x{2468}"
     r"\x{2474}-\x{247c}\x{2488}-\x{2490}\x{24ea}\x{24f5}-\x{24fd}\x{24ff}\x{2776}-\x{277e}"
     r"\x{2780}-\x{2788}\x{278a}-\x{2792}\x{1369}-\x{1371}\x{19da}"
 )
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
+# Any boundary but the newline.
+OTHER_LINE_END = r"[\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 TOKEN = rf"[A-Za-z_][{WORD}]*|[^{SPACE}{WORD}]"
 
 
@@ -24,7 +30,7 @@ def let(value: Column, body) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:
@@ -41,8 +47,11 @@ def line_count(text: Column) -> Column:
 
 
 def boundary_lines(text: Column) -> Column:
-    """Lines at every Unicode line boundary; a trailing boundary adds no line."""
-    parts = F.split(text, LINE_END)
+    """Lines at every Unicode line boundary; a trailing boundary adds no line.
+
+    Most texts hold newlines alone and are split without a pattern.
+    """
+    parts = F.when(text.rlike(OTHER_LINE_END), F.split(text, LINE_END)).otherwise(F.split(text, "\n"))
     return let(
         parts,
         lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p),
