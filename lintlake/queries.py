@@ -28,7 +28,7 @@ from lintlake.plans import analysis, reports
 from lintlake.schemas import FEATURES
 from lintlake.session import shared_dir, stored
 from lintlake.sources import corpus, readers, writers
-from lintlake.sources.report_store import compact
+from lintlake.sources.report_store import compact, folders
 from lintlake.streaming import submissions
 
 Q: dict = {}
@@ -115,10 +115,14 @@ def report_table(spark: SparkSession, d: str) -> DataFrame:
 def report_store(spark: SparkSession, d: str) -> str:
     """A store of the same reports in twelve loads, one of them without a language; a compaction has
     taken eight loads in."""
-    path, made = shared_dir(spark, "reports"), stored(stored_reports(spark, d), "reports")
-    part = F.col("id").cast("bigint") % 12
+    path, made = shared_dir(spark, "reports"), shared_dir(spark, "loads")
+    rows = stored_reports(spark, d)
+    # A folder for each load, so that making one does not read the reports of all.
+    rows.withColumn("part", F.col("id").cast("bigint") % 12).write.partitionBy("part").parquet(made)
     for k in range(12):
-        load = made.where(part == k)
+        # A load without reports has no folder.
+        has = f"part={k}" in folders(spark, made)
+        load = spark.read.schema(rows.schema).parquet(f"{made}/part={k}") if has else spark.createDataFrame([], rows.schema)
         if k == 5:
             load = load.withColumn("language", F.lit(None).cast("string"))
         writers.append_reports(load, path, f"load-{k}")

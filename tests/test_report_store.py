@@ -178,3 +178,19 @@ def test_pages_of_equal_times(spark):
         kept, skip = at_rank(table.select("created_at", "id"), [("created_at", False), ("id", True)], rank, 10, 50)
         part = [r.id for r in kept.orderBy(F.desc("created_at"), "id").limit(skip + 10).offset(skip).collect()]
         assert part == order[rank : rank + 10] and skip < 3000
+
+
+def test_loads_are_made_from_their_own_reports(spark, monkeypatch):
+    from lintlake import queries
+
+    read, append = [], writers.append_reports
+
+    def watched(load, path, load_id):
+        read.append(set(load.inputFiles()))
+        append(load, path, load_id)
+
+    monkeypatch.setattr(writers, "append_reports", watched)
+    path = queries.report_store(spark, "/root/testdata/sf0.001")
+    assert len(read) == 12 and all(read)
+    assert len(set().union(*read)) == sum(map(len, read))
+    assert store.read_reports(spark, path).count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
