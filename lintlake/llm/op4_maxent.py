@@ -54,6 +54,8 @@ TABLES = tuple(slice(sum(TEMPLATES[:k]), sum(TEMPLATES[: k + 1])) for k in range
 TASK_TOKENS = 1 << 21
 #: Bytes of text that are counted, and read, at a time, tokens that are scored at a time and those of a batch, bound of a logit.
 COUNTED_BYTES, READ_BYTES, SCORED_TOKENS, BATCH_TOKENS, LARGEST = 8 << 20, 2 << 20, 16_384, 8_192, 60.0
+#: Choices of a feature row that are summed together with those of other rows.
+SHORT = 8
 END = "\n"
 
 
@@ -81,26 +83,27 @@ def counted(train: DataFrame) -> DataFrame:
 
     def count(texts):
         distinct, at, sizes = split(texts)
-        named = [w.encode() for w in distinct.to_pylist()]
+        named = distinct.cast(pa.string())
+        sorted_ = pc.array_sort_indices(named).to_numpy().astype(np.int64)  # by their bytes
         place = np.empty(len(named), np.int64)
-        place[sorted(range(len(named)), key=named.__getitem__)] = np.arange(len(named))
+        place[sorted_] = np.arange(len(named))
         owner = np.repeat(np.arange(len(sizes)), sizes)
         pairs, n = np.unique(owner * max(len(named), 1) + place[at], return_counts=True)
         of, rank = np.divmod(pairs, max(len(named), 1))
         # the most frequent word of each text, the larger of equally frequent ones
         best = np.zeros(len(sizes), np.int64)
         np.maximum.at(best, of, n * len(named) + rank)
-        hashed = np.empty(len(named), np.int64)
-        hashed[place] = [zlib.crc32(w) % HASHED_KINDS for w in named]
         kind = np.full(len(sizes), zlib.crc32(b"") % HASHED_KINDS)
-        kind[sizes > 0] = hashed[best[sizes > 0] % max(len(named), 1)]
+        top, which = np.unique(best[sizes > 0] % max(len(named), 1), return_inverse=True)
+        hashed = [zlib.crc32(w.encode()) % HASHED_KINDS for w in named.take(pa.array(sorted_[top])).to_pylist()]
+        kind[sizes > 0] = np.array(hashed, np.int64)[which]
         both, sums = np.unique(kind[of] * max(len(named), 1) + rank, return_inverse=True)
         sums = np.bincount(sums, n, len(both)).astype(np.int64)
         kinds, rank = np.divmod(both, max(len(named), 1))
-        words = distinct.take(pa.array(np.argsort(place)[rank]))
+        words = named.take(pa.array(sorted_[rank]))
         ends = np.bincount(kind, minlength=HASHED_KINDS)
         some = np.flatnonzero(ends)
-        words = pa.concat_arrays([words.cast(pa.string()), pa.array([END] * len(some), pa.string())])
+        words = pa.concat_arrays([words, pa.array([END] * len(some), pa.string())])
         return pa.RecordBatch.from_arrays(
             [words, pa.array(np.r_[kinds, some].astype(np.int32)), pa.array(np.r_[sums, ends[some]])], ["word", "kind", "n"]
         )
@@ -115,6 +118,8 @@ def counted(train: DataFrame) -> DataFrame:
                 held, size = [], 0
         if held:
             yield count(pa.concat_arrays(held))
+        del held
+        give_back()
 
     return train.select("text").mapInArrow(run, "word string, kind int, n bigint")
 
@@ -229,12 +234,18 @@ def groups(sizes: np.ndarray, most: int):
         low = high
 
 
-def feature_rows(keys: np.ndarray, nodes: np.ndarray | None = None) -> np.ndarray:
-    """Hashed rows of contexts, joined with a node."""
+def feature_rows(keys: np.ndarray) -> np.ndarray:
+    """Hashed rows of contexts."""
+    return (keys >> np.uint64(64 - ROWS.bit_length() + 1)).astype(np.uint16)
+
+
+def node_rows(mixed: np.ndarray, token: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Hashed rows of the contexts of tokens, each joined with the mark of a node."""
+    own = mixed.take(token, axis=1)
+    own ^= marks
     with np.errstate(over="ignore"):
-        if nodes is not None:
-            keys = (keys ^ (keys >> np.uint64(29)) ^ (nodes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * PRIME
-        return (keys >> np.uint64(64 - ROWS.bit_length() + 1)).astype(np.uint16)
+        own *= PRIME
+    return feature_rows(own)
 
 
 class Lookup(dict):
@@ -248,12 +259,46 @@ class Lookup(dict):
         return WORDS + self.kinds[zlib.crc32(word[-4:]) % ENDINGS]
 
 
+#: Remainders of the cyclic redundancy check by byte.
+CRC = np.array([zlib.crc32(bytes([b ^ 255])) ^ 0xFF000000 for b in range(256)], np.uint32)
+
+
+def ending_places(words: pa.Array) -> np.ndarray:
+    """``crc32`` of the last four bytes of each word, modulo ``ENDINGS``, of all words at once."""
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    data = np.frombuffer(data or b"", np.uint8)
+    crc = np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for back in (4, 3, 2, 1):
+        at = offsets[1:] - back
+        some = at >= offsets[:-1]
+        own = crc[some]
+        crc[some] = CRC[(own ^ data[at[some]]) & 255] ^ (own >> 8)
+    return (~crc % ENDINGS).astype(np.int64)
+
+
 class Reader:
     """Texts to ids, ids to leaves, and leaves to the choices on their way."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.id_of = Lookup(vocabulary).__getitem__
+        self.known = pa.array(vocabulary.words, pa.binary()).cast(pa.string())
+        self.kinds = np.array(vocabulary.kind_of_ending, np.int64)
+        self.vocabulary, self._lookup = vocabulary, None
         self.tree, self.words = vocabulary.tree, len(vocabulary.words)
+        with np.errstate(over="ignore"):
+            self.marks = np.arange(len(self.tree.bias), dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+
+    def id_of(self, word: bytes) -> int:
+        if self._lookup is None:
+            self._lookup = Lookup(self.vocabulary)
+        return self._lookup[word]
+
+    def ids_of(self, names: pa.Array) -> np.ndarray:
+        """The id of each of many words, as ``id_of`` gives it."""
+        found = pc.fill_null(pc.index_in(names, value_set=self.known), -1).to_numpy().astype(np.int64)
+        rare = np.flatnonzero(found < 0)
+        found[rare] = WORDS + self.kinds[ending_places(names.take(pa.array(rare)))]
+        return found
 
     def ids(self, words: list[bytes]) -> list[int]:
         """Ids of the words and of the end."""
@@ -264,8 +309,7 @@ class Reader:
         distinct ones, each text with its end, and how many tokens each text has."""
         distinct, at, sizes = split(texts)
         names = pa.concat_arrays([distinct.cast(pa.string()), pa.array([END], pa.string())])
-        ids = np.array([self.id_of(w.encode()) for w in names.to_pylist()], np.int64)
-        return names, ids, np.insert(at, np.cumsum(sizes), len(names) - 1), sizes + 1
+        return names, self.ids_of(names), np.insert(at, np.cumsum(sizes), len(names) - 1), sizes + 1
 
     def leaves(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids < WORDS, ids, ids - WORDS + self.words)
@@ -274,29 +318,56 @@ class Reader:
         """The choices at the root, at its children and further down: (tables, feature rows, priors, child, token)."""
         t = self.tree
         first, depth = t.start[leaves], t.depth[leaves]
-        yield TABLES[0], feature_rows(keys), t.bias[t.nodes[first]], t.children[first], np.arange(len(leaves))
+        mixed = keys ^ (keys >> np.uint64(29))
+        yield TABLES[0], feature_rows(keys), t.bias.take(t.nodes[first], axis=0), t.children[first], np.arange(len(leaves))
         for level in (1, 2):
             n = np.minimum(depth - 1, 1) if level == 1 else np.maximum(depth - 2, 0)
             token = np.repeat(np.arange(len(leaves)), n)
             at = np.arange(len(token)) + np.repeat(first + level - (np.cumsum(n) - n), n)
             nodes = t.nodes[at]
-            own = keys[: TEMPLATES[level]].take(token, axis=1)
-            yield TABLES[level], feature_rows(own, nodes), t.bias.take(nodes, axis=0), t.children[at], token
+            rows = node_rows(mixed[: TEMPLATES[level]], token, self.marks.take(nodes))
+            yield TABLES[level], rows, t.bias.take(nodes, axis=0), t.children[at], token
 
 
 ONES = np.ones(FAN, np.float32)
 
 
-def chances(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Softmax of each choice: features of all templates and the prior. Weights are far from the range of
-    a float, so the largest need not be taken off; ``LARGEST`` bounds them all the same."""
+def shares(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax of each choice before its sum is divided by, and one over the sum: features of all templates and
+    the prior. Weights are far from the range of a float, so the largest need not be taken off; ``LARGEST``
+    bounds them all the same."""
     out = bias
     for w, r in zip(weights, rows):
         out += w.take(r, axis=0)
     np.minimum(out, LARGEST, out=out)
     np.exp(out, out=out)
-    out *= (1 / np.maximum(out @ ONES, 1e-30))[:, None]
-    return out
+    return out, 1 / np.maximum(out @ ONES, 1e-30)
+
+
+def sums_by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows, how often each occurs, and the sums of the ``values`` of each.
+
+    The first values of all short runs of a row are added at once, then the second ones, and so on: most runs
+    are too short for sums of their own. Long runs are summed one by one."""
+    order = np.argsort(rows, kind="stable")
+    own = rows[order]
+    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    n = np.diff(np.append(first, len(own)))
+    by = np.argsort(np.minimum(n, SHORT + 1).astype(np.uint8), kind="stable")[::-1]  # the longest first
+    first, n = first[by], n[by]
+    sums = values.take(order[first], axis=0)
+    long = int(np.count_nonzero(n > SHORT))
+    for k in range(1, SHORT):
+        some = slice(long, int(np.count_nonzero(n > k)))
+        if some.stop > long:
+            sums[some] += values.take(order[first[some] + k], axis=0)
+    if long:
+        ends = np.cumsum(n[:long])
+        starts = ends - n[:long]
+        items = order[np.arange(ends[-1]) + np.repeat(first[:long] - starts, n[:long])]
+        # pairs of floats at a time, which halves the work of short sums
+        sums[:long] = np.add.reduceat(values.take(items, axis=0).view(np.complex64), starts, axis=0).view(np.float32)
+    return own[first], n, sums
 
 
 def new_weights() -> np.ndarray:
@@ -310,7 +381,8 @@ def token_logs(reader: Reader, weights: np.ndarray, leaves: np.ndarray, keys: np
         for at in range(0, len(child), BATCH_TOKENS):
             part = slice(at, at + BATCH_TOKENS)
             own = child[part]
-            p = chances(weights[table], rows[:, part], bias[part])[np.arange(len(own)), own]
+            p, norm = shares(weights[table], rows[:, part], bias[part])
+            p = p.reshape(-1).take(np.arange(0, p.size, FAN) + own) * norm
             out += np.bincount(token[part], np.log(np.maximum(p, 1e-30)), len(out))
     return out
 
@@ -326,20 +398,16 @@ def train_round(docs: DataFrame, shared) -> DataFrame:
         squares, seen = np.full(weights.shape[:2], 1e-3, np.float32), np.zeros(weights.shape[:2], np.int32)
 
         def step(table, rows, bias, child):
-            slopes = chances(weights[table], rows, bias)
-            np.negative(slopes, out=slopes)
-            slopes[np.arange(len(child)), child] += 1
+            slopes, norm = shares(weights[table], rows, bias)
+            slopes *= -norm[:, None]
+            slopes.reshape(-1)[np.arange(0, slopes.size, FAN) + child] += 1
             for w, sq, met, r in zip(weights[table], squares[table], seen[table], rows):
-                order = np.argsort(r, kind="stable")
-                own = r[order]
-                first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                at = own[first]
-                # pairs of floats at a time, which halves the work of short sums
-                slope = np.add.reduceat(slopes.take(order, axis=0).view(np.complex64), first, axis=0).view(np.float32)
-                sq[at] += np.einsum("ij,ij->i", slope, slope)
-                slope *= (RATE / np.sqrt(sq[at]))[:, None]
+                at, n, slope = sums_by_row(r, slopes)
+                square = sq[at] + np.einsum("ij,ij->i", slope, slope)
+                sq[at] = square
+                slope *= (RATE / np.sqrt(square))[:, None]
                 w[at] += slope
-                met[at] += np.diff(np.append(first, len(own))).astype(np.int32)
+                met[at] += n.astype(np.int32)
 
         for texts in (x for b in batches for x in cut(b, 0, READ_BYTES)):
             _, ids_of, at, sizes = reader.batch(texts.column(0))
@@ -387,11 +455,13 @@ def fit(train: DataFrame):
     del ranked, place, found, names
     rare = words.join(few.select("word"), "word", "left_anti")
 
+    kind_of = np.array(vocabulary.kind_of_ending, np.int64)
+
     def by_rare_kind(batches):
         sums = np.zeros((KINDS + 1, 2), np.int64)
         for b in batches:
-            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                sums[vocabulary.rare_kind(w.encode())] += (n, 1)
+            kind, n = kind_of[ending_places(b.column(0).cast(pa.string()))], b.column(1).to_numpy()
+            np.add.at(sums, kind, np.stack([n, np.ones_like(n)], axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(KINDS + 1)), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["kind", "n", "v"])
 
     sums = rare.select("word", "n").mapInArrow(by_rare_kind, "kind bigint, n bigint, v bigint").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))

@@ -370,3 +370,30 @@ def test_quadratic_discriminant_by_the_textbook(small, make_docs, spark):
     for r in found:
         want = 1 / (1 + np.exp(min(700, logs[0][r.doc_id] - logs[1][r.doc_id])))
         assert abs(r.score - want) < 1e-6 and (abs(want - 0.5) < 1e-6 or r.predicted == int(want >= 0.5)), (r, want)
+
+
+def test_words_are_looked_up_all_at_once_as_one_by_one(monkeypatch):
+    words = ["a", "zwölf", "漢字x", "of", "\n", "🙂"]
+    v = op4.Vocabulary(words, np.arange(60, 54, -1).astype(float), np.arange(6) % 3)
+    v.grow(np.full(op4.KINDS + 1, 4.0))
+    reader = op4.Reader(v)
+    names = [*words, "", "b", "zz", "ünd", "漢", "🙂🙂", "longer-word", "nul\0", "a"]
+    alone = [reader.id_of(w.encode()) for w in names]
+    assert min(alone[6:14]) >= op4.WORDS and alone[14] == 0
+
+    def refused(self, word):
+        raise AssertionError("a word was looked up by itself")
+
+    monkeypatch.setattr(op4.Reader, "id_of", refused)
+    assert reader.ids_of(pa.array(["x", *names])[1:]).tolist() == alone
+    _, ids, at, sizes = op4.Reader(v).batch(pa.array(["A of zwölf ünd", "", "  b "]))
+    assert ids[at].tolist() == [alone[0], alone[3], alone[1], alone[9], 4, 4, alone[7], 4] and sizes.tolist() == [5, 1, 2]
+
+
+def test_sums_by_row_are_those_of_each_row():
+    draw = np.random.default_rng(3)
+    for n, rows in ((1, 5), (40, 5), (4000, 700), (4000, 4)):
+        r, x = draw.integers(0, rows, n).astype(np.uint16), draw.normal(size=(n, op4.FAN)).astype(np.float32)
+        at, times, sums = op4.sums_by_row(r, x)
+        assert sorted(at.tolist()) == np.unique(r).tolist() and times.tolist() == [int((r == a).sum()) for a in at]
+        assert np.allclose(sums, [x[r == a].sum(axis=0) for a in at], atol=1e-3)
