@@ -283,7 +283,7 @@ class Reader:
     def __init__(self, vocabulary: Vocabulary):
         self.known = pa.array(vocabulary.words, pa.binary()).cast(pa.string())
         self.kinds = np.array(vocabulary.kind_of_ending, np.int64)
-        self.vocabulary, self._lookup = vocabulary, None
+        self.vocabulary, self._lookup, self._tops = vocabulary, None, None
         self.tree, self.words = vocabulary.tree, len(vocabulary.words)
         with np.errstate(over="ignore"):
             self.marks = np.arange(len(self.tree.bias), dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
@@ -300,6 +300,12 @@ class Reader:
         found[rare] = WORDS + self.kinds[ending_places(names.take(pa.array(rare)))]
         return found
 
+    def tops(self, weights: np.ndarray) -> np.ndarray:
+        """The largest weight of each table; kept for weights that were asked for last and do not change."""
+        if self._tops is None or self._tops[0] is not weights or weights.flags.writeable:
+            self._tops = weights, weights.max(axis=(1, 2))
+        return self._tops[1]
+
     def ids(self, words: list[bytes]) -> list[int]:
         """Ids of the words and of the end."""
         return [*map(self.id_of, words), self.id_of(END.encode())]
@@ -332,14 +338,15 @@ class Reader:
 ONES = np.ones(FAN, np.float32)
 
 
-def shares(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shares(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray, bounded: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Softmax of each choice before its sum is divided by, and one over the sum: features of all templates and
     the prior. Weights are far from the range of a float, so the largest need not be taken off; ``LARGEST``
-    bounds them all the same."""
+    bounds them all the same, where they are not known to be ``bounded``."""
     out = bias
     for w, r in zip(weights, rows):
         out += w.take(r, axis=0)
-    np.minimum(out, LARGEST, out=out)
+    if not bounded:
+        np.minimum(out, LARGEST, out=out)
     np.exp(out, out=out)
     return out, 1 / np.maximum(out @ ONES, 1e-30)
 
@@ -377,11 +384,13 @@ def new_weights() -> np.ndarray:
 def token_logs(reader: Reader, weights: np.ndarray, leaves: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Natural log of each token's probability, up to its leaf."""
     out = np.zeros(len(leaves))
+    tops = reader.tops(weights)
     for table, rows, bias, child, token in reader.choices(leaves, keys):
+        bounded = tops[table].sum() < LARGEST  # priors are logs of shares
         for at in range(0, len(child), BATCH_TOKENS):
             part = slice(at, at + BATCH_TOKENS)
             own = child[part]
-            p, norm = shares(weights[table], rows[:, part], bias[part])
+            p, norm = shares(weights[table], rows[:, part], bias[part], bounded)
             p = p.reshape(-1).take(np.arange(0, p.size, FAN) + own) * norm
             out += np.bincount(token[part], np.log(np.maximum(p, 1e-30)), len(out))
     return out
@@ -433,7 +442,8 @@ def train_round(docs: DataFrame, shared) -> DataFrame:
         give_back()
 
     made = docs.select("text").mapInArrow(run, "row int, seen bigint, " + ", ".join(f"{n} float" for n in names))
-    return made.groupBy("row").agg(F.sum("seen").alias("seen"), *[F.sum(n).cast("float").alias(n) for n in names])
+    # A task has a row once, so sums inside a task would find nothing to add: rows meet first.
+    return made.repartition("row").groupBy("row").agg(F.sum("seen").alias("seen"), *[F.sum(n).cast("float").alias(n) for n in names])
 
 
 def fit(train: DataFrame):
@@ -493,6 +503,7 @@ def scored(rows: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, numbers
 
     def run(batches):
         vocabulary, weights = shared.value
+        weights.flags.writeable = False
         reader = Reader(vocabulary)
         base = np.concatenate([np.log10((vocabulary.counts + 0.5) / (total + 0.5 * (distinct + 1))), np.zeros(WORDS + KINDS + 1 - len(vocabulary.counts))])
         row = TaskContext.get().partitionId() << 33

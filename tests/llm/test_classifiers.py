@@ -397,3 +397,13 @@ def test_sums_by_row_are_those_of_each_row():
         at, times, sums = op4.sums_by_row(r, x)
         assert sorted(at.tolist()) == np.unique(r).tolist() and times.tolist() == [int((r == a).sum()) for a in at]
         assert np.allclose(sums, [x[r == a].sum(axis=0) for a in at], atol=1e-3)
+
+
+def test_changes_are_not_summed_before_they_meet(spark):
+    v = op4.Vocabulary(["a", "b"], np.array([5.0, 3.0]), np.arange(2))
+    v.grow(np.full(op4.KINDS + 1, 4.0))
+    docs = spark.createDataFrame([("a b a",), ("b a",)], "text string").repartition(2)
+    made = op4.train_round(docs, spark.sparkContext.broadcast((v, op4.new_weights())))
+    plan = made._jdf.queryExecution().sparkPlan().toString()
+    assert plan.rindex("HashAggregate") < plan.index("Exchange") < plan.index("MapInArrow")
+    assert made.count() == made.select("row").distinct().count()
